@@ -41,8 +41,8 @@ def metrics(df: DataFrame, actual: str, predicted: str, *by: str) -> DataFrame:
     own = df.groupBy(*by) if by else df.groupBy()
     return own.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(y), 6).alias("mean_actual"), F.round(F.avg(p), 6).alias("mean_predicted"), F.round(F.avg(F.abs(e)), 6).alias("mae"),
-        F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(F.lit(1)), F.lit(0.0)), 6).alias("r2"),
-        F.round(100 * F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(1e-9))), 6).alias("mape"),
+        F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), (F.round(1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(F.lit(1)), F.lit(0.0)), 6) + F.lit(0.0)).alias("r2"),
+        F.round(100 * F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(1e-9))), 2).alias("mape"),
     )
 
 

@@ -165,10 +165,10 @@ query("c10_random_forest")(_fitted("random_forest", numTrees=20, maxDepth=6))
 query("c11_gaussian_nb")(_fitted("gaussian_nb"))
 query("c11_gaussian_moments", with_("clean", " union all ".join(f"select type as y, '{f}' as feature, count({f}) as n, round(avg({f}), 6) as mean, round(var_pop({f}), 6) as variance from clean group by type" for f in ("rating", "members_log"))))(
     lambda s, d: CL.gaussian_moments(cleaned(s, d), ["rating", "members_log"], "type"))
-_NB = """select y, attribute, bin, round(ln((coalesce(n, 0) + 1) / (ny + 2)), 6) as log_yes from
+_NB = """select a.y, a.attribute, a.bin, round(ln((coalesce(n, 0) + 1) / (ny + 2)), 6) as log_yes from
     (select p.y, p.ny, g.attribute, g.bin from priors p, (select distinct attribute, bin from long) g) a left join (select attribute, bin, actual, count(*) as n from long group by 1, 2, 3) c
     on c.attribute = a.attribute and c.bin = a.bin and c.actual = a.y"""
-_LIKE = """select y, attribute, bin, (coalesce(n, 0) + 1) / (ny + 2) as p from (select p.y, p.ny, g.attribute, g.bin from priors p, (select distinct attribute, bin from long) g) a
+_LIKE = """select a.y, a.attribute, a.bin, (coalesce(n, 0) + 1) / (ny + 2) as p from (select p.y, p.ny, g.attribute, g.bin from priors p, (select distinct attribute, bin from long) g) a
     left join (select attribute, bin, actual, count(*) as n from long group by 1, 2, 3) c on c.attribute = a.attribute and c.bin = a.bin and c.actual = a.y"""
 _SCORES = """select l.id, k.y, round((select ln(p.ny / (select sum(ny) from priors)) from priors p where p.y = k.y) + sum(case when k.bin = l.bin then ln(k.p) else ln(1 - k.p) end), 9) as score
     from long l join likes k on k.attribute = l.attribute group by l.id, k.y"""
@@ -209,7 +209,7 @@ def c17(s, d):
 
 _LINE = "select regr_slope(rating, members_log) as b, regr_intercept(rating, members_log) as a from clean"
 _MET = """count(*) as n, round(avg(y), 6) as mean_actual, round(avg(p), 6) as mean_predicted, round(avg(abs(y - p)), 6) as mae, round(sqrt(avg((y - p) * (y - p))), 6) as rmse,
-    round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) as r2, round(100 * avg(abs(y - p) / greatest(abs(y), 1e-9)), 6) as mape"""
+    round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 as r2, round(100 * avg(abs(y - p) / greatest(abs(y), 1e-9)), 2) as mape"""
 _PREDICTED = "select c.item_id, c.type, c.rating as y, l.a + l.b * c.members_log as p from clean c, line l"
 
 

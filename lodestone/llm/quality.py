@@ -69,12 +69,12 @@ def _repeats(h: np.ndarray, place: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(n)), n)
     inside = doc[2:] == doc[:-2]
     key = T.mix(T.mix(T.mix(h[:-2]) + h[1:-1]) + h[2:] + doc[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
+    whole = np.flatnonzero(inside)  # windows that go on in the next document are none
+    order = whole[np.argsort(key[whole], kind="stable")]
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(key), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
-    twice &= inside
     hit = np.zeros(words, bool)
     for k in range(3):
         hit[k : words - 2 + k] |= twice

@@ -14,7 +14,6 @@ this way, are given to the library whole.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +28,32 @@ CACHE_ENTRIES = 600_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """The class of each code point: white space, letter, number or other."""
-    import regex
+class Kinds:
+    """The class of each code point, white space, letter, number or other, as the library's own splitter has it.
 
-    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
-    out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
-    return out
+    Libraries differ in the version of Unicode, so each code point is asked
+    for once, when a text first holds it.
+    """
 
+    def __init__(self, splitter):
+        self.pieces = lambda text: len(splitter.pre_tokenize_str(text))
+        self.table, self.known = np.full(0x110000, OTHER, np.uint8), np.zeros(0x110000, bool)
 
-def split(points: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        new = points[~self.known[points]]
+        for c in np.unique(new).tolist():
+            x = chr(c)
+            kind = LETTER if self.pieces(f"a{x}b") == 1 else NUMBER if self.pieces(f"1{x}2") == 1 else OTHER if self.pieces(f"!{x}!") == 1 else SPACE
+            self.table[c], self.known[c] = kind, True
+        return self.table[points]
+
+
+def split(points: np.ndarray, offs: np.ndarray, kinds: Kinds) -> np.ndarray:
     """Starts of the pre-tokens in an array of code points; offs: starts of the documents, and the end."""
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = classes()[points]
+    kind = kinds(points)
     first = np.zeros(n + 1, bool)
     first[offs] = True
     first, last = first[:n], first[1:]  # of a document
@@ -89,6 +95,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.entries = Tokenizer.from_file(path), entries
+        self.kinds = Kinds(self.library.pre_tokenizer)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.fixed = fixed if fixed is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.clear()
@@ -108,7 +115,7 @@ class Encoder:
         if len(self.keys) + len(keys) > self.entries:
             self.clear()
         begin = len(self.ids) + np.cumsum(size) - size
-        keys, order = np.concatenate([self.keys, keys]), None
+        keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
         self.ids = np.concatenate([self.ids, flat])
@@ -118,7 +125,7 @@ class Encoder:
         whole = buf.tobytes().decode("utf-8")
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero(T.chars(buf))  # where each code point begins
-        starts = split(points, np.searchsorted(lead, offs))
+        starts = split(points, np.searchsorted(lead, offs), self.kinds)
         at = lead[starts] if len(starts) else np.zeros(0, np.int64)
         place = np.searchsorted(at, offs)
         ends = np.append(at[1:], len(buf)) if len(at) else at

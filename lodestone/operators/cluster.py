@@ -207,13 +207,13 @@ def ward(df: DataFrame, key: str, k: int, x: str = "x", most: int = WARD_SAMPLE,
     """(key, cluster) of a seeded sample by Ward's method, in one task: at most WARD_MOST rows, the method is quadratic."""
     own = df.select(F.col(key).alias("key"), F.col(x).alias("x")).orderBy(S.seeded(key, seed), key).limit(min(most, WARD_MOST))
 
-    def run(_, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
         points = np.array(rows["x"].tolist(), float)
         return pd.DataFrame({"key": rows["key"].to_numpy(), "cluster": cut_merges(ward_merges(points), len(points), k)})
 
     kind = df.schema[key].dataType.simpleString()
-    return own.groupBy(F.lit(1)).applyInPandas(run, f"key {kind}, cluster int").withColumnRenamed("key", key)
+    return own.groupBy(F.lit("all")).applyInPandas(run, f"key {kind}, cluster int").withColumnRenamed("key", key)
 
 
 def project(df: DataFrame, key: str, x: str = "x", rows: int = 5000) -> DataFrame:

@@ -84,7 +84,7 @@ class Recommender:
     """Tables of a trained recommender, and the three ways to ask it."""
 
     def __init__(self, titles: DataFrame, genre_affinity: DataFrame, type_affinity: DataFrame, rules: DataFrame | None = None, min_members: int = MIN_MEMBERS):
-        self.titles = titles.where(F.col("members") >= min_members)
+        self.every, self.titles = titles, titles.where(F.col("members") >= min_members)
         self.genre, self.types, self.rules = genre_affinity, type_affinity, rules
         self.means = titles.groupBy("type").agg(F.avg("rating").alias("mean"))
 
@@ -112,7 +112,7 @@ class Recommender:
 
     def by_watched(self, watched: Sequence[str], n: int = 10) -> DataFrame:
         boosts = rule_boosts(self.rules, watched) if self.rules is not None else None
-        return top(score(self.titles, boosted(self._genre(None), tags_of(self.titles, watched), WATCHED_BOOST), self._types(None), self.means, boosts, watched), n)
+        return top(score(self.titles, boosted(self._genre(None), tags_of(self.every, watched), WATCHED_BOOST), self._types(None), self.means, boosts, watched), n)
 
 
 def regular_users(profiles: DataFrame, n: int = 300) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from lodestone.operators import tables as TB
 from lodestone.plans.prepare import cleaned, r6, segments
 from lodestone.plans.registry import query, with_
 from lodestone.sources import adapters as A
+from lodestone.sources import files
 from lodestone.streaming import live
 
 # --- association --------------------------------------------------------------
@@ -292,8 +291,8 @@ def k2_kmeans(s, d):
 _SIL = """select round(avg(s), 6) as score from (select i, case when a is null or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end as s from (
     select i, min(case when li = lj then d end) as a, min(case when li <> lj then d end) as b from (select i, li, lj, avg(d) as d from (
     select p.id as i, q.id as j, p.label as li, q.label as lj, sqrt(sum((p.v - q.v) * (p.v - q.v))) as d from few p join few q on p.dim = q.dim and p.id <> q.id group by 1, 2, 3, 4) a group by 1, 2, 3) b group by i) c) e"""
-query("k4_silhouette", with_("dims", _SIL, few="select d.* from dims d join (select id from vecs order by md5('42:' || id), id limit 200) k on k.id = d.id"))(
-    lambda s, d: K.silhouette(_points(s, d), "id", most=200))
+query("k4_silhouette", with_("dims", _SIL, few="select d.* from dims d join (select id from vecs order by md5('42:' || id), id limit 5000) k on k.id = d.id"))(
+    lambda s, d: K.silhouette(_points(s, d), "id"))
 _CENT = dict(cent="select label, dim, avg(v) as m, count(*) as n from dims group by 1, 2", dist="select p.id, p.label, sum((p.v - c.m) * (p.v - c.m)) as d2 from dims p join cent c on c.label = p.label and c.dim = p.dim group by 1, 2")
 _CH = "select round((b / (k - 1)) / (w / (n - k)), 6) as score from (select (select sum(c.n * (c.m - g.m) * (c.m - g.m)) from cent c join (select dim, avg(v) as m from dims group by 1) g on g.dim = c.dim) as b, (select count(distinct label) from cent) as k, (select sum(d2) from dist) as w, (select count(*) from dist) as n) a"
 query("k5_calinski_harabasz", with_("dims", _CH, **_CENT))(lambda s, d: K.calinski_harabasz(_points(s, d)))
@@ -302,15 +301,15 @@ query("k5_davies_bouldin", with_("dims", _DB, **_CENT, spread="select label, avg
 _CURVE = "select p_size as k, sum(p_retailprice) / p_size as inertia from part where p_size between 2 and 8 group by 1"
 query("k6_k7_w8_elbow", with_("", "select k, round(inertia, 6) as inertia, round(abs((x1 - x0) * (inertia - y0) - (y1 - y0) * (k - x0)), 6) as distance from curve, (select min(k) as x0, max(k) as x1, arg_min(inertia, k) as y0, arg_max(inertia, k) as y1 from curve) e", curve=_CURVE))(
     lambda s, d: K.elbow(A.table(s, d, "part").where("p_size between 2 and 8").groupBy(F.col("p_size").alias("k")).agg((F.sum("p_retailprice") / F.first("p_size")).alias("inertia"))))
-query("k6_k_sweep")(lambda s, d: s.createDataFrame(K.k_selection(_points(s, d), "id", (2, 3, 4), rows=300)))
-query("k8_ward")(lambda s, d: K.ward(_points(s, d), "id", 4, most=300).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+query("k6_k_sweep")(lambda s, d: s.createDataFrame(K.k_selection(_points(s, d), "id", range(2, 6))))
+query("k8_ward")(lambda s, d: K.ward(_points(s, d), "id", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("k9_dendrogram")
 def k9(s, d):
     import numpy as np
 
-    rows = C.sample(_points(s, d), "id", 60).collect()  # a bounded sample
+    rows = C.sample(_points(s, d), "id", K.WARD_SAMPLE).collect()  # a bounded sample
     merges = K.ward_merges(np.array([r.x for r in rows], float))
     return s.createDataFrame([(int(a), int(b), float(x), int(n)) for a, b, x, n in merges[-12:]], "a long, b long, distance double, size long")
 
@@ -368,8 +367,8 @@ query("b8_j10_rule_boosts", with_("taglines", "select consequent as item, round(
     lambda s, d: (lambda n: B.rule_boosts(AS.rules(AS.level_wise(tag_lines(s, d), n, TAG_SUPPORT, 2), n, 0.0, 1.05, 2), ["Brand#1", "blue"]).select("item", *r6("boost")))(cleaned(s, d).count()))
 query("b13_regular_users", with_("profile", "select user_id, n_ratings, printf('%d - %d items rated - mean %.2f - segment %d', user_id, n_ratings, mean_rating, user_id % 5) as label from profile order by n_ratings desc, user_id limit 300"))(
     lambda s, d: B.regular_users(R.user_profile(A.ratings(s, d)).withColumn("segment", F.col("user_id") % 5)))
-query("b4_form_rows", with_("clean", "select item_id, type, round(episodes, 4) as episodes, members_band, episodes_band from clean where item_id <= 100"))(
-    lambda s, d: cleaned(s, d).where("item_id <= 100").select("item_id", "type", F.round("episodes", 4).alias("episodes"), "members_band", "episodes_band"))
+query("b4_form_rows", with_("clean", "select item_id, type, round(episodes, 4) as episodes, members_band, episodes_band from clean"))(
+    lambda s, d: cleaned(s, d).select("item_id", "type", F.round("episodes", 4).alias("episodes"), "members_band", "episodes_band"))
 
 
 @query("b1_b3_blended_predictor")
@@ -444,6 +443,53 @@ query("d2_update", "select n_nationkey, case when n_nationkey = 3 then 'RENAMED'
 query("d3_delete", "select n_nationkey, n_name from nation where n_nationkey <> 3")(lambda s, d: TB.delete(A.table(s, d, "nation"), "n_nationkey", 3).select("n_nationkey", "n_name"))
 query("d4_conflicts", "select s_nationkey, count(*) as n from supplier group by 1 having count(*) > 1")(lambda s, d: TB.duplicates(A.table(s, d, "supplier"), "s_nationkey"))
 
+# --- sinks --------------------------------------------------------------------
+
+_SUPPLIER = "select s_suppkey, s_name, round(s_acctbal, 2) as s_acctbal from supplier"
+
+
+def _supplier(s, d):
+    return A.table(s, d, "supplier").select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"))
+
+
+@query("s5_s12_csv_round_trip", _SUPPLIER)
+def s5(s, d):
+    at = files.scratch(s, "csv")
+    files.write_csv(_supplier(s, d), at)
+    return files.read_csv(s, at, "s_suppkey long, s_name string, s_acctbal double")
+
+
+@query("s6_append_history", "select to_day, count(*) as n from (select strftime(ts, '%Y-%m-%d') as to_day from events) a group by 1")
+def s6(s, d):
+    at, e = files.scratch(s, "history"), A.table(s, d, "events").select("event_id", F.col("ts").alias("fetched_at"))
+    files.append_history(e.where("event_id % 2 = 0"), at)
+    files.append_history(e.where("event_id % 2 = 1"), at)
+    return s.read.parquet(at).groupBy(F.col("day").cast("string").alias("to_day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s7_versioned_replace", "select s_suppkey, s_name, round(round(s_acctbal, 2) + 1, 2) as s_acctbal from supplier")
+def s7(s, d):
+    t = files.Versioned(s, files.scratch(s, "versions"))
+    t.replace(_supplier(s, d))
+    t.replace(t.read().withColumn("s_acctbal", F.round(F.col("s_acctbal") + 1, 2)))
+    return t.read()
+
+
+@query("s10_model_store", with_("clean", "select item_id, round(l.a + l.b * c.members_log, 4) as p from clean c, line l", line=_LINE))
+def s10(s, d):
+    from pyspark.ml.regression import LinearRegressionModel
+
+    df = CL.assemble(cleaned(s, d), ["members_log"]).withColumn("label", F.col("rating"))
+    at = files.scratch(s, "model")
+    files.save_model(G.models(df, small=True)["ols"].fit(df), at)
+    return LinearRegressionModel.load(at).transform(df).select("item_id", F.round("prediction", 4).alias("p"))
+
+
+query("s11_missing_table", "select 0 as n")(lambda s, d: files.try_read(s, f"{d}/absent.parquet", "a int").agg(F.count(F.lit(1)).cast("int").alias("n")))
+query("s13_seed_view", "select n_nationkey, n_name from nation where n_regionkey = 1")(
+    lambda s, d: (A.table(s, d, "nation").createOrReplaceTempView("lodestone_nation"), s.sql("select n_nationkey, n_name from lodestone_nation where n_regionkey = 1"))[1])
+query("s14_memo", "select count(*) as n from part")(lambda s, d: files.Memo(s).read(f"{d}/part.parquet").agg(F.count(F.lit(1)).alias("n")))
+
 # --- extensions ---------------------------------------------------------------
 
 
@@ -451,7 +497,7 @@ query("d4_conflicts", "select s_nationkey, count(*) as n from supplier group by
 def ext_stream(s, d):
     """The events as a stream in one micro-batch, with late data never later than the watermark allows."""
     events = A.table(s, d, "events")
-    at = tempfile.mkdtemp()
+    at = files.scratch(s, "stream")
     if "://" in d or not d.startswith("/"):
         stream = events
         return live.event_windows(stream).select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))

@@ -47,7 +47,7 @@ CTES = {
         from (select user_id, item_id, max(rating) as rating from ratings where rating >= 8 group by 1, 2) a) b where rank <= 12""",
     "taglines": "select item_id as basket, unnest(tags) as item from clean",
     "itemcounts": "select item, count(*) as freq from (select distinct basket, item from lines) a group by item having count(*) >= {LEAST}",
-    "vecs": "select vec_id as id, label, list_transform(embedding[1:8], lambda v: cast(v as double)) as x from embeddings",
+    "vecs": "select vec_id as id, label, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings",
     "dims": "select id, label, unnest(x) as v, generate_subscripts(x, 1) as dim from vecs",
     "outcome": "select d.doc_id as id, l.quality as actual, d.lang, d.source, d.n_chars from documents d join labels l on l.doc_id = d.doc_id",
 }

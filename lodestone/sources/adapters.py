@@ -51,9 +51,9 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("item_id"), F.col("event_type").alias("kind"), "value", "props")
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    """(id, label, x: array<double>): the first dimensions of the embeddings."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("x"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, x: array<double>): the embeddings."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,25 +2,29 @@
 
 A text's tokens are its 5-word shingles. For each hash function the compact
 windows of a text are the nodes of the Cartesian tree over its shingles'
-hashes that span at least `width` shingles: (left, minimum, right), so that
-every run of `width` shingles or more whose min-hash stands at `minimum` lies
-in one window. A run-length encoding of the sliding minimum gives just those
-nodes. Runs that two texts share have their minimum at the same shingle, so
-both texts emit a window there.
+hashes that span at least `width` shingles: (left, minimum, right). A run-length
+encoding of the sliding minimum gives just those nodes, cut to what lies within
+`width` - 1 of the minimum: every run of `width` shingles has its min-hash in
+one of them. Runs that two texts share have their minimum at the same shingle,
+so both texts emit a window there.
 
 1. Each window emits a key for either side of its minimum that is long enough:
-   the hash of the minimum and of the block of shingles next to it on that
-   side. A partial aggregate finds the keys of two documents or more.
+   the hash of the minimum and the 22 shingles next to it on that side. Of
+   `width` = 46 shingles at least one side has them, so equal passages always
+   share a key. A partial aggregate finds the keys of two documents or more.
 2. A Bloom filter of these keys, within a fixed bound, goes to the executors.
    Windows whose key may repeat are emitted again, now with the 16-bit marks of
-   the shingles around the minimum.
-3. They are range-partitioned by (key, document, place), so that a key that a
-   third of all documents hold is spread over many partitions, and stream by.
-   The windows of one key are aligned at their minimum, the intervals joined,
-   and the shingles of the common interval compared: similarity 0.8 or more
-   over at least `width` shingles is a link to the first window that is like
-   it; a window like none becomes the next to compare with. The first windows
-   of a key that goes on in another partition are compared in a last step.
+   their shingles.
+3. They are range-partitioned by (key, content, document, place), so that a key
+   that a third of all documents hold is spread over many partitions, and
+   stream by. Equal windows stand together: each is a link to the first. The
+   others are aligned at their minimum and the marks of the common interval
+   compared: similarity 0.8 or more over at least `width` shingles is a link.
+   Each is compared with the first window of its key, and with one window for
+   every 42 shingles around the minimum that both have: of two equal runs of 46
+   shingles there are always such. So work grows with the windows, not with
+   their pairs. The first windows of a key that goes on in another partition
+   are compared in a last step.
 4. Links between documents give classes by connected components; spans of a
    document are joined where they touch.
 """
@@ -43,9 +47,9 @@ SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Hash functions, and shingles of the block beside a minimum that a key takes in.
-HASHES, BLOCK = 3, 12
-#: Shingles on either side of a minimum that a window is compared on at most; longer passages have more windows.
-REACH = 64
+HASHES, BLOCK = 2, 22
+#: Shingles of a common run by which windows find each other beside the first, and the step between runs.
+RUN, STEP = 42, 4
 MAX_FILTER_BYTES = 64 << 20
 
 _SEEDS = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFEADBEEF, 0x8C2F5E1D3B4A6977, 0xD1B54A32D192ED03], np.uint64)
@@ -54,7 +58,8 @@ _SEEDS = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFEADBEEF, 0x8C2F5E1D3B4A6977, 0
 def _windows(h: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, minimum, right) of the compact windows of at least `width` shingles; place: first shingle of each document.
 
-    Equal hashes: the left one counts as smaller.
+    Windows reach width - 1 to either side of the minimum at most. Equal
+    hashes: the left one counts as smaller.
     """
     n = len(h)
     empty = np.zeros(0, np.int64)
@@ -125,7 +130,7 @@ def _emit(docs: DataFrame, width: int, hashes: int, block: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, key long")
 
 
-_WINDOW = "key long, doc long, at int, first int, marks binary"
+_WINDOW = "key long, sig long, doc long, at int, first int, marks binary"
 
 
 def _emit_again(docs: DataFrame, bits, width: int, hashes: int, block: int) -> DataFrame:
@@ -133,108 +138,203 @@ def _emit_again(docs: DataFrame, bits, width: int, hashes: int, block: int) -> D
         for b in batches:
             for row, h, place in _shingles(b.column(1)):
                 marks = (h >> np.uint64(48)).astype("<u2")
+                content = T.Slices(marks) if len(h) else None
                 for key, at, left, right in _keys(h, place, width, hashes, block):
                     may = bloom.probe(bits.value, key)
                     key, at, left, right = key[may], at[may], left[may], right[may]
                     if not len(at):
                         continue
                     doc = np.searchsorted(place, at, "right") - 1
-                    first = np.maximum(left, at - REACH)
-                    size = np.minimum(right, at + REACH) + 1 - first
-                    data = marks[T.gather_ragged(first, size)].tobytes()
-                    offsets = np.concatenate([[0], np.cumsum(2 * size)]).astype(np.int32)
-                    packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                    size = right + 1 - left
+                    sig = T.mix(content(left, right + 1) + (at - left).astype(np.uint64))
+                    packed = _binary(marks[T.gather_ragged(left, size)], size)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), b.column(0).take(pa.array(row + doc)), pa.array((at - place[doc]).astype(np.int32)), pa.array((first - place[doc]).astype(np.int32)), packed],
-                        ["key", "doc", "at", "first", "marks"],
+                        [pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), b.column(0).take(pa.array(row + doc)), pa.array((at - place[doc]).astype(np.int32)), pa.array((left - place[doc]).astype(np.int32)), packed],
+                        ["key", "sig", "doc", "at", "first", "marks"],
                     )
 
     return docs.mapInArrow(run, _WINDOW)
 
 
-def _common(x, y, width: int, similarity: float):
-    """The first shingles in both documents and the length of the aligned common interval, if it is long and alike enough."""
-    (_, _, at, first, m), (_, _, bt, second, k) = x, y
-    back = min(at - first, bt - second)
-    ahead = min(len(m) - (at - first), len(k) - (bt - second))
-    if back + ahead < width:
-        return None
-    a, b = m[at - first - back : at - first + ahead], k[bt - second - back : bt - second + ahead]
-    same = a == b
-    n = len(a)
-    hits = int(same.sum())
-    if hits == n:
-        return at - back, bt - back, n
-    if hits < similarity * n:  # alike by place only in part: count them as sets
-        u, v = set(a.tolist()), set(b.tolist())
+def _binary(marks: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(2 * size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(marks, "<u2"))])
+
+
+class _Rows:
+    """Windows as arrays, with all their marks in one."""
+
+    NAMES = ("key", "sig", "doc", "at", "first")
+
+    def __init__(self, **columns):
+        self.__dict__ |= columns
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch) -> "_Rows":
+        column = b.column("marks")
+        _, offsets, data = column.buffers()
+        offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        marks = np.frombuffer(data, "<u2") if data is not None and data.size else np.zeros(0, "<u2")
+        return cls(**{n: b.column(n).to_numpy(zero_copy_only=False) for n in cls.NAMES}, start=offs[:-1] // 2, size=(offs[1:] - offs[:-1]) // 2, marks=marks)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def take(self, at: np.ndarray) -> "_Rows":
+        size = self.size[at]
+        return _Rows(**{n: getattr(self, n)[at] for n in self.NAMES}, start=np.cumsum(size) - size, size=size, marks=self.marks[T.gather_ragged(self.start[at], size)])
+
+    def behind(self, other: "_Rows") -> "_Rows":
+        """other's rows, then these."""
+        return _Rows(**{n: np.concatenate([getattr(other, n), getattr(self, n)]) for n in self.NAMES}, start=np.concatenate([other.start, self.start + len(other.marks)]), size=np.concatenate([other.size, self.size]), marks=np.concatenate([other.marks, self.marks]))
+
+
+def _alike(r: _Rows, x: np.ndarray, y: np.ndarray, width: int, similarity: float):
+    """For pairs of rows: whether they are alike, and the common interval (first shingles in both, size), cut at both ends to what is equal."""
+    back = np.minimum(r.at[x] - r.first[x], r.at[y] - r.first[y]).astype(np.int64)
+    ahead = np.minimum(r.size[x] - (r.at[x] - r.first[x]), r.size[y] - (r.at[y] - r.first[y])).astype(np.int64)
+    n = back + ahead
+    ok, a, b, size = np.zeros(len(x), bool), r.at[x] - back, r.at[y] - back, n.copy()
+    long = np.flatnonzero(n >= width)
+    if not len(long):
+        return ok, a, b, size
+    k, m = n[long], back[long]
+    sx = r.start[x[long]] + r.at[x[long]] - r.first[x[long]] - m
+    sy = r.start[y[long]] + r.at[y[long]] - r.first[y[long]] - m
+    same = r.marks[T.gather_ragged(sx, k)] == r.marks[T.gather_ragged(sy, k)]
+    begin = np.cumsum(k) - k
+    place = T.gather_ragged(np.zeros(len(k), np.int64), k)
+    low = np.minimum.reduceat(np.where(same, place, 1 << 30), begin)
+    high = np.maximum.reduceat(np.where(same, place, -1), begin) + 1
+    hits = np.add.reduceat(same, begin)
+    span = np.maximum(high - low, 0)
+    # Equal by place in `hits` of `span`: the union has 2 * span - hits members at most.
+    good = (span >= width) & (hits >= similarity * (2 * span - hits))
+    for i in np.flatnonzero(~good & (hits >= width // 2)):  # shifted in part: counted as sets
+        u, v = r.marks[sx[i] : sx[i] + k[i]], r.marks[sy[i] : sy[i] + k[i]]
+        u, v = set(u.tolist()), set(v.tolist())
         both = len(u & v)
-        if both < similarity * (len(u) + len(v) - both):
-            return None
-        return at - back, bt - back, n
-    # Shrink to what is alike at both ends.
-    where = np.flatnonzero(same)
-    i, j = int(where[0]), int(where[-1]) + 1
-    u, v = set(a[i:j].tolist()), set(b[i:j].tolist())
-    both = len(u & v)
-    if j - i < width or both < similarity * (len(u) + len(v) - both):
-        return None
-    return at - back + i, bt - back + i, j - i
-
-
-_LINK = "kind int, key long, doc long, at int, first int, marks binary, other long, a int, b int, size int"
-
-
-def _compare(rows: Iterator[tuple], width: int, similarity: float, ends: bool) -> Iterator[tuple]:
-    """Links (kind 0) among rows sorted by key; with `ends` also (kind 1) the first windows of the first and the last key."""
-    key, heads, first_key, links = None, [], None, None
-    for row in rows:
-        if row[0] != key:
-            if ends and heads and key == first_key:
-                yield from ((1, *h) for h in heads)
-            key, heads = row[0], []
-            if first_key is None:
-                first_key = key
-        for head in heads:
-            if head[1] == row[1] and head[2] == row[2]:
-                break
-            if links := _common(head, row, width, similarity):
-                if head[1] != row[1]:
-                    yield (0, head, row, links)
-                break
-        else:
-            heads.append(row)
-    if ends and heads:
-        yield from ((1, *h) for h in heads)
-
-
-def _out(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _LINK.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    held: list[tuple] = []
-
-    def batch():
-        got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-        held.clear()
-        return got
-
-    for x in found:
-        if x[0] == 0:
-            _, head, row, (a, b, size) = x
-            held.append((0, row[0], head[1], 0, 0, b"", row[1], a, b, size))
-        else:
-            _, key, doc, at, first, marks = x
-            held.append((1, key, doc, at, first, marks.tobytes(), None, 0, 0, 0))
-        if len(held) >= 5000:
-            yield batch()
-    if held:
-        yield batch()
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        marks = b.column("marks")
-        for i, (key, doc, at, first) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "doc", "at", "first")), strict=True)):
-            yield key, doc, at, first, np.frombuffer(marks[i].as_buffer(), "<u2")
+        if both >= similarity * (len(u) + len(v) - both):
+            good[i], low[i], span[i] = True, 0, k[i]
+    ok[long] = good
+    a[long] += np.where(good, low, 0)
+    b[long] += np.where(good, low, 0)
+    size[long] = np.where(good, span, k)
+    return ok, a, b, size
+
+
+def _runs(r: _Rows, i: int) -> list[bytes]:
+    """The runs of marks around the minimum by which a window is found."""
+    c, out = r.start[i] + r.at[i] - r.first[i], []
+    for x in range(0, RUN, STEP):
+        a, b = c - x, c + RUN - x
+        if a >= r.start[i] and b <= r.start[i] + r.size[i]:
+            out.append(bytes([x]) + r.marks[a:b].tobytes())
+    return out
+
+
+_OUT = "kind int, doc long, other long, a int, b int, size int, key long, sig long, at int, first int, marks binary"
+
+
+def _links(doc, other, a, b, size) -> pa.RecordBatch:
+    n = len(doc)
+    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+    values = [pa.array(np.zeros(n, np.int32)), pa.array(doc), pa.array(other), *(pa.array(np.asarray(v).astype(np.int32)) for v in (a, b, size))]
+    return pa.RecordBatch.from_arrays([*values, *none], [x.split()[0] for x in _OUT.split(", ")])
+
+
+def _heads(r: _Rows) -> pa.RecordBatch:
+    n = len(r)
+    none = [pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(3))]
+    values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size)]
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(r.doc), *none, *values], [x.split()[0] for x in _OUT.split(", ")])
+
+
+def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, ends: bool) -> Iterator[pa.RecordBatch]:
+    """Links (kind 0) among rows sorted by key and sig; with `ends` also (kind 1) the windows of the first and the last key that are like none before."""
+    first_key = None
+    held: _Rows | None = None  # of the last key: its first window, the last one, and those found by runs
+    found: dict[bytes, int] = {}  # places in held
+    fresh: list[int] = []  # places in held of windows like none before
+    for batch in batches:
+        r = _Rows.of(batch)
+        if not len(r):
+            continue
+        old = 0
+        if held is not None:
+            old = len(held)
+            r = r.behind(held)
+        n = len(r)
+        if first_key is None:
+            first_key = r.key[0]
+        group = np.ones(n, bool)
+        group[1:] = r.key[1:] != r.key[:-1]
+        if old:
+            group[:old] = False
+            group[0] = True
+        head = group | np.concatenate([[True], r.sig[1:] != r.sig[:-1]])
+        if old:  # the last row that is held is the head of the last run
+            head[:old] = True
+            group[old] = r.key[old] != r.key[old - 1]
+            head[old] = group[old] or r.sig[old] != r.sig[old - 1]
+        mine = np.arange(n)
+        of_run, of_group = np.maximum.accumulate(np.where(head, mine, 0)), np.maximum.accumulate(np.where(group, mine, 0))
+        copies = np.flatnonzero(~head)
+        copies = copies[r.doc[copies] != r.doc[of_run[copies]]]
+        if len(copies):
+            x = of_run[copies]
+            yield _links(r.doc[x], r.doc[copies], r.first[x], r.first[copies], r.size[copies])
+        heads = np.flatnonzero(head & ~group & (mine >= old))
+        ok, a, b, size = _alike(r, of_group[heads], heads, width, similarity)
+        linked = ok & (r.doc[of_group[heads]] != r.doc[heads])
+        if linked.any():
+            y = heads[linked]
+            yield _links(r.doc[of_group[y]], r.doc[y], a[linked], b[linked], size[linked])
+        # Groups of three heads or more, or that began before: windows find each other by common runs too.
+        last_group = int(of_group[-1])
+        several = np.bincount(of_group[heads], minlength=n) if len(heads) else np.zeros(n, np.int64)
+        pairs: list[tuple[int, int]] = []
+        fits = dict(zip(heads.tolist(), ok.tolist(), strict=True))
+        done = -1
+        places: dict[bytes, int] = {}
+        new_fresh: list[int] = []
+        many = [g for g in np.flatnonzero(group).tolist() if several[g] > 1 or g == last_group or g == 0]
+        stops = np.append(np.flatnonzero(group), n)
+        for g in many:
+            end = int(stops[np.searchsorted(stops, g, "right")])
+            if g == 0 and old:
+                places = dict(found)
+                own_fresh = list(fresh)
+                members = heads[(heads >= old) & (heads < end)].tolist()
+            else:
+                places, own_fresh = {k: g for k in _runs(r, g)}, [g]
+                members = heads[(heads > g) & (heads < end)].tolist()
+            for i in members:
+                like = fits[i]
+                for k in _runs(r, i):
+                    j = places.setdefault(k, i)
+                    if j != i and not like:
+                        pairs.append((j, i))
+                        like = True
+                if not like:
+                    own_fresh.append(i)
+            if ends and (r.key[g] == first_key) and g != last_group:
+                yield _heads(r.take(np.array(sorted(set(own_fresh)))))
+            done, new_fresh = g, own_fresh
+        if pairs:
+            x, y = (np.array(v) for v in zip(*pairs, strict=True))
+            ok, a, b, size = _alike(r, x, y, width, similarity)
+            ok &= r.doc[x] != r.doc[y]
+            if ok.any():
+                yield _links(r.doc[x[ok]], r.doc[y[ok]], a[ok], b[ok], size[ok])
+        assert done == last_group
+        # Keep the last key's first window, those found by runs, and the head of the last run at the end.
+        keep = sorted({last_group, *places.values(), *new_fresh})
+        at = {i: k for k, i in enumerate(keep)}
+        held = r.take(np.array([*keep, int(of_run[-1])]))
+        found, fresh = {k: at[i] for k, i in places.items()}, [at[i] for i in new_fresh]
+    if ends and held is not None:
+        yield _heads(held.take(np.array(sorted(set(fresh)))))
 
 
 def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,19 +346,19 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMIL
     keys = _emit(own, width, hashes, block).groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     bits = spark.sparkContext.broadcast(bloom.build(cut(keys.select("key")), "key", MAX_FILTER_BYTES))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = _emit_again(own, bits, width, hashes, block).repartitionByRange(parts, "key", "doc", "at").sortWithinPartitions("key", "doc", "at")
+    order = ("key", "sig", "doc", "at")
+    dealt = _emit_again(own, bits, width, hashes, block).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _out(_compare(_rows(batches), width, similarity, True))
-
-    compared = cut(dealt.mapInArrow(stream, _LINK))
-    # Keys that go on in another partition: their first windows, a few from each, meet by key.
-    heads = compared.where("kind = 1").select("key", "doc", "at", "first", "marks").repartition(parts, "key").sortWithinPartitions("key", "doc", "at")
+        yield from _stream(batches, width, similarity, True)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _out(_compare(_rows(batches), width, similarity, False))
+        yield from _stream(batches, width, similarity, False)
 
-    every = compared.where("kind = 0").unionByName(heads.mapInArrow(meet, _LINK))
+    compared = cut(dealt.mapInArrow(stream, _OUT))
+    # Keys that go on in another partition: their first windows, a few from each, meet by key.
+    heads = compared.where("kind = 1").select("key", "sig", "doc", "at", "first", "marks").repartition(parts, "key").sortWithinPartitions(*order)
+    every = compared.where("kind = 0").unionByName(heads.mapInArrow(meet, _OUT))
     return every.select("doc", "other", "a", "b", (F.col("size") + SHINGLE - 1).alias("size"))
 
 
@@ -274,7 +374,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     document's parts and aren't compared with each other. Texts under
     min_words have no windows. An empty table gives an empty result.
     """
-    found = cut(links(docs, min_words, similarity, hashes, block, doc_id, text))
+    found = links(docs, min_words, similarity, hashes, block, doc_id, text)
     classes = components(found.select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct())
     one = found.select("doc", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("size")).alias("end")).alias("p"))
     two = found.select(F.col("other").alias("doc"), F.struct(F.col("b").alias("start"), (F.col("b") + F.col("size")).alias("end")).alias("p"))
@@ -283,10 +383,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     start = F.array().cast("array<struct<start:int,end:int>>")
 
     def join(done, x):
-        last = F.element_at(done, -1)
         touch = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"])
         longer = F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), F.greatest(F.get(done, F.size(done) - 1)["end"], x["end"]).alias("end"))
-        del last
         return F.when(touch, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
 
     spans = spans.withColumn("passages", F.aggregate("p", start, join))

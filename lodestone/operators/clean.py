@@ -7,7 +7,7 @@ rows is no hot partition, and the rows themselves do not move.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,17 +40,34 @@ def null_profile(df: DataFrame) -> DataFrame:
     return long.select("column_name", "n_null", F.round(100 * F.col("n_null") / F.greatest("__n", F.lit(1)), 4).alias("pct_null"))
 
 
-def fill_by_group(df: DataFrame, column: str, group: str, how: str = "median") -> DataFrame:
-    """Nulls filled with the group's median or mean, then with that of the whole column.
+def fill_all(df: DataFrame, group: str, how: Mapping[str, str]) -> DataFrame:
+    """Nulls of several columns filled with the group's median or mean, then with that of the whole column.
 
     After a fill by means the overall mean is taken over the filled column.
+    One rollup has the groups' statistics and the overall ones, so the rows are
+    read once for all statistics and once to be filled.
     """
-    stat = {"median": F.median, "mean": F.avg}[how]
-    by = df.groupBy(group).agg(stat(column).alias("__by"))
-    joined = df.join(by.withColumnRenamed(group, "__group"), df[group].eqNullSafe(F.col("__group")), "left").drop("__group")
-    filled = joined.withColumn(column, F.coalesce(column, "__by")).drop("__by")
-    over = (df if how == "median" else filled).agg(stat(column).alias("__all"))
-    return filled.join(F.broadcast(over)).withColumn(column, F.coalesce(column, "__all")).drop("__all")
+    stats = [({"median": F.median, "mean": F.avg}[h])(c).alias(f"{c}__by") for c, h in how.items()]
+    sums = [x for c, h in how.items() if h == "mean" for x in (F.sum(c).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n"))]
+    table = df.rollup(group).agg(F.grouping_id().alias("__gid"), F.count(F.lit(1)).alias("__rows"), *stats, *sums)
+    by = table.where("__gid = 0").select(F.col(group).alias("__group"), *[f"{c}__by" for c in how])
+
+    def overall(c: str, h: str) -> Column:
+        if h == "median":
+            return F.max(F.when(F.col("__gid") == 1, F.col(f"{c}__by")))
+        own = (F.col("__gid") == 0) & (F.col(f"{c}__n") > 0)
+        filled = F.col(f"{c}__sum") + (F.col("__rows") - F.col(f"{c}__n")) * F.col(f"{c}__by")
+        return F.sum(F.when(own, filled)) / F.nullif(F.sum(F.when(own, F.col("__rows"))), F.lit(0))
+
+    over = table.agg(*[overall(c, h).alias(f"{c}__all") for c, h in how.items()])
+    joined = df.join(by, df[group].eqNullSafe(by["__group"]), "left").drop("__group").join(F.broadcast(over))
+    filled = joined.withColumns({c: F.coalesce(c, f"{c}__by", f"{c}__all") for c in how})
+    return filled.drop(*[f"{c}__{k}" for c in how for k in ("by", "all")])
+
+
+def fill_by_group(df: DataFrame, column: str, group: str, how: str = "median") -> DataFrame:
+    """fill_all for one column."""
+    return fill_all(df, group, {column: how})
 
 
 def clean(titles: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
@@ -59,8 +76,7 @@ def clean(titles: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     df = df.withColumns({"genre": S.or_unknown("genre"), "type": S.or_unknown("type"), "episodes": S.number("episodes")})
     if types:
         df = df.withColumn("type", S.in_list("type", types))
-    df = fill_by_group(df, "episodes", "type", "median")
-    df = fill_by_group(df, "rating", "type", "mean").withColumn("rating", F.round("rating", 2))
+    df = fill_all(df, "type", {"episodes": "median", "rating": "mean"}).withColumn("rating", F.round("rating", 2))
     df = df.withColumn("tags", S.tags("genre"))
     size = F.size("tags")
     return df.withColumns({

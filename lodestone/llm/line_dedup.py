@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, strip_spaces, text_key
+from .shared import ascii_lower, cut, strip_spaces, text_key
 
 _NEWLINE = "\n"
 
@@ -73,7 +73,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, mode: str = "all", doc_id:
     """
     if mode not in ("all", "first"):
         raise ValueError(f"mode is all or first, not {mode!r}")
-    doomed = key_stats(docs, doc_id, text).where(F.col("n_docs") >= min_docs)
+    # Cut off, the few keys and the lines meet in a plain join, whose hot keys are split, or which broadcasts if the keys measure small.
+    doomed = cut(key_stats(docs, doc_id, text).where(F.col("n_docs") >= min_docs))
     occ = occurrences(docs, doc_id, text)
     if mode == "all":
         gone = occ.join(doomed.select("h", "g"), ["h", "g"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .components import components
+from .components import components, with_least
 from .shared import cut, ship
 
 SEED = 42
@@ -102,6 +102,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = cut(components(links(fps, radius)))  # (node, root)
     least = fps.groupBy("fp").agg(F.min("doc").alias("least"))
     named = least.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    labels = named.select("fp", "root").join(smallest, "root").select("fp", "component")
+    labels = with_least(named, "root", "least", "fp", "component").select("fp", "component")
     return fps.join(labels, "fp").select("doc", "fp", "component")

@@ -334,6 +334,13 @@ def test_links_connect_what_is_within_the_radius(spark):
     assert [roots.get(f, f) for f in fps] == [fps[i] for i in want]
 
 
+def test_least_value_reaches_all_rows_of_hot_keys(spark):
+    rows = [(1, i, i) for i in range(5, 3000)] + [(2, None, 1), (2, 7, 2), (3, None, 1), (4, 9, None), (4, 9, None), (None, 1, 1)]
+    got = components.with_least(spark.createDataFrame(rows, "k long, v long, b long"), "k", "v", "b", "m").collect()
+    least = {1: 5, 2: 7, 3: None, 4: 9}
+    assert Counter((x.k, x.v, x.b, x.m) for x in got) == Counter((k, v, b, least[k]) for k, v, b in rows if k)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 200), (None, 3), (300, 301), (301, 300), (300, 301)]
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -23,8 +23,10 @@ so both texts emit a window there.
    Each is compared with the first window of its key, and with one window for
    every 42 shingles around the minimum that both have: of two equal runs of 46
    shingles there are always such. So work grows with the windows, not with
-   their pairs. The first windows of a key that goes on in another partition
-   are compared in a last step.
+   their pairs. The windows that stand for the runs of a key that goes on in
+   another partition meet once more, dealt by key and run, so that a partition
+   sends at most one to each such group; and dealt by key and a part of the
+   content, each part beside the first window of the key.
 4. Links between documents give classes by connected components; spans of a
    document are joined where they touch.
 """
@@ -233,29 +235,31 @@ def _runs(r: _Rows, i: int) -> list[bytes]:
     return out
 
 
-_OUT = "kind int, doc long, other long, a int, b int, size int, key long, sig long, at int, first int, marks binary"
+_OUT = "kind int, doc long, other long, a int, b int, size int, key long, sig long, at int, first int, marks binary, runs array<bigint>"
 
 
 def _links(doc, other, a, b, size) -> pa.RecordBatch:
     n = len(doc)
-    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))]
     values = [pa.array(np.zeros(n, np.int32)), pa.array(doc), pa.array(other), *(pa.array(np.asarray(v).astype(np.int32)) for v in (a, b, size))]
     return pa.RecordBatch.from_arrays([*values, *none], [x.split()[0] for x in _OUT.split(", ")])
 
 
 def _heads(r: _Rows) -> pa.RecordBatch:
+    import xxhash
+
     n = len(r)
+    runs = [np.array([xxhash.xxh3_64_intdigest(x, int(r.key[i]) % (1 << 64)) for x in _runs(r, i)], np.uint64).view(np.int64) for i in range(n)]
     none = [pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(3))]
-    values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size)]
+    values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size), pa.array(runs, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(r.doc), *none, *values], [x.split()[0] for x in _OUT.split(", ")])
 
 
 def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, ends: bool) -> Iterator[pa.RecordBatch]:
-    """Links (kind 0) among rows sorted by key and sig; with `ends` also (kind 1) the windows of the first and the last key that are like none before."""
+    """Links (kind 0) among rows sorted by key and sig; with `ends` also (kind 1) the windows of the first and the last key that stand for a run, and the first ones of these keys."""
     first_key = None
     held: _Rows | None = None  # of the last key: its first window, the last one, and those found by runs
     found: dict[bytes, int] = {}  # places in held
-    fresh: list[int] = []  # places in held of windows like none before
     for batch in batches:
         r = _Rows.of(batch)
         if not len(r):
@@ -294,33 +298,25 @@ def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, en
         last_group = int(of_group[-1])
         several = np.bincount(of_group[heads], minlength=n) if len(heads) else np.zeros(n, np.int64)
         pairs: list[tuple[int, int]] = []
-        fits = dict(zip(heads.tolist(), ok.tolist(), strict=True))
         done = -1
         places: dict[bytes, int] = {}
-        new_fresh: list[int] = []
         many = [g for g in np.flatnonzero(group).tolist() if several[g] > 1 or g == last_group or g == 0]
         stops = np.append(np.flatnonzero(group), n)
         for g in many:
             end = int(stops[np.searchsorted(stops, g, "right")])
             if g == 0 and old:
                 places = dict(found)
-                own_fresh = list(fresh)
                 members = heads[(heads >= old) & (heads < end)].tolist()
             else:
-                places, own_fresh = {k: g for k in _runs(r, g)}, [g]
+                places = {k: g for k in _runs(r, g)}
                 members = heads[(heads > g) & (heads < end)].tolist()
             for i in members:
-                like = fits[i]
-                for k in _runs(r, i):
-                    j = places.setdefault(k, i)
-                    if j != i and not like:
-                        pairs.append((j, i))
-                        like = True
-                if not like:
-                    own_fresh.append(i)
+                # The first one is compared with all already.
+                met = {places.setdefault(k, i) for k in _runs(r, i)} - {i, g}
+                pairs.extend((j, i) for j in sorted(met))
             if ends and (r.key[g] == first_key) and g != last_group:
-                yield _heads(r.take(np.array(sorted(set(own_fresh)))))
-            done, new_fresh = g, own_fresh
+                yield _heads(r.take(np.array(sorted({g, *places.values()}))))
+            done = g
         if pairs:
             x, y = (np.array(v) for v in zip(*pairs, strict=True))
             ok, a, b, size = _alike(r, x, y, width, similarity)
@@ -329,12 +325,30 @@ def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, en
                 yield _links(r.doc[x[ok]], r.doc[y[ok]], a[ok], b[ok], size[ok])
         assert done == last_group
         # Keep the last key's first window, those found by runs, and the head of the last run at the end.
-        keep = sorted({last_group, *places.values(), *new_fresh})
+        keep = sorted({last_group, *places.values()})
         at = {i: k for k, i in enumerate(keep)}
         held = r.take(np.array([*keep, int(of_run[-1])]))
-        found, fresh = {k: at[i] for k, i in places.items()}, [at[i] for i in new_fresh]
+        found = {k: at[i] for k, i in places.items()}
     if ends and held is not None:
-        yield _heads(held.take(np.array(sorted(set(fresh)))))
+        yield _heads(held.take(np.array(sorted({0, *found.values()}))))
+
+
+def _meetings(compared: DataFrame, parts: int) -> DataFrame:
+    """The windows of keys that go on in another partition, once for each place where they meet, which is their new key."""
+    window = ("key", "sig", "doc", "at", "first")
+    bucket = F.pmod(F.xxhash64("sig"), F.lit(parts))
+    heads = compared.where("kind = 1").select(*window, "marks", "runs", bucket.alias("bucket"), F.spark_partition_id().alias("part"))
+    elsewhere = F.min("part") < F.max("part")
+    # By key and run. Marks stay behind until it is known which runs are in two partitions.
+    runs = heads.select(*window, "part", F.explode("runs").alias("run"))
+    shared = runs.groupBy("run").agg(elsewhere.alias("more")).where("more").select("run")
+    by_run = heads.join(runs.join(shared, "run").select(*window, "run").distinct(), list(window)).select(F.col("run").alias("key"), *window[1:], "marks")
+    # By key and bucket: the buckets that a key has, each beside the least window of the key.
+    keys = heads.groupBy("key").agg(elsewhere.alias("more"), F.min(F.struct("sig", "doc", "at", "first")).alias("least"), F.collect_set("bucket").alias("buckets")).where("more")
+    place = F.xxhash64("key", "bucket").alias("key")
+    own = heads.join(keys.select("key", F.explode("buckets").alias("bucket")), ["key", "bucket"])
+    least = heads.drop("bucket").join(keys.select("key", "least.*", "buckets"), list(window)).withColumn("bucket", F.explode("buckets"))
+    return by_run.unionAll(own.select(place, *window[1:], "marks")).unionAll(least.select(place, *window[1:], "marks"))
 
 
 def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,9 +370,8 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMIL
         yield from _stream(batches, width, similarity, False)
 
     compared = cut(dealt.mapInArrow(stream, _OUT))
-    # Keys that go on in another partition: their first windows, a few from each, meet by key.
-    heads = compared.where("kind = 1").select("key", "sig", "doc", "at", "first", "marks").repartition(parts, "key").sortWithinPartitions(*order)
-    every = compared.where("kind = 0").unionByName(heads.mapInArrow(meet, _OUT))
+    met = _meetings(compared, parts).repartition(parts, "key").sortWithinPartitions(*order)
+    every = compared.where("kind = 0").unionByName(met.mapInArrow(meet, _OUT))
     return every.select("doc", "other", "a", "b", (F.col("size") + SHINGLE - 1).alias("size"))
 
 

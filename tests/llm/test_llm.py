@@ -135,6 +135,17 @@ def test_many_copies_of_one_passage(spark):
     assert {x.doc_id for x in got} == set(range(60)) and {x.class_id for x in got} == {0}
 
 
+def test_a_hot_key_amid_different_texts_meets_over_partitions(spark):
+    # All hold 30 words, which make one key; only the last ones of 60 words and more repeat.
+    r = random.Random(13)
+    shared = prose(r, 30)
+    texts = [prose(r, 60) + " " + shared + " " + prose(r, 60) for _ in range(80)]
+    around = [(prose(r, 30), prose(r, 30)) for _ in range(12)]
+    texts += [prose(r, 40) + f" {a} {shared} {b} " + prose(r, 40) for _ in range(2) for a, b in around]
+    got = {x.doc_id: x.class_id for x in passage_dedup.repeated_passages(docs_of(spark, texts).repartition(6)).collect()}
+    assert got == {**{80 + i: 80 + i for i in range(12)}, **{92 + i: 80 + i for i in range(12)}}
+
+
 # --- 3 ------------------------------------------------------------------------
 
 

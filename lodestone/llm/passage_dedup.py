@@ -245,11 +245,17 @@ def _links(doc, other, a, b, size) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*values, *none], [x.split()[0] for x in _OUT.split(", ")])
 
 
-def _heads(r: _Rows) -> pa.RecordBatch:
+def _heads(r: _Rows, first: int, places: dict[bytes, int]) -> pa.RecordBatch:
+    """The first window of a key and those that hold its runs, each with just the runs that it holds."""
     import xxhash
 
-    n = len(r)
-    runs = [np.array([xxhash.xxh3_64_intdigest(x, int(r.key[i]) % (1 << 64)) for x in _runs(r, i)], np.uint64).view(np.int64) for i in range(n)]
+    keep = sorted({first, *places.values()})
+    at, seed, n = {i: k for k, i in enumerate(keep)}, int(r.key[first]) % (1 << 64), len(keep)
+    runs: list[list[int]] = [[] for _ in keep]
+    for k, i in places.items():
+        h = xxhash.xxh3_64_intdigest(k, seed)
+        runs[at[i]].append(h - (1 << 64) if h >> 63 else h)
+    r = r.take(np.array(keep))
     none = [pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(3))]
     values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size), pa.array(runs, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(r.doc), *none, *values], [x.split()[0] for x in _OUT.split(", ")])
@@ -315,7 +321,7 @@ def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, en
                 met = {places.setdefault(k, i) for k in _runs(r, i)} - {i, g}
                 pairs.extend((j, i) for j in sorted(met))
             if ends and (r.key[g] == first_key) and g != last_group:
-                yield _heads(r.take(np.array(sorted({g, *places.values()}))))
+                yield _heads(r, g, places)
             done = g
         if pairs:
             x, y = (np.array(v) for v in zip(*pairs, strict=True))
@@ -330,7 +336,7 @@ def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, en
         held = r.take(np.array([*keep, int(of_run[-1])]))
         found = {k: at[i] for k, i in places.items()}
     if ends and held is not None:
-        yield _heads(held.take(np.array(sorted({0, *found.values()}))))
+        yield _heads(held, 0, found)
 
 
 def _meetings(compared: DataFrame, parts: int) -> DataFrame:

@@ -9,7 +9,7 @@ one of them. Runs that two texts share have their minimum at the same shingle,
 so both texts emit a window there.
 
 1. Each window emits a key for either side of its minimum that is long enough:
-   the hash of the minimum and the 22 shingles next to it on that side. Of
+   the hash of the minimum and the 12 shingles next to it on that side. Of
    `width` = 46 shingles at least one side has them, so equal passages always
    share a key. A partial aggregate finds the keys of two documents or more.
 2. A Bloom filter of these keys, within a fixed bound, goes to the executors.
@@ -49,7 +49,7 @@ SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Hash functions, and shingles of the block beside a minimum that a key takes in.
-HASHES, BLOCK = 2, 22
+HASHES, BLOCK = 3, 12
 #: Shingles of a common run by which windows find each other beside the first, and the step between runs.
 RUN, STEP = 42, 4
 MAX_FILTER_BYTES = 64 << 20

@@ -127,6 +127,27 @@ def test_repeated_passages_are_found_and_others_left(spark):
     assert passage_dedup.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def keys_of(words):
+    _, h, place = next(passage_dedup._shingles(pa.array([" ".join(words)])))
+    found = passage_dedup._keys(h, place, 46, passage_dedup.HASHES, passage_dedup.BLOCK)
+    return set(np.concatenate([k for k, _, _, _ in found] or [np.zeros(0, np.uint64)]).tolist())
+
+
+def test_passages_with_edits_share_a_key():
+    # Unrelated texts around them; by brute force all have similarity 0.8 or more.
+    r = random.Random(14)
+    for size, places in ((52, (26,)), (60, (30,)), (80, (40,)), (100, (33, 66))):
+        shared = 0
+        for _ in range(200):
+            one = prose(r, size, 1 << 30).split()
+            two = [f"x{i}" if i in places else w for i, w in enumerate(one)]
+            a, b = ({tuple(x[i : i + 5]) for i in range(size - 4)} for x in (one, two))
+            assert len(a & b) >= 0.8 * len(a | b)
+            x, y = (prose(r, 60, 1 << 30).split() + w + prose(r, 60, 1 << 30).split() for w in (one, two))
+            shared += bool(keys_of(x) & keys_of(y))
+        assert shared >= 0.9 * 200
+
+
 def test_many_copies_of_one_passage(spark):
     r = random.Random(12)
     shared = prose(r, 55)

@@ -20,13 +20,12 @@ so both texts emit a window there.
    stream by. Equal windows stand together: each is a link to the first. The
    others are aligned at their minimum and the marks of the common interval
    compared: similarity 0.8 or more over at least `width` shingles is a link.
-   Each is compared with the first window of its key, and with one window for
-   every 42 shingles around the minimum that both have: of two equal runs of 46
-   shingles there are always such. So work grows with the windows, not with
-   their pairs. The windows that stand for the runs of a key that goes on in
-   another partition meet once more, dealt by key and run, so that a partition
-   sends at most one to each such group; and dealt by key and a part of the
-   content, each part beside the first window of the key.
+   Each pair of different windows of a key is compared, if their documents are
+   not linked already: first all with the first window, then, by the count of
+   marks that both hold, the others with each other. The different windows of a
+   key that goes on in another partition meet once more, dealt into buckets;
+   each pair of buckets is one group. So alike windows take linear work, and n
+   windows of a key of which none are alike n * n / 2 counts of marks.
 4. Links between documents give classes by connected components; spans of a
    document are joined where they touch.
 """
@@ -50,8 +49,8 @@ MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Hash functions, and shingles of the block beside a minimum that a key takes in.
 HASHES, BLOCK = 3, 12
-#: Shingles of a common run by which windows find each other beside the first, and the step between runs.
-RUN, STEP = 42, 4
+#: Windows of a bucket, of a key that goes on in another partition.
+BUCKET = 500
 MAX_FILTER_BYTES = 64 << 20
 
 _SEEDS = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFEADBEEF, 0x8C2F5E1D3B4A6977, 0xD1B54A32D192ED03], np.uint64)
@@ -225,136 +224,117 @@ def _alike(r: _Rows, x: np.ndarray, y: np.ndarray, width: int, similarity: float
     return ok, a, b, size
 
 
-def _runs(r: _Rows, i: int) -> list[bytes]:
-    """The runs of marks around the minimum by which a window is found."""
-    c, out = r.start[i] + r.at[i] - r.first[i], []
-    for x in range(0, RUN, STEP):
-        a, b = c - x, c + RUN - x
-        if a >= r.start[i] and b <= r.start[i] + r.size[i]:
-            out.append(bytes([x]) + r.marks[a:b].tobytes())
-    return out
-
-
-_OUT = "kind int, doc long, other long, a int, b int, size int, key long, sig long, at int, first int, marks binary, runs array<bigint>"
+_OUT = "kind int, doc long, other long, a int, b int, size int, key long, sig long, at int, first int, marks binary"
 
 
 def _links(doc, other, a, b, size) -> pa.RecordBatch:
     n = len(doc)
-    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))]
+    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
     values = [pa.array(np.zeros(n, np.int32)), pa.array(doc), pa.array(other), *(pa.array(np.asarray(v).astype(np.int32)) for v in (a, b, size))]
     return pa.RecordBatch.from_arrays([*values, *none], [x.split()[0] for x in _OUT.split(", ")])
 
 
-def _heads(r: _Rows, first: int, places: dict[bytes, int]) -> pa.RecordBatch:
-    """The first window of a key and those that hold its runs, each with just the runs that it holds."""
-    import xxhash
-
-    keep = sorted({first, *places.values()})
-    at, seed, n = {i: k for k, i in enumerate(keep)}, int(r.key[first]) % (1 << 64), len(keep)
-    runs: list[list[int]] = [[] for _ in keep]
-    for k, i in places.items():
-        h = xxhash.xxh3_64_intdigest(k, seed)
-        runs[at[i]].append(h - (1 << 64) if h >> 63 else h)
-    r = r.take(np.array(keep))
+def _heads(r: _Rows) -> pa.RecordBatch:
+    n = len(r)
     none = [pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(3))]
-    values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size), pa.array(runs, pa.list_(pa.int64()))]
+    values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size)]
     return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(r.doc), *none, *values], [x.split()[0] for x in _OUT.split(", ")])
 
 
+def _compare(r: _Rows, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links among different windows, in order of their keys: all pairs of a key but those whose documents are linked already."""
+    n = len(r)
+    group = np.ones(n, bool)
+    group[1:] = r.key[1:] != r.key[:-1]
+    starts = np.flatnonzero(group)
+    of_group = starts[np.cumsum(group) - 1]
+    rest = np.flatnonzero(~group)
+    ok, a, b, size = _alike(r, of_group[rest], rest, width, similarity)
+    other = r.doc[of_group[rest]] != r.doc[rest]
+    linked = ok & other
+    if linked.any():
+        y = rest[linked]
+        yield _links(r.doc[of_group[y]], r.doc[y], a[linked], b[linked], size[linked])
+    joined = group.copy()
+    joined[rest] = ok | ~other
+    ends = np.append(starts[1:], n)
+    # Two alike windows share so many marks at least.
+    need = int(np.ceil(similarity * width - 1e-9))
+    for k in np.flatnonzero(~np.logical_and.reduceat(joined, starts)).tolist() if n else ():
+        yield from _rest(r, int(starts[k]), int(ends[k]), joined, need, width, similarity)
+
+
+def _rest(r: _Rows, begin: int, end: int, joined: np.ndarray, need: int, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links among rows begin to end of one key, of which the joined ones are of the first one's class."""
+    none, n = 1 << 16, end - begin
+    marks = np.full((n, int(r.size[begin:end].max())), none, np.int32)
+    marks[np.arange(marks.shape[1]) < r.size[begin:end, None]] = r.marks[T.gather_ragged(r.start[begin:end], r.size[begin:end])]
+    # Classes are those of documents.
+    label = np.unique(r.doc[begin:end], return_inverse=True)[1]
+    label[np.isin(label, label[joined[begin:end]])] = label[0]
+    held = np.zeros(none + 1, np.uint8)
+    for i in range(n - 1):
+        apart = label[i + 1 :] != label[i]
+        if not apart.any():
+            if i == 0 or (label == label[0]).all():
+                return
+            continue
+        held[marks[i]] = 1
+        held[none] = 0
+        near = i + 1 + np.flatnonzero(apart & (held[marks[i + 1 :]].sum(axis=1, dtype=np.int32) >= need))
+        held[marks[i]] = 0
+        if not len(near):
+            continue
+        ok, a, b, size = _alike(r, np.full(len(near), begin + i), begin + near, width, similarity)
+        if ok.any():
+            y = near[ok]
+            yield _links(r.doc[np.full(len(y), begin + i)], r.doc[begin + y], a[ok], b[ok], size[ok])
+            label[np.isin(label, label[y])] = label[i]
+
+
 def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, ends: bool) -> Iterator[pa.RecordBatch]:
-    """Links (kind 0) among rows sorted by key and sig; with `ends` also (kind 1) the windows of the first and the last key that stand for a run, and the first ones of these keys."""
+    """Links (kind 0) among rows sorted by key and sig; with `ends` also (kind 1) the different windows of the first and the last key."""
     first_key = None
-    held: _Rows | None = None  # of the last key: its first window, the last one, and those found by runs
-    found: dict[bytes, int] = {}  # places in held
+    held: _Rows | None = None  # the different windows of the last key
     for batch in batches:
         r = _Rows.of(batch)
         if not len(r):
             continue
-        old = 0
         if held is not None:
-            old = len(held)
             r = r.behind(held)
-        n = len(r)
         if first_key is None:
             first_key = r.key[0]
-        group = np.ones(n, bool)
-        group[1:] = r.key[1:] != r.key[:-1]
-        if old:
-            group[:old] = False
-            group[0] = True
-        head = group | np.concatenate([[True], r.sig[1:] != r.sig[:-1]])
-        if old:  # the last row that is held is the head of the last run
-            head[:old] = True
-            group[old] = r.key[old] != r.key[old - 1]
-            head[old] = group[old] or r.sig[old] != r.sig[old - 1]
-        mine = np.arange(n)
-        of_run, of_group = np.maximum.accumulate(np.where(head, mine, 0)), np.maximum.accumulate(np.where(group, mine, 0))
+        head = np.ones(len(r), bool)
+        head[1:] = (r.key[1:] != r.key[:-1]) | (r.sig[1:] != r.sig[:-1])
+        of_run = np.maximum.accumulate(np.where(head, np.arange(len(r)), 0))
         copies = np.flatnonzero(~head)
         copies = copies[r.doc[copies] != r.doc[of_run[copies]]]
         if len(copies):
             x = of_run[copies]
             yield _links(r.doc[x], r.doc[copies], r.first[x], r.first[copies], r.size[copies])
-        heads = np.flatnonzero(head & ~group & (mine >= old))
-        ok, a, b, size = _alike(r, of_group[heads], heads, width, similarity)
-        linked = ok & (r.doc[of_group[heads]] != r.doc[heads])
-        if linked.any():
-            y = heads[linked]
-            yield _links(r.doc[of_group[y]], r.doc[y], a[linked], b[linked], size[linked])
-        # Groups of three heads or more, or that began before: windows find each other by common runs too.
-        last_group = int(of_group[-1])
-        several = np.bincount(of_group[heads], minlength=n) if len(heads) else np.zeros(n, np.int64)
-        pairs: list[tuple[int, int]] = []
-        done = -1
-        places: dict[bytes, int] = {}
-        many = [g for g in np.flatnonzero(group).tolist() if several[g] > 1 or g == last_group or g == 0]
-        stops = np.append(np.flatnonzero(group), n)
-        for g in many:
-            end = int(stops[np.searchsorted(stops, g, "right")])
-            if g == 0 and old:
-                places = dict(found)
-                members = heads[(heads >= old) & (heads < end)].tolist()
-            else:
-                places = {k: g for k in _runs(r, g)}
-                members = heads[(heads > g) & (heads < end)].tolist()
-            for i in members:
-                # The first one is compared with all already.
-                met = {places.setdefault(k, i) for k in _runs(r, i)} - {i, g}
-                pairs.extend((j, i) for j in sorted(met))
-            if ends and (r.key[g] == first_key) and g != last_group:
-                yield _heads(r, g, places)
-            done = g
-        if pairs:
-            x, y = (np.array(v) for v in zip(*pairs, strict=True))
-            ok, a, b, size = _alike(r, x, y, width, similarity)
-            ok &= r.doc[x] != r.doc[y]
-            if ok.any():
-                yield _links(r.doc[x[ok]], r.doc[y[ok]], a[ok], b[ok], size[ok])
-        assert done == last_group
-        # Keep the last key's first window, those found by runs, and the head of the last run at the end.
-        keep = sorted({last_group, *places.values()})
-        at = {i: k for k, i in enumerate(keep)}
-        held = r.take(np.array([*keep, int(of_run[-1])]))
-        found = {k: at[i] for k, i in places.items()}
-    if ends and held is not None:
-        yield _heads(held, 0, found)
-
-
-def _meetings(compared: DataFrame, parts: int) -> DataFrame:
-    """The windows of keys that go on in another partition, once for each place where they meet, which is their new key."""
-    window = ("key", "sig", "doc", "at", "first")
-    bucket = F.pmod(F.xxhash64("sig"), F.lit(parts))
-    heads = compared.where("kind = 1").select(*window, "marks", "runs", bucket.alias("bucket"), F.spark_partition_id().alias("part"))
-    elsewhere = F.min("part") < F.max("part")
-    # By key and run. Marks stay behind until it is known which runs are in two partitions.
-    runs = heads.select(*window, "part", F.explode("runs").alias("run"))
-    shared = runs.groupBy("run").agg(elsewhere.alias("more")).where("more").select("run")
-    by_run = heads.join(runs.join(shared, "run").select(*window, "run").distinct(), list(window)).select(F.col("run").alias("key"), *window[1:], "marks")
-    # By key and bucket: the buckets that a key has, each beside the least window of the key.
-    keys = heads.groupBy("key").agg(elsewhere.alias("more"), F.min(F.struct("sig", "doc", "at", "first")).alias("least"), F.collect_set("bucket").alias("buckets")).where("more")
-    place = F.xxhash64("key", "bucket").alias("key")
-    own = heads.join(keys.select("key", F.explode("buckets").alias("bucket")), ["key", "bucket"])
-    least = heads.drop("bucket").join(keys.select("key", "least.*", "buckets"), list(window)).withColumn("bucket", F.explode("buckets"))
-    return by_run.unionAll(own.select(place, *window[1:], "marks")).unionAll(least.select(place, *window[1:], "marks"))
+        last = head & (r.key == r.key[-1])
+        whole = r.take(np.flatnonzero(head & ~last))
+        yield from _compare(whole, width, similarity)
+        first = np.flatnonzero(whole.key == first_key)
+        if ends and len(first):
+            yield _heads(whole.take(first))
+        held = r.take(np.flatnonzero(last))
+    if held is not None:
+        yield from _compare(held, width, similarity)
+        if ends:
+            yield _heads(held)
+
+
+def _meetings(compared: DataFrame) -> DataFrame:
+    """The windows of keys that go on in another partition, dealt into buckets; a pair of buckets is one new key."""
+    window = ("sig", "doc", "at", "first", "marks")
+    heads = compared.where("kind = 1").select("key", *window, F.spark_partition_id().alias("part"))
+    keys = heads.groupBy("key").agg((F.min("part") < F.max("part")).alias("more"), F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("buckets")).where("more").drop("more")
+    # A partition sends two keys at most, so this table is small.
+    dealt = heads.join(F.broadcast(keys), "key").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("buckets")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("buckets") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("buckets") == 1, every).otherwise(F.filter(every, lambda b: b != F.col("mine")))))
+    return dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *window)
 
 
 def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,9 +356,10 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMIL
         yield from _stream(batches, width, similarity, False)
 
     compared = cut(dealt.mapInArrow(stream, _OUT))
-    met = _meetings(compared, parts).repartition(parts, "key").sortWithinPartitions(*order)
-    every = compared.where("kind = 0").unionByName(met.mapInArrow(meet, _OUT))
-    return every.select("doc", "other", "a", "b", (F.col("size") + SHINGLE - 1).alias("size"))
+    met = _meetings(compared).repartition(parts, "key").sortWithinPartitions(*order)
+    # Windows of one bucket meet once for every other bucket.
+    again = met.mapInArrow(meet, _OUT).select("doc", "other", "a", "b", "size").distinct()
+    return compared.where("kind = 0").select("doc", "other", "a", "b", "size").unionAll(again).select("doc", "other", "a", "b", (F.col("size") + SHINGLE - 1).alias("size"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

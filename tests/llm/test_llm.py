@@ -148,6 +148,50 @@ def test_passages_with_edits_share_a_key():
         assert shared >= 0.9 * 200
 
 
+def test_families_of_edited_copies_are_one_class(spark):
+    # One original and 30 variants with one word replaced each: the first window of a key is itself an edited one.
+    r = random.Random(15)
+    joined, of = 0, 0
+    texts, originals = [], []
+    for _ in range(6):
+        one = prose(r, 60, 1 << 30).split()
+        originals.append(len(texts))
+        for k in range(31):
+            two = list(one)
+            if k:
+                two[r.randrange(60)] = "other"
+            texts.append(" ".join([prose(r, 60, 1 << 30), *two, prose(r, 60, 1 << 30)]))
+    got = {x.doc_id: x.class_id for x in passage_dedup.repeated_passages(docs_of(spark, texts).repartition(6)).collect()}
+    for o in originals:
+        joined += sum(got.get(o + k, -1) == got.get(o, -2) for k in range(1, 31))
+        of += 30
+    assert joined >= 0.97 * of, joined / of
+
+
+def window_rows(docs):
+    """A batch of windows of one key, each (document, marks, place of the minimum)."""
+    marks = [np.asarray(m, "<u2") for _, m, _ in docs]
+    n = len(docs)
+    packed = passage_dedup._binary(np.concatenate(marks), np.array([len(m) for m in marks]))
+    columns = [pa.array([7] * n), pa.array(range(n)), pa.array([d for d, _, _ in docs]), pa.array([a for _, _, a in docs], pa.int32()), pa.array([0] * n, pa.int32()), packed]
+    return pa.RecordBatch.from_arrays(columns, ["key", "sig", "doc", "at", "first", "marks"])
+
+
+def test_no_pair_of_different_windows_goes_unverified():
+    # The first window is like none; the second and the third share no long run around the minimum.
+    r = np.random.default_rng(5)
+    one = r.integers(0, 1 << 16, 91)
+    two = one.copy()
+    two[50:55] = r.integers(0, 1 << 16, 5)
+    two[20:25] = r.integers(0, 1 << 16, 5)
+    odd = r.integers(0, 1 << 16, 91)
+    odd[40:52] = one[40:52]
+    rows = window_rows([(1, odd, 45), (2, one, 45), (3, two, 45)])
+    for batches in ([rows], [rows.slice(0, 1), rows.slice(1, 1), rows.slice(2, 1)]):
+        links = [x for b in passage_dedup._stream(iter(batches), 46, 0.8, False) for x in b.to_pylist()]
+        assert {(x["doc"], x["other"]) for x in links if x["kind"] == 0} == {(2, 3)}
+
+
 def test_many_copies_of_one_passage(spark):
     r = random.Random(12)
     shared = prose(r, 55)

@@ -18,8 +18,11 @@ so both texts emit a window there.
 3. They are range-partitioned by (key, content, document, place), so that a key
    that a third of all documents hold is spread over many partitions, and
    stream by. Equal windows stand together: each is a link to the first. The
-   others are aligned at their minimum and the marks of the common interval
-   compared: similarity 0.8 or more over at least `width` shingles is a link.
+   others are aligned at their minimum and their marks compared place by place,
+   or else by the longest chain of equal marks in both, so that an inserted or
+   a deleted word shifts what follows. A link is the longest part of it that
+   begins and ends with equal shingles, has `width` of them or more in one text
+   and a similarity of 0.8 or more.
    Each pair of different windows of a key is compared, if their documents are
    not linked already: first all with the first window, then, by the count of
    marks that both hold, the others with each other. The different windows of a
@@ -32,6 +35,7 @@ so both texts emit a window there.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +55,8 @@ SIMILARITY = 0.8
 HASHES, BLOCK = 3, 12
 #: Windows of a bucket, of a key that goes on in another partition.
 BUCKET = 500
+#: A place that is near none.
+FAR = 1 << 20
 MAX_FILTER_BYTES = 64 << 20
 
 _SEEDS = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFEADBEEF, 0x8C2F5E1D3B4A6977, 0xD1B54A32D192ED03], np.uint64)
@@ -190,8 +196,8 @@ class _Rows:
         return _Rows(**{n: np.concatenate([getattr(other, n), getattr(self, n)]) for n in self.NAMES}, start=np.concatenate([other.start, self.start + len(other.marks)]), size=np.concatenate([other.size, self.size]), marks=np.concatenate([other.marks, self.marks]))
 
 
-def _alike(r: _Rows, x: np.ndarray, y: np.ndarray, width: int, similarity: float):
-    """For pairs of rows: whether they are alike, and the common interval (first shingles in both, size), cut at both ends to what is equal."""
+def _aligned(r: _Rows, x: np.ndarray, y: np.ndarray, width: int, similarity: float):
+    """For pairs of rows: whether they are alike place by place, and the interval (first shingles in both, size) from the first to the last equal mark."""
     back = np.minimum(r.at[x] - r.first[x], r.at[y] - r.first[y]).astype(np.int64)
     ahead = np.minimum(r.size[x] - (r.at[x] - r.first[x]), r.size[y] - (r.at[y] - r.first[y])).astype(np.int64)
     n = back + ahead
@@ -211,12 +217,6 @@ def _alike(r: _Rows, x: np.ndarray, y: np.ndarray, width: int, similarity: float
     span = np.maximum(high - low, 0)
     # Equal by place in `hits` of `span`: the union has 2 * span - hits members at most.
     good = (span >= width) & (hits >= similarity * (2 * span - hits))
-    for i in np.flatnonzero(~good & (hits >= width // 2)):  # shifted in part: counted as sets
-        u, v = r.marks[sx[i] : sx[i] + k[i]], r.marks[sy[i] : sy[i] + k[i]]
-        u, v = set(u.tolist()), set(v.tolist())
-        both = len(u & v)
-        if both >= similarity * (len(u) + len(v) - both):
-            good[i], low[i], span[i] = True, 0, k[i]
     ok[long] = good
     a[long] += np.where(good, low, 0)
     b[long] += np.where(good, low, 0)
@@ -224,19 +224,55 @@ def _alike(r: _Rows, x: np.ndarray, y: np.ndarray, width: int, similarity: float
     return ok, a, b, size
 
 
-_OUT = "kind int, doc long, other long, a int, b int, size int, key long, sig long, at int, first int, marks binary"
+def _chain(at: np.ndarray) -> np.ndarray:
+    """Places of a longest rising part of `at`."""
+    if (at[1:] > at[:-1]).all():
+        return np.arange(len(at))
+    tops: list[int] = []
+    ends: list[int] = []
+    before = []
+    for i, v in enumerate(at.tolist()):
+        k = bisect.bisect_left(tops, v)
+        before.append(ends[k - 1] if k else -1)
+        tops[k : k + 1], ends[k : k + 1] = [v], [i]
+    out, i = [], ends[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1])
+
+
+def _best(x: np.ndarray, y: np.ndarray, width: int, similarity: float):
+    """The longest alike interval of two texts of which place x[i] equals place y[i]: (first x, first y, size in x, size in y), or None.
+
+    x rises. It begins and ends with equal places, and one side of it has `width` places or more.
+    """
+    if not len(x):
+        return None
+    k = _chain(y)
+    x, y = x[k], y[k]
+    both = np.arange(1, len(x) + 1) - np.arange(len(x))[:, None]
+    nx, ny = x - x[:, None] + 1, y - y[:, None] + 1
+    ok = (both > 0) & (np.maximum(nx, ny) >= width) & (both >= similarity * (nx + ny - both))
+    if not ok.any():
+        return None
+    a, b = np.unravel_index(np.argmax(np.where(ok, nx + ny, 0)), ok.shape)
+    return int(x[a]), int(y[a]), int(nx[a, b]), int(ny[a, b])
+
+
+_OUT = "kind int, doc long, other long, a int, b int, size int, size_other int, key long, sig long, at int, first int, marks binary"
 
 
-def _links(doc, other, a, b, size) -> pa.RecordBatch:
+def _links(doc, other, a, b, size, size_other) -> pa.RecordBatch:
     n = len(doc)
     none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
-    values = [pa.array(np.zeros(n, np.int32)), pa.array(doc), pa.array(other), *(pa.array(np.asarray(v).astype(np.int32)) for v in (a, b, size))]
+    values = [pa.array(np.zeros(n, np.int32)), pa.array(doc), pa.array(other), *(pa.array(np.asarray(v).astype(np.int32)) for v in (a, b, size, size_other))]
     return pa.RecordBatch.from_arrays([*values, *none], [x.split()[0] for x in _OUT.split(", ")])
 
 
 def _heads(r: _Rows) -> pa.RecordBatch:
     n = len(r)
-    none = [pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(3))]
+    none = [pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(4))]
     values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size)]
     return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(r.doc), *none, *values], [x.split()[0] for x in _OUT.split(", ")])
 
@@ -249,12 +285,12 @@ def _compare(r: _Rows, width: int, similarity: float) -> Iterator[pa.RecordBatch
     starts = np.flatnonzero(group)
     of_group = starts[np.cumsum(group) - 1]
     rest = np.flatnonzero(~group)
-    ok, a, b, size = _alike(r, of_group[rest], rest, width, similarity)
+    ok, a, b, size = _aligned(r, of_group[rest], rest, width, similarity)
     other = r.doc[of_group[rest]] != r.doc[rest]
     linked = ok & other
     if linked.any():
         y = rest[linked]
-        yield _links(r.doc[of_group[y]], r.doc[y], a[linked], b[linked], size[linked])
+        yield _links(r.doc[of_group[y]], r.doc[y], a[linked], b[linked], size[linked], size[linked])
     joined = group.copy()
     joined[rest] = ok | ~other
     ends = np.append(starts[1:], n)
@@ -269,27 +305,51 @@ def _rest(r: _Rows, begin: int, end: int, joined: np.ndarray, need: int, width:
     none, n = 1 << 16, end - begin
     marks = np.full((n, int(r.size[begin:end].max())), none, np.int32)
     marks[np.arange(marks.shape[1]) < r.size[begin:end, None]] = r.marks[T.gather_ragged(r.start[begin:end], r.size[begin:end])]
+    # Place of the minimum in the row, and of each column from the minimum on.
+    low = (r.at - r.first)[begin:end].astype(np.int64)
+    columns = np.arange(marks.shape[1])
     # Classes are those of documents.
     label = np.unique(r.doc[begin:end], return_inverse=True)[1]
     label[np.isin(label, label[joined[begin:end]])] = label[0]
-    held = np.zeros(none + 1, np.uint8)
+    held, place = np.zeros(none + 1, np.uint8), np.full(none + 1, FAR, np.int32)
     for i in range(n - 1):
         apart = label[i + 1 :] != label[i]
         if not apart.any():
-            if i == 0 or (label == label[0]).all():
+            if (label == label[0]).all():
                 return
             continue
-        held[marks[i]] = 1
+        own = marks[i]
+        held[own] = 1
         held[none] = 0
         near = i + 1 + np.flatnonzero(apart & (held[marks[i + 1 :]].sum(axis=1, dtype=np.int32) >= need))
-        held[marks[i]] = 0
+        held[own] = 0
         if not len(near):
             continue
-        ok, a, b, size = _alike(r, np.full(len(near), begin + i), begin + near, width, similarity)
-        if ok.any():
-            y = near[ok]
-            yield _links(r.doc[np.full(len(y), begin + i)], r.doc[begin + y], a[ok], b[ok], size[ok])
-            label[np.isin(label, label[y])] = label[i]
+        # For each column of the others the place in this row that is equal: at the same distance from the minimum, or else at any near it.
+        place[own] = columns
+        place[none] = FAR
+        theirs = marks[near]
+        at = place[theirs]
+        place[own] = FAR
+        level = columns + (low[i] - low[near])[:, None]
+        inside = (level >= 0) & (level < r.size[begin + i])
+        at = np.where(inside & (own[np.where(inside, level, 0)] == theirs), level, at)
+        fits = np.abs(at - level) <= width // 2
+        # From the first to the last equal place, in both rows.
+        span = np.where(fits, columns, -1).max(axis=1) - np.where(fits, columns, FAR).min(axis=1)
+        span_own = np.where(fits, at, -1).max(axis=1) - np.where(fits, at, FAR).min(axis=1)
+        out = []
+        for k in np.flatnonzero((np.maximum(span, span_own) + 1 >= width) & (fits.sum(axis=1) >= need)).tolist():
+            j = int(near[k])
+            if label[j] == label[i]:
+                continue
+            x = np.flatnonzero(fits[k])
+            best = _best(x, at[k, x], width, similarity)
+            if best is not None:
+                out.append((r.doc[begin + i], r.doc[begin + j], r.first[begin + i] + best[1], r.first[begin + j] + best[0], best[3], best[2]))
+                label[label == label[j]] = label[i]
+        if out:
+            yield _links(*(np.array(v) for v in zip(*out, strict=True)))
 
 
 def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, ends: bool) -> Iterator[pa.RecordBatch]:
@@ -311,7 +371,7 @@ def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, en
         copies = copies[r.doc[copies] != r.doc[of_run[copies]]]
         if len(copies):
             x = of_run[copies]
-            yield _links(r.doc[x], r.doc[copies], r.first[x], r.first[copies], r.size[copies])
+            yield _links(r.doc[x], r.doc[copies], r.first[x], r.first[copies], r.size[copies], r.size[copies])
         last = head & (r.key == r.key[-1])
         whole = r.take(np.flatnonzero(head & ~last))
         yield from _compare(whole, width, similarity)
@@ -338,7 +398,7 @@ def _meetings(compared: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, other, a, b, size): verified links; `size` words from word a of doc and from word b of other are alike."""
+    """(doc, other, a, b, size, size_other): verified links; `size` words from word a of doc and `size_other` from word b of other are alike."""
     spark = docs.sparkSession
     ship(spark)
     width = min_words - SHINGLE + 1
@@ -357,9 +417,10 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMIL
 
     compared = cut(dealt.mapInArrow(stream, _OUT))
     met = _meetings(compared).repartition(parts, "key").sortWithinPartitions(*order)
+    names = ("doc", "other", "a", "b", "size", "size_other")
     # Windows of one bucket meet once for every other bucket.
-    again = met.mapInArrow(meet, _OUT).select("doc", "other", "a", "b", "size").distinct()
-    return compared.where("kind = 0").select("doc", "other", "a", "b", "size").unionAll(again).select("doc", "other", "a", "b", (F.col("size") + SHINGLE - 1).alias("size"))
+    again = cut(met.mapInArrow(meet, _OUT).select(*names).distinct())
+    return compared.where("kind = 0").select(*names).unionAll(again).select("doc", "other", "a", "b", *[(F.col(c) + SHINGLE - 1).alias(c) for c in ("size", "size_other")])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,7 +438,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     found = links(docs, min_words, similarity, hashes, block, doc_id, text)
     classes = components(found.select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct())
     one = found.select("doc", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("size")).alias("end")).alias("p"))
-    two = found.select(F.col("other").alias("doc"), F.struct(F.col("b").alias("start"), (F.col("b") + F.col("size")).alias("end")).alias("p"))
+    two = found.select(F.col("other").alias("doc"), F.struct(F.col("b").alias("start"), (F.col("b") + F.col("size_other")).alias("end")).alias("p"))
     # Equal spans first become one, so that a document at which many links end is small.
     spans = one.unionAll(two).groupBy("doc", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("n").alias("n_links"))
     start = F.array().cast("array<struct<start:int,end:int>>")

@@ -192,6 +192,41 @@ def test_no_pair_of_different_windows_goes_unverified():
         assert {(x["doc"], x["other"]) for x in links if x["kind"] == 0} == {(2, 3)}
 
 
+def links_of(rows):
+    found = [x for b in passage_dedup._stream(iter([rows]), 46, 0.8, False) for x in b.to_pylist()]
+    return {(x["doc"], x["other"], x["a"], x["b"], x["size"], x["size_other"]) for x in found if x["kind"] == 0}
+
+
+def test_the_best_common_interval_is_verified():
+    r = np.random.default_rng(6)
+
+    def other(n):
+        return r.integers(0, 1 << 16, n).tolist()
+
+    one = other(91)
+    # 46 equal shingles, eight others, one equal one: not alike as a whole.
+    assert links_of(window_rows([(1, one, 20), (2, one[:46] + other(8) + one[54:55] + other(36), 20)])) == {(1, 2, 0, 0, 46, 46)}
+    # One word deleted: four shingles in place of five, what follows is shifted; unrelated text on both sides.
+    two = other(20) + one[20:40] + other(4) + one[45:70] + other(20)
+    assert links_of(window_rows([(1, one, 25), (2, two, 25)])) == {(1, 2, 20, 20, 50, 49)}
+    # 49 equal words are too few.
+    assert not links_of(window_rows([(1, one, 40), (2, other(20) + one[20:65] + other(26), 40)]))
+
+
+def test_passages_with_a_deleted_or_inserted_word_are_linked(spark):
+    r = random.Random(16)
+    for size, change, least in ((60, -1, 0.8), (80, -1, 0.9), (80, 1, 0.9)):
+        texts = []
+        for _ in range(60):
+            one = prose(r, size, 1 << 30).split()
+            at = size // 2
+            two = one[:at] + (one[at + 1 :] if change < 0 else ["other", *one[at:]])
+            texts += [" ".join([prose(r, 60, 1 << 30), *w, prose(r, 60, 1 << 30)]) for w in (one, two)]
+        got = {x.doc_id: x.class_id for x in passage_dedup.repeated_passages(docs_of(spark, texts)).collect()}
+        assert all(v // 2 == k // 2 for k, v in got.items())
+        assert len(got) >= least * 120
+
+
 def test_many_copies_of_one_passage(spark):
     r = random.Random(12)
     shared = prose(r, 55)

@@ -14,6 +14,9 @@ of a template of n shingles has Jaccard similarity s >= 0.8n / (128 + 0.2n),
 and the k smallest of the union miss the common part with probability about
 (1 - s)^k: at k = 48 under 0.004 for n = 18, 0.00005 for n = 32. Longer
 texts are cut into templates of at most 64 shingles by `cut_text`.
+
+Notices of under five words are one shingle of their own length each, and found
+by equality at every place of a text.
 """
 
 from __future__ import annotations
@@ -54,6 +57,9 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
 )
 
+#: Notices of under five words.
+NOTICES = (("all-rights-reserved", "All rights reserved."),)
+
 
 def cut_text(text: str) -> list[str]:
     """A long license text as runs of words that make at most 64 shingles each."""
@@ -98,24 +104,67 @@ def templates(spark: SparkSession, texts=TEMPLATES) -> DataFrame:
     return own.select("template", "license", "shingles", "cls", F.explode(F.slice(F.sort_array("shingles"), F.lit(1), k)).alias("band"))
 
 
-def scan(docs: DataFrame, texts=TEMPLATES, min_containment: float = MIN_CONTAINMENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _phrase(text: str) -> tuple[str, ...]:
+    """A notice's words, as `_words` has them."""
+    words = tuple(re.findall(_WORD, text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))))
+    if not 0 < len(words) < SHINGLE:
+        raise ValueError("a notice must have 1 to 4 words")
+    return words
+
+
+def _notice_bands(words: str, notices) -> Column:
+    """(class, place, band) of all places of notices; class 2."""
+    phrases = sorted({_phrase(text) for _, text in notices})
+
+    def of(size: int) -> Column:
+        own = [p for p in phrases if len(p) == size]
+        firsts, every = sorted({p[0] for p in own}), [" ".join(p) for p in own]
+
+        def phrase(i: Column) -> Column:
+            return F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)])
+
+        places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+        held = F.filter(places, lambda i: F.get(words, i).isin(firsts) & phrase(i).isin(every))
+        return F.transform(held, lambda i: F.struct(F.lit(2).alias("cls"), i.alias("start"), F.xxhash64(phrase(i)).alias("band")))
+
+    sizes = sorted({len(p) for p in phrases})
+    return F.concat(*map(of, sizes)) if sizes else F.array().cast("array<struct<cls:int,start:int,band:bigint>>")
+
+
+def _notice_table(spark: SparkSession, notices, first: int) -> DataFrame:
+    """Notices as rows of `templates`, numbered from `first`."""
+    if first + len(notices) > MAX_TEMPLATES:
+        raise ValueError(f"{first + len(notices)} templates and notices; {MAX_TEMPLATES} at most")
+    rows = F.array(*[F.struct(F.lit(first + i).alias("template"), F.lit(name).alias("license"), F.xxhash64(F.lit(" ".join(_phrase(text)))).alias("band")) for i, (name, text) in enumerate(notices)])
+    return spark.range(1).select(F.inline(rows)).select("template", "license", F.array("band").alias("shingles"), F.lit(2).alias("cls"), "band")
+
+
+def scan(docs: DataFrame, texts=TEMPLATES, min_containment: float = MIN_CONTAINMENT, doc_id: str = "doc_id", text: str = "text", notices=()) -> DataFrame:
     """(doc, license, template, containment, n_windows, first_word): each template found in each document.
 
     containment: the largest share of the template's shingles in one window;
     first_word: where the first window of that share begins, from 0. Rows with
     the same id and text give one row. Null, empty and short texts (under five
     words) have no shingles and give none; nor does an empty table.
+
+    notices: (license, text) of under five words, such as NOTICES; they are
+    numbered after the templates, and each place is a window. Texts of any
+    length can hold them.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc"), text_key(F.col(text)).alias("tk"), _words(F.col(text)).alias("words"))
-    own = own.select("doc", "tk", _shingles(F.col("words")).alias("own"))
-    bands = F.concat(*[_bands(F.col("own"), w, k, i) for i, (w, k) in enumerate(WINDOWS)])
+    own = own.select("doc", "tk", _shingles(F.col("words")).alias("own"), _notice_bands("words", notices).alias("notes"))
+    bands = F.concat("notes", *[_bands(F.col("own"), w, k, i) for i, (w, k) in enumerate(WINDOWS)])
     own = own.select("doc", "tk", "own", bands.alias("bands"))
     # The outer form: else a filter on the arrays' size is pushed down, and computes the windows once more in every lambda.
     sent = own.select("doc", "tk", "own", F.explode_outer("bands").alias("b")).select("doc", "tk", "own", "b.cls", "b.start", "b.band")
-    found = sent.join(F.broadcast(templates(spark, texts)), ["cls", "band"])
+    sought = templates(spark, texts)
+    if notices:
+        sought = sought.unionByName(_notice_table(spark, notices, len(texts)))
+    found = sent.join(F.broadcast(sought), ["cls", "band"])
     width = F.when(F.col("cls") == 0, WINDOWS[0][0]).otherwise(WINDOWS[1][0])
     share = F.size(F.array_intersect("shingles", F.slice("own", F.col("start") + 1, width))) / F.size("shingles")
+    share = F.when(F.col("cls") == 2, 1.0).otherwise(share)
     found = found.select("doc", "tk", "license", "template", "start", share.alias("containment")).where(F.col("containment") >= min_containment)
     best = F.min(F.struct((-F.col("containment")).alias("c"), F.col("start").alias("start"))).alias("best")
     grouped = found.groupBy("doc", "tk", "license", "template").agg(F.countDistinct("start").alias("n_windows"), best)

@@ -490,6 +490,23 @@ def test_license_scan_is_brute_force(spark):
         license_scan.templates(spark, [("x", "too short")]).collect()
 
 
+def test_short_notices_are_found_at_every_place(spark):
+    texts = ["All rights reserved.", "x\nALL RIGHTS\nreserved, all rights reserved", "all rights are reserved", "rights reserved", None, "", "b All rights reserved by a b c d", "a b c d All rights"]
+    got = {(x.doc, x.license, x.template): (x.containment, x.n_windows, x.first_word) for x in license_scan.scan(docs_of(spark, texts), notices=license_scan.NOTICES).collect()}
+    n = len(license_scan.TEMPLATES)
+    assert got == {(d, "all-rights-reserved", n): v for d, v in ((0, (1.0, 1, 0)), (1, (1.0, 2, 1)), (6, (1.0, 1, 1)))}
+    mixed = license_scan.scan(docs_of(spark, texts), notices=[("a", "A"), ("b", "b"), ("cd", "c-D")]).collect()
+    assert {(x.doc, x.license, x.n_windows, x.first_word) for x in mixed} == {(6, "a", 1, 5), (6, "b", 2, 0), (6, "cd", 1, 7), (7, "a", 1, 0), (7, "b", 1, 1), (7, "cd", 1, 2)}
+
+
+def test_every_license_line_of_the_tables_is_found(spark):
+    lines = {"All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = {(r.doc_id, name) for r in docs for x, name in lines.items() if x in (r.text or "").split("\n")}
+    got = {(x.doc_id, x.license) for x in queries.op9_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert len({n for _, n in want}) == 5 and want <= got
+
+
 # --- 10 -----------------------------------------------------------------------
 
 

@@ -206,6 +206,19 @@ class Mix:
         own = self.docs.select(F.struct(*[F.col(c) for c in names]).alias("__row"), F.col(self.doc_id).alias("doc"), text_key(F.col(self.text)).alias("tk"), F.col(self.source).cast("string").alias("source"))
         own = self._placed(own, own["source"], F.col("doc"), F.col("tk")).select("__row", "doc", "tk", "no", "block")
         whole = own.join(dealt.where(~F.col("part")), ["no", "block"]).select("__row", "doc", "tk", "draw", "shard")
-        part = self._pick(own.join(dealt.where("part"), ["no", "block"])).where("picked = 1").select("__row", "doc", "tk", "draw", "shard")
+        part = self._pick(own.join(F.broadcast(dealt.where("part")), ["no", "block"])).where("picked = 1").select("__row", "doc", "tk", "draw", "shard")
         mixed = whole.unionAll(part).repartitionById(shards, "shard")
         return mixed.sortWithinPartitions("shard", _order(F.lit(4), F.col("doc"), F.col("tk"), F.col("draw")), "doc", "tk", "draw").select("__row.*")
+
+    def counted(self, shards: int) -> DataFrame:
+        """The rows of `documents`, with `taken` counted from the mixed shards."""
+        source = F.col(self.source).cast("string")
+        drawn = self.rows(shards).select(F.col(self.doc_id).alias("__d"), text_key(F.col(self.text)).alias("__t"), source.alias("__s")).groupBy("__d", "__t", "__s").agg(F.count(F.lit(1)).alias("draws"))
+        # Of rows alike, the first ones have a draw more.
+        alike = Window.partitionBy("doc", "tk", "source")
+        own = self.sized.withColumns({"alike": F.count(F.lit(1)).over(alike), "nth": F.row_number().over(alike.orderBy(F.lit(1)))})
+        on = own["doc"].eqNullSafe(drawn["__d"]) & (own["tk"] == drawn["__t"]) & own["source"].eqNullSafe(drawn["__s"])
+        own = own.join(drawn, on, "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
+        times = F.floor(F.col("draws") / F.col("alike")) + (F.col("nth") <= F.col("draws") % F.col("alike")).cast("int")
+        placed = self._placed(own, own["source"], F.col("doc"), F.col("tk"))
+        return placed.select("doc", "size", "source_size", "target", (F.col("size") * times).alias("taken"))

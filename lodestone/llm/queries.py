@@ -143,7 +143,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(read(spark, sf_dir, "documents")).documents().withColumnRenamed("doc", "doc_id")
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return mixing.Mix(read(spark, sf_dir, "documents")).counted(shards).withColumnRenamed("doc", "doc_id")
 
 
 def queries() -> dict:

@@ -547,6 +547,15 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixing.Mix(mixed_docs(spark).where("false")).documents().count() == 0
 
 
+def test_op10_counts_what_the_mixed_shards_hold(spark, monkeypatch):
+    mix = mixing.Mix(mixed_docs(spark))
+    assert sorted(map(str, mix.counted(5).collect())) == sorted(map(str, mix.documents().collect()))
+    assert mixing.Mix(mixed_docs(spark).where("false")).counted(5).count() == 0
+    asked, rows = [], mixing.Mix.rows
+    monkeypatch.setattr(mixing.Mix, "rows", lambda self, shards: asked.append(shards) or rows(self, shards))
+    assert queries.op10_mixing(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count() and asked
+
+
 # --- queries and pipeline -----------------------------------------------------
 
 

@@ -2,8 +2,8 @@
 
 The automaton's alphabet is the benchmark's words: its vocabulary is numbered,
 and each window of words is a sequence of numbers. A document's words are
-found and hashed in one vectorised scan, their numbers looked up by hash, and
-the automaton reads the numbers once. Words that no item has get number 0,
+found and hashed in one vectorised scan, their numbers looked up by hash and
+compared byte by byte, and the automaton reads the numbers once. Words that no item has get number 0,
 which no window holds; only documents with a long enough run of known words
 are given to the automaton at all, as no other can hold a window. Each word
 keeps its place in the bytes, so hits are mapped back to the original text.
@@ -39,20 +39,27 @@ def _word_hashes(texts: pa.Array):
     for _, _, buf, offs in T.chunks(texts):
         low = T.LOWER[buf]
         starts, ends, place = T.words(low, offs, T.ALNUM_WORDS)
-        yield buf, offs, starts, ends, place, T.Slices(low)(starts, ends)
+        yield buf, low, offs, starts, ends, place, T.hashes(low, starts, ends)
 
 
-def windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[np.ndarray, dict[tuple[int, ...], list[str]]]:
-    """The vocabulary's sorted hashes, and each window (numbers from 1) with the ids of its items."""
+def windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[T.Table, dict[tuple[int, ...], list[str]]]:
+    """The vocabulary, and each window (places in it, from 1) with the ids of its items."""
     texts = pa.array([t or "" for _, t in items], pa.string())
-    rows, place = [], []
-    for *_, pl, h in _word_hashes(texts):
-        for a, b in zip(pl[:-1], pl[1:], strict=True):
-            rows.append(h[a:b])
-    vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
+    rows: list[list[bytes]] = []
+    for _, low, _, starts, ends, place, _ in _word_hashes(texts):
+        raw = low.tobytes()
+        own = [raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        rows.extend(own[x:y] for x, y in zip(place[:-1].tolist(), place[1:].tolist(), strict=True))
+    every = sorted({w for r in rows for w in r})
+    vocabulary = T.Table.of(every, np.arange(len(every)))
+    if len(vocabulary.keys) < len(every):
+        raise ValueError("two words of the benchmark have the same hash")
+    number = np.empty(len(every), np.int64)
+    number[vocabulary.values] = np.arange(1, len(every) + 1)
+    numbers = dict(zip(every, number.tolist(), strict=True))
     found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-    for (item, _), h in zip(items, rows, strict=True):
-        ids = tuple((np.searchsorted(vocabulary, h) + 1).tolist())
+    for (item, _), r in zip(items, rows, strict=True):
+        ids = tuple(numbers[w] for w in r)
         for i in range(max(0, len(ids) - window) + 1 if ids else 0):
             found[ids[i : i + window]].add(item)
     return vocabulary, {k: sorted(v) for k, v in found.items()}
@@ -76,14 +83,12 @@ def _automata(found: dict[tuple[int, ...], list[str]], max_words: int):
 _built: dict[int, list] = {}
 
 
-def _scan(batch: pa.RecordBatch, vocabulary: np.ndarray, automata: list, shortest: int) -> pa.RecordBatch:
+def _scan(batch: pa.RecordBatch, vocabulary: T.Table, automata: list, shortest: int) -> pa.RecordBatch:
     n_words, items, hits = [], [], []
-    for buf, offs, starts, ends, place, h in _word_hashes(batch.column(0)):
+    for buf, low, offs, starts, ends, place, h in _word_hashes(batch.column(0)):
         count = place[1:] - place[:-1]
-        ids = np.zeros(len(h), np.int64)
-        if len(vocabulary):
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            ids = np.where(vocabulary[at] == h, at + 1, 0)
+        at, _, equal = vocabulary.find(h, low, starts, ends)
+        ids = np.where(equal, at + 1, 0)
         # Runs of known words inside one document that are long enough to hold a window.
         known = np.concatenate([[False], ids > 0, [False]])
         cuts = np.zeros(len(ids) + 1, bool)

@@ -98,7 +98,7 @@ def _shingles(texts: pa.Array):
     for row, _, buf, offs in T.chunks(texts):
         low = T.LOWER[buf]
         starts, ends, place = T.words(low, offs, T.PLAIN_WORDS)
-        words = T.Slices(low)(starts, ends)
+        words = T.hashes(low, starts, ends)
         n = place[1:] - place[:-1]
         m = np.maximum(n - SHINGLE + 1, 0)
         if len(words) < SHINGLE:
@@ -113,7 +113,7 @@ def _shingles(texts: pa.Array):
 
 def _keys(h: np.ndarray, place: np.ndarray, width: int, hashes: int, block: int):
     """(key, minimum, left, right) of every window and side, for each hash function."""
-    slices = T.Slices(h & np.uint64((1 << 40) - 1)) if len(h) else None
+    raw = h.view(np.uint8)
     for m in range(hashes):
         left, at, right = _windows(T.mix(h ^ _SEEDS[m]), place, width)
         if not len(at):
@@ -122,7 +122,7 @@ def _keys(h: np.ndarray, place: np.ndarray, width: int, hashes: int, block: int)
             begin = at - block if side == 0 else at
             fits = (at - left >= block) if side == 0 else (right - at >= block)
             a = begin[fits]
-            key = T.mix(slices(a, a + block + 1) + np.uint64(2 * m + side))
+            key = T.mix(T.hashes(raw, 8 * a, 8 * (a + block + 1)) + np.uint64(2 * m + side))
             yield key, at[fits], left[fits], right[fits]
 
 
@@ -145,7 +145,7 @@ def _emit_again(docs: DataFrame, bits, width: int, hashes: int, block: int) -> D
         for b in batches:
             for row, h, place in _shingles(b.column(1)):
                 marks = (h >> np.uint64(48)).astype("<u2")
-                content = T.Slices(marks) if len(h) else None
+                content = marks.view(np.uint8)
                 for key, at, left, right in _keys(h, place, width, hashes, block):
                     may = bloom.probe(bits.value, key)
                     key, at, left, right = key[may], at[may], left[may], right[may]
@@ -153,7 +153,7 @@ def _emit_again(docs: DataFrame, bits, width: int, hashes: int, block: int) -> D
                         continue
                     doc = np.searchsorted(place, at, "right") - 1
                     size = right + 1 - left
-                    sig = T.mix(content(left, right + 1) + (at - left).astype(np.uint64))
+                    sig = T.mix(T.hashes(content, 2 * left, 2 * (right + 1)) + (at - left).astype(np.uint64))
                     packed = _binary(marks[T.gather_ragged(left, size)], size)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), b.column(0).take(pa.array(row + doc)), pa.array((at - place[doc]).astype(np.int32)), pa.array((left - place[doc]).astype(np.int32)), packed],

@@ -4,16 +4,18 @@ A byte-level BPE tokenizer cuts a text into pre-tokens by a fixed pattern and
 encodes each alone, so a text's ids are those of its pre-tokens. The splitter
 finds the same cuts with array operations on code points. Each distinct
 pre-token is encoded by the tokenizers library once per worker and kept in a
-table under its 64-bit hash: first a fixed table that all workers get, then
-the worker's own cache.
+table under its 64-bit hash, with its bytes: first a fixed table that all
+workers get, then the worker's own cache.
 
-Texts that hold one of the tokenizer's special strings, or are not to be split
-this way, are given to the library whole.
+A hash only finds the place: what is found there is compared byte by byte.
+Texts with a pre-token that differs from the one at its place, or that hold one
+of the tokenizer's special strings, are given to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +88,41 @@ def split(points: np.ndarray, offs: np.ndarray, kinds: Kinds) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+@dataclass
+class Pieces:
+    """The distinct hashes of a chunk's pre-tokens: an example of each, the pre-tokens by document, and which differ from their example."""
+
+    keys: np.ndarray
+    inverse: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    place: np.ndarray
+    unlike: np.ndarray
+
+    def documents(self, wrong: np.ndarray) -> np.ndarray:
+        """Documents with a pre-token that is not the one found under its hash."""
+        return T.per_doc(self.unlike | wrong[self.inverse], self.place) > 0
+
+
+def cut_pieces(buf: np.ndarray, offs: np.ndarray, kinds: Kinds) -> Pieces:
+    whole = buf.tobytes().decode("utf-8")
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    lead = np.flatnonzero(T.chars(buf))  # where each code point begins
+    starts = split(points, np.searchsorted(lead, offs), kinds)
+    at = lead[starts] if len(starts) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(buf)) if len(at) else at
+    keys, example, inverse = np.unique(T.hashes(buf, at, ends), return_index=True, return_inverse=True)
+    size, of = ends - at, example[inverse]
+    unlike = size != size[of]
+    equal = np.flatnonzero(~unlike)
+    unlike[equal] = ~T.same(buf, at[equal], buf, at[of[equal]], size[equal])
+    return Pieces(keys, inverse, at[example], ends[example], np.searchsorted(at, offs), unlike)
+
+
 class Encoder:
     """Counts or ids of whole texts, as the tokenizers library gives them."""
 
-    def __init__(self, path: str, fixed: tuple[np.ndarray, np.ndarray] | None = None, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, fixed: T.Table = T.NO_TABLE, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -97,59 +130,42 @@ class Encoder:
         self.library, self.entries = Tokenizer.from_file(path), entries
         self.kinds = Kinds(self.library.pre_tokenizer)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.fixed = fixed if fixed is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.fixed = fixed
         self.clear()
 
     def clear(self) -> None:
-        """The cache: sorted hashes, where their ids begin, and all ids."""
-        self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """The cache: a table, and for its places where their ids begin among all ids."""
+        self.cache, self.first, self.ids = T.NO_TABLE, np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Encode pre-tokens that are new, and add them to the cache."""
-        ids = self.encode(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        if len(self.keys) + len(keys) > self.entries:
-            self.clear()
-        begin = len(self.ids) + np.cumsum(size) - size
-        keys = np.concatenate([self.keys, keys])
+    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode pre-tokens whose hashes are new, and add them to the cache."""
+        ids, old = self.encode([p.decode() for p in pieces]), self.cache
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.ids) + np.cumsum(counts) - counts
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = len(old.text) + np.cumsum(size) - size
+        keys = np.concatenate([old.keys, keys])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
-        self.ids = np.concatenate([self.ids, flat])
-
-    def _chunk(self, buf: np.ndarray, offs: np.ndarray):
-        """Distinct hashes of the pre-tokens, the place of each pre-token's among them, an example of each, and pre-tokens by document."""
-        whole = buf.tobytes().decode("utf-8")
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        lead = np.flatnonzero(T.chars(buf))  # where each code point begins
-        starts = split(points, np.searchsorted(lead, offs), self.kinds)
-        at = lead[starts] if len(starts) else np.zeros(0, np.int64)
-        place = np.searchsorted(at, offs)
-        ends = np.append(at[1:], len(buf)) if len(at) else at
-        keys, example, inverse = np.unique(T.Slices(buf)(at, ends), return_index=True, return_inverse=True)
-        return keys, inverse, at[example], ends[example], place
-
-    def _find(self, keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
-    def _cached(self, keys, begin, end, buf) -> np.ndarray:
-        """The place of each key in the cache, after learning what is missing."""
-        at, there = self._find(keys, self.keys)
+        own = (np.concatenate([a, b])[order] for a, b in ((old.begin, begin), (old.size, size), (old.values, counts)))
+        self.cache = T.Table(keys[order], *own, np.concatenate([old.text, np.frombuffer(b"".join(pieces), np.uint8)]))
+        self.first = np.concatenate([self.first, first])[order]
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
+
+    def _cached(self, keys: np.ndarray, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key in the cache, after learning what is missing, and whether the bytes there are its own."""
+        at, there, equal = self.cache.find(keys, buf, begin, end)
         if not there.all():
             new = np.flatnonzero(~there)
-            if len(self.keys) + len(new) > self.entries:
+            if len(self.cache.keys) + len(new) > self.entries:
                 self.clear()
                 new = np.arange(len(keys))
             text = buf.tobytes()
-            self.learn(keys[new], [text[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
-            at, there = self._find(keys, self.keys)
-        return at
+            self.learn(keys[new], [text[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            at, there, equal = self.cache.find(keys, buf, begin, end)
+        return at, equal
 
     def _special(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Documents that hold a special string."""
@@ -161,38 +177,44 @@ class Encoder:
                 at = text.find(s, at + 1)
         return out
 
+    def _whole(self, buf: np.ndarray, offs: np.ndarray, pieces: Pieces, wrong: np.ndarray) -> dict[int, list[int]]:
+        """The ids of documents that the library must encode whole."""
+        which = np.flatnonzero(self._special(buf, offs) | pieces.documents(wrong))
+        return {d: self.encode([buf[offs[d] : offs[d + 1]].tobytes().decode()])[0] for d in which.tolist()}
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         out = [np.zeros(0, np.int64)]
         for _, _, buf, offs in T.chunks(texts):
-            keys, inverse, begin, end, place = self._chunk(buf, offs)
-            at, there = self._find(keys, self.fixed[0])
-            sizes = np.zeros(len(keys), np.int64)
-            if there.any():
-                sizes[there] = self.fixed[1][at[there]]
-            miss = np.flatnonzero(~there)
+            p = cut_pieces(buf, offs, self.kinds)
+            at, _, equal = self.fixed.find(p.keys, buf, p.begin, p.end)
+            sizes, wrong = np.zeros(len(p.keys), np.int64), np.zeros(len(p.keys), bool)
+            if equal.any():
+                sizes[equal] = self.fixed.values[at[equal]]
+            miss = np.flatnonzero(~equal)
             if len(miss):
-                own = self._cached(keys[miss], begin[miss], end[miss], buf)
-                sizes[miss] = self.size[own]
-            got = T.per_doc(sizes[inverse], place)
-            for d in np.flatnonzero(self._special(buf, offs)):
-                got[d] = len(self.encode([buf[offs[d] : offs[d + 1]].tobytes().decode()])[0])
+                own, right = self._cached(p.keys[miss], buf, p.begin[miss], p.end[miss])
+                sizes[miss], wrong[miss] = self.cache.values[own], ~right
+            got = T.per_doc(sizes[p.inverse], p.place)
+            for d, ids in self._whole(buf, offs, p, wrong).items():
+                got[d] = len(ids)
             out.append(got)
         return np.concatenate(out)
 
     def ids_of(self, texts: pa.Array):
         """(ids as uint32, offsets) of runs of texts, in their order."""
         for _, _, buf, offs in T.chunks(texts):
-            keys, inverse, begin, end, place = self._chunk(buf, offs)
-            at = self._cached(keys, begin, end, buf)[inverse] if len(keys) else inverse
-            size = self.size[at]
-            ids = self.ids[T.gather_ragged(self.begin[at], size)]
-            got = np.concatenate([[0], np.cumsum(T.per_doc(size, place))])
-            special = np.flatnonzero(self._special(buf, offs))
-            if len(special):
+            p = cut_pieces(buf, offs, self.kinds)
+            own, right = self._cached(p.keys, buf, p.begin, p.end) if len(p.keys) else (p.inverse, np.zeros(0, bool))
+            at = own[p.inverse]
+            size = self.cache.values[at]
+            ids = self.ids[T.gather_ragged(self.first[at], size)]
+            got = np.concatenate([[0], np.cumsum(T.per_doc(size, p.place))])
+            whole = self._whole(buf, offs, p, ~right)
+            if whole:
                 rows = [ids[a:b] for a, b in zip(got[:-1], got[1:], strict=True)]
-                for d in special:
-                    rows[d] = np.array(self.encode([buf[offs[d] : offs[d + 1]].tobytes().decode()])[0], np.uint32)
+                for d, x in whole.items():
+                    rows[d] = np.array(x, np.uint32)
                 ids, got = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             yield ids, got
 
@@ -200,7 +222,7 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, token: object = None, fixed=None) -> Encoder:
+def encoder(path: str, token: object = None, fixed: T.Table = T.NO_TABLE) -> Encoder:
     """The process's encoder of this file, with its cache; token names the fixed table."""
     if (path, token) not in _encoders:
         _encoders.clear()

@@ -1,7 +1,7 @@
 """Quality rules: counts of whole texts, and a calibrated logistic regression on hashed n-grams.
 
 Features are the shares of hashed words, word pairs and character trigrams
-(three UTF-8 bytes) of a text, each kind in the same table of 2^18 weights. The
+(three code points) of a text, each kind in the same table of 2^18 weights. The
 model is trained by the driver on a bounded sample of labelled rows, calibrated
 on the part held out, and sent to the executors: one table of fixed size. Texts
 are scored in Arrow batches with array operations only.
@@ -50,9 +50,11 @@ def _ngrams(buf: np.ndarray, offs: np.ndarray, place: np.ndarray, hashes: np.nda
     yield (hashes >> _SHIFT).astype(np.int32), place[:-1], n
     pairs = T.mix(hashes[:-1] * np.uint64(31) + hashes[1:]) if len(hashes) else hashes
     yield (pairs >> _SHIFT).astype(np.int32), place[:-1], np.maximum(n - 1, 0)
-    b = buf.astype(np.uint32)
-    three = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1) if len(b) > 2 else b[:0]
-    yield (three >> np.uint32(32 - BITS)).astype(np.int32), offs[:-1], np.maximum(offs[1:] - offs[:-1] - 2, 0)
+    points = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    begin = np.concatenate([[0], np.cumsum(T.chars(buf))])[offs]
+    # A code point has 21 bits.
+    three = T.mix(points[:-2] | points[1:-1] << np.uint64(21) | points[2:] << np.uint64(42)) if len(points) > 2 else points[:0]
+    yield (three >> _SHIFT).astype(np.int32), begin[:-1], np.maximum(begin[1:] - begin[:-1] - 2, 0)
 
 
 def _sums(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -81,12 +83,12 @@ def _repeats(h: np.ndarray, place: np.ndarray) -> np.ndarray:
     return T.per_doc(hit, place)
 
 
-def _dup_lines(buf: np.ndarray, offs: np.ndarray, word_starts: np.ndarray, slices: T.Slices) -> np.ndarray:
+def _dup_lines(buf: np.ndarray, offs: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
     """Lines of each document with a word that equal an earlier line of it."""
     starts, ends, place = T.lines(buf, offs)
     full = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
     doc = np.repeat(np.arange(len(offs) - 1), place[1:] - place[:-1])
-    key = T.mix(slices(starts, ends) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = T.mix(T.hashes(buf, starts, ends) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
     later = np.zeros(len(key), bool)
     later[order[1:]] = key[order][1:] == key[order][:-1]
@@ -98,12 +100,11 @@ def measure(texts: pa.Array, model: Model | None) -> dict[str, np.ndarray]:
     out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "p_quality")}
     for _, _, buf, offs in T.chunks(texts):
         starts, ends, place = T.words(buf, offs, T.PLAIN_WORDS)
-        slices = T.Slices(buf)
-        h = slices(starts, ends)
+        h = T.hashes(buf, starts, ends)
         out["n_words"].append(place[1:] - place[:-1])
         out["word_chars"].append(T.per_doc(T.chars(buf) & T.PLAIN_WORDS[buf], offs))
         out["n_symbols"].append(T.per_doc(SYMBOLS[buf], offs))
-        out["n_dup_lines"].append(_dup_lines(buf, offs, starts, slices))
+        out["n_dup_lines"].append(_dup_lines(buf, offs, starts))
         out["n_repeat_words"].append(_repeats(h, place))
         score = np.zeros(len(offs) - 1)
         if model:
@@ -119,7 +120,7 @@ def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     at, value = [np.zeros(0, np.int32)], [np.zeros(0)]
     for _, _, buf, offs in T.chunks(pa.array([text])):
         starts, ends, place = T.words(buf, offs, T.PLAIN_WORDS)
-        for feature, first, n in _ngrams(buf, offs, place, T.Slices(buf)(starts, ends)):
+        for feature, first, n in _ngrams(buf, offs, place, T.hashes(buf, starts, ends)):
             own = feature[first[0] : first[0] + n[0]]
             if len(own):
                 u, c = np.unique(own, return_counts=True)

@@ -1,23 +1,24 @@
 """Vectorised scanning of Arrow text columns: no Python object is made for a document or a word.
 
 A chunk is a run of whole documents seen as one array of UTF-8 bytes with the
-documents' offsets. Words are found as runs of bytes of a class, and any slice
-of the chunk gets a 64-bit hash in O(1) from the prefix sums of a polynomial in
-an odd base modulo 2^64, finished by a mixer. Equal slices have equal hashes
-wherever they stand.
+documents' offsets. Words are found as runs of bytes of a class. Slices of the
+chunk are hashed, and compared byte by byte, eight bytes of all of them at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C55 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_SEED, _SIZE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: The lowest 0 to 8 bytes of a number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes of a slice that is hashed with all others.
+LONG_SLICE = 256
 
 #: Bytes of a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -40,19 +41,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def power(name: str, base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, kept in the process up to a few chunks."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        steps = np.full(size, base, U64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 8 * CHUNK_BYTES:
-            _powers[name] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finisher that spreads every bit."""
     x = x ^ (x >> U64(33))
@@ -62,18 +50,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-class Slices:
-    """Hashes of slices of an array of small integers."""
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum((values.astype(U64) + U64(1)) * power("up", _BASE, n), out=self.sums[1:])
-        self.down = power("down", _INVERSE, n + 1)
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first one lowest; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of bytes, the same wherever it stands.
+
+    Every eight bytes are mixed in one after the other. Slices over LONG_SLICE
+    bytes, which would take a round of their own for each eight, are hashed by
+    XXH3.
+    """
+    size = end - start
+    out = mix(size.astype(U64) * _SIZE + _SEED)
+    eights = _eights(buf)
+    at, where = np.arange(len(size)), start.astype(np.int64)
+    if len(size) and int(size.max()) > LONG_SLICE:
+        import xxhash
+
+        long = np.flatnonzero(size > LONG_SLICE)
+        raw = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        at = np.flatnonzero(size <= LONG_SLICE)
+        where = where[at]
+    left = size[at]
+    while True:
+        more = left > 0
+        if not more.all():
+            at, where, left = at[more], where[more], left[more]
+        if not len(at):
+            return out
+        out[at] = mix(out[at] ^ (eights[where] & _MASKS[np.minimum(left, 8)]))
+        where, left = where + 8, left - 8
+
+
+def same(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether slices of two arrays of bytes are equal, byte by byte."""
+    out = np.ones(len(size), bool)
+    long = np.flatnonzero(size > LONG_SLICE)
+    for i in long.tolist():
+        out[i] = np.array_equal(a[a_start[i] : a_start[i] + size[i]], b[b_start[i] : b_start[i] + size[i]])
+    at = np.flatnonzero(size <= LONG_SLICE) if len(long) else np.arange(len(size))
+    x, y = _eights(a), _eights(b)
+    p, q, left = a_start[at].astype(np.int64), b_start[at].astype(np.int64), size[at]
+    while True:
+        more = left > 0
+        if not more.all():
+            at, p, q, left = at[more], p[more], q[more], left[more]
+        if not len(at):
+            return out
+        out[at] &= ((x[p] ^ y[q]) & _MASKS[np.minimum(left, 8)]) == 0
+        p, q, left = p + 8, q + 8, left - 8
+
+
+@dataclass
+class Table:
+    """Slices of bytes by their sorted hashes: where the bytes of each begin, how many they are, and its value."""
+
+    keys: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    values: np.ndarray
+    text: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: list[bytes], values: np.ndarray) -> "Table":
+        """Of pieces with one hash the first is kept."""
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.cumsum(size) - size
+        keys, first = np.unique(hashes(text, begin, begin + size), return_index=True)
+        return cls(keys, begin[first], size[first], np.asarray(values, np.int64)[first], text)
+
+    def find(self, keys: np.ndarray, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For slices of buf: place in the table, whether the hash is there, and whether the bytes are too."""
+        if not len(self.keys):
+            none = np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.int64), none, none
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = self.keys[at] == keys
+        equal = there & (self.size[at] == end - begin)
+        some = np.flatnonzero(equal)
+        equal[some] = same(buf, begin[some], self.text, self.begin[at[some]], self.size[at[some]])
+        return at, there, equal
+
+
+NO_TABLE = Table(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint8))
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -40,22 +40,32 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: Ids that are packed or unpacked at once: a multiple of 8, so that each run begins at a whole byte.
+_RUN = 1 << 16
+
+
 def pack(ids: np.ndarray, width: int) -> bytes:
+    """Every id in `width` bits, lowest first; needs 9 bytes a bit for a run of ids only."""
     if width == 16:
         return ids.astype("<u2").tobytes()
-    bits = (ids.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    place = np.arange(width, dtype=np.uint64)
+    runs = (((ids[a : a + _RUN].astype(np.uint64)[:, None] >> place) & np.uint64(1)).astype(np.uint8) for a in range(0, len(ids), _RUN))
+    return b"".join(np.packbits(r.ravel(), bitorder="little").tobytes() for r in runs)
 
 
 def unpack(data: bytes, width: int, a: int, b: int) -> np.ndarray:
     """Ids at places a to b - 1, from the bytes that hold them."""
-    first = a * width // 8
-    raw = np.frombuffer(data, np.uint8)[first : (b * width + 7) // 8]
+    raw = np.frombuffer(data, np.uint8)
     if width == 16:
-        return raw.view("<u2").astype(np.uint32)
-    skip = a * width - 8 * first
-    bits = np.unpackbits(raw, bitorder="little")[skip : skip + (b - a) * width].reshape(-1, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
+        return raw[2 * a : 2 * b].view("<u2").astype(np.uint32)
+    out, place = np.empty(b - a, np.uint32), np.arange(width, dtype=np.uint32)
+    for x in range(a, b, _RUN):
+        y = min(x + _RUN, b)
+        first = x * width // 8
+        skip = x * width - 8 * first
+        bits = np.unpackbits(raw[first : (y * width + 7) // 8], bitorder="little")[skip : skip + (y - x) * width].reshape(-1, width)
+        out[x - a : y - a] = (bits.astype(np.uint32) << place).sum(1, dtype=np.uint32)
+    return out
 
 
 def write_block(ids: np.ndarray, sizes: np.ndarray, width: int) -> bytes:

@@ -54,10 +54,54 @@ def test_words_and_lines_are_those_of_python():
 
 def test_slices_hash_by_content():
     buf = np.frombuffer(b"abc xyz abc ab", np.uint8)
-    h = T.Slices(buf)(np.array([0, 8, 4, 12]), np.array([3, 11, 7, 14]))
+    h = T.hashes(buf, np.array([0, 8, 4, 12]), np.array([3, 11, 7, 14]))
     assert h[0] == h[1] and len(set(h.tolist())) == 3
 
 
+def thue_morse(n, swap=False):
+    """A text of two letters that a polynomial modulo 2^64 can't tell from its complement."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_hashes_tell_unlike_slices_apart_and_same_compares_bytes():
+    sizes = (1, 7, 8, 9, 64, 256, 257, 512, 1024, 2048, 4096)
+    texts = [thue_morse(n, swap) for n in sizes for swap in (False, True)]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    start = end - [len(t) for t in texts]
+    assert len(set(T.hashes(buf, start, end).tolist())) == len(texts)
+    size = end - start
+    assert T.same(buf, start, buf, start, size).all() and not T.same(buf, start[::2], buf, start[1::2], size[::2]).any()
+    table = T.Table.of([t.encode() for t in texts[::2]], np.arange(len(sizes)))
+    at, there, equal = table.find(T.hashes(buf, start, end), buf, start, end)
+    assert equal[::2].all() and not equal[1::2].any() and table.values[at[::2]].tolist() == list(range(len(sizes)))
+
+
+def test_what_a_hash_finds_is_compared(monkeypatch):
+    """With a hash of 3 bits almost all words collide, and nothing changes."""
+    own, texts = library(), [t or "" for t in token_texts()]
+    monkeypatch.setattr(T, "hashes", lambda buf, start, end, real=T.hashes: real(buf, start, end) & np.uint64(7))
+    enc = pretokens.Encoder(queries.tokenizer_path(), T.Table.of([b" the", b"a", b" alpha"], np.array([1, 1, 1])))
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    assert [ids[a:b].tolist() for ids, offs in enc.ids_of(pa.array(texts)) for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_complements_of_thue_morse_words_are_told_apart(spark, n):
+    a, b = thue_morse(n), thue_morse(n, True)
+    texts = [f"{a}\n{b}\n{a}\n{b} x", a, b]
+    own = library()
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    enc = pretokens.Encoder(queries.tokenizer_path())
+    assert enc.counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    assert [ids[x:y].tolist() for ids, offs in enc.ids_of(pa.array(texts)) for x, y in zip(offs[:-1], offs[1:], strict=True)] == want
+    got = quality.measure(pa.array([f"{a}\n{b}", f"{a} x y {b} x y", f"{a}\n{a}"]), None)
+    assert got["n_dup_lines"].tolist() == [0, 0, 1] and got["n_repeat_words"].tolist() == [0, 0, 0]
+    scanned = decontaminate.verdicts(decontaminate.scan(docs_of(spark, [a, b]), spark.createDataFrame([("i", a)], "item_id string, text string")))
+    assert sorted((r.doc_id, r.n_hit) for r in scanned.select("doc_id", "n_hit").collect()) == [(0, 1), (1, 0)]
+
+
 # --- 1 ------------------------------------------------------------------------
 
 
@@ -375,7 +419,7 @@ def test_token_counts_and_files(spark):
     own = library()
     want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
     for table in (1, 5000):
-        got = token_counts.count_tokens(df, queries.tokenizer_path(), table=table, sample=20).orderBy("doc_id").collect()
+        got = token_counts.count_tokens(df, queries.tokenizer_path(), table=table).orderBy("doc_id").collect()
         assert [(r.n_tokens, r.n_bytes) for r in got] == [(len(w), len((t or "").encode())) for w, t in zip(want, texts, strict=True)]
     rows = queries.token_rows(spark, df.unionAll(df.where("doc_id = 20")).unionAll(df.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, *sorted([*range(120), 20])]

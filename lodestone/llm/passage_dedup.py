@@ -5,37 +5,30 @@ windows of a text are the nodes of the Cartesian tree over its shingles'
 hashes that span at least `width` shingles: (left, minimum, right). A run-length
 encoding of the sliding minimum gives just those nodes, cut to what lies within
 `width` - 1 of the minimum: every run of `width` shingles has its min-hash in
-one of them. Runs that two texts share have their minimum at the same shingle,
-so both texts emit a window there.
-
-1. Each window emits a key for either side of its minimum that is long enough:
-   the hash of the minimum and the 12 shingles next to it on that side. Of
-   `width` = 46 shingles at least one side has them, so equal passages always
-   share a key. A partial aggregate finds the keys of two documents or more.
-2. A Bloom filter of these keys, within a fixed bound, goes to the executors.
-   Windows whose key may repeat are emitted again, now with the 16-bit marks of
-   their shingles.
-3. They are range-partitioned by (key, content, document, place), so that a key
-   that a third of all documents hold is spread over many partitions, and
-   stream by. Equal windows stand together: each is a link to the first. The
-   others are aligned at their minimum and their marks compared place by place,
-   or else by the longest chain of equal marks in both, so that an inserted or
-   a deleted word shifts what follows. A link is the longest part of it that
-   begins and ends with equal shingles, has `width` of them or more in one text
-   and a similarity of 0.8 or more.
-   Each pair of different windows of a key is compared, if their documents are
-   not linked already: first all with the first window, then, by the count of
-   marks that both hold, the others with each other. The different windows of a
-   key that goes on in another partition meet once more, dealt into buckets;
-   each pair of buckets is one group. So alike windows take linear work, and n
-   windows of a key of which none are alike n * n / 2 counts of marks.
+one of them. Two runs of similarity s have the same min-hash under a function
+with probability s, and then lie in windows of one key, which is the function
+and the min-hash: at 0.8 one of three functions finds them with probability 0.992.
+
+1. Each window emits (key, content hash, document, place), without its marks.
+   These small rows are range-partitioned by all four, so that a key that a third
+   of all documents hold is spread over many partitions, and stream by: equal
+   windows are links to the first one, and of the others one row each is left.
+2. Only windows of a key with different ones of other documents need their
+   16-bit marks: they are listed by document, joined with the texts and emitted
+   again. No list of keys is sent to the executors.
+3. A key's different windows meet in one task, if they are GROUP at most, and
+   interval joins find those alike (see `alike`): first a few rounds, which link
+   almost all; then, with the classes of documents known, the rest, for keys whose
+   windows are not of one class.
+   A key of more windows is dealt anew by the rarest marks: alike windows share
+   one of their prefix's marks, so each (key, mark) is a key of its own. What is
+   still larger is dealt into buckets, and each pair of buckets is one key.
 4. Links between documents give classes by connected components; spans of a
    document are joined where they touch.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,21 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
+from . import alike
 from . import textscan as T
-from .components import components
+from .components import components, with_least
 from .shared import cut, ship
 
 SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
-#: Hash functions, and shingles of the block beside a minimum that a key takes in.
-HASHES, BLOCK = 3, 12
-#: Windows of a bucket, of a key that goes on in another partition.
-BUCKET = 500
-#: A place that is near none.
-FAR = 1 << 20
-MAX_FILTER_BYTES = 64 << 20
+HASHES = 3
+#: Different windows of one key that one task compares at most.
+GROUP = 5000
+#: Windows that are compared in one go, about.
+BATCH = 20_000
+#: Rounds of the first comparison.
+ROUNDS = 2
 
 _SEEDS = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFEADBEEF, 0x8C2F5E1D3B4A6977, 0xD1B54A32D192ED03], np.uint64)
 
@@ -111,343 +104,368 @@ def _shingles(texts: pa.Array):
         yield row, h[at], np.concatenate([[0], np.cumsum(m)])
 
 
-def _keys(h: np.ndarray, place: np.ndarray, width: int, hashes: int, block: int):
-    """(key, minimum, left, right) of every window and side, for each hash function."""
-    raw = h.view(np.uint8)
+def _places(h: np.ndarray, place: np.ndarray, width: int, hashes: int):
+    """For each hash function: (key, content hash, minimum, left, right) of every window."""
+    marks = _marks(h).view(np.uint8)
     for m in range(hashes):
         left, at, right = _windows(T.mix(h ^ _SEEDS[m]), place, width)
-        if not len(at):
-            continue
-        for side in (0, 1):
-            begin = at - block if side == 0 else at
-            fits = (at - left >= block) if side == 0 else (right - at >= block)
-            a = begin[fits]
-            key = T.mix(T.hashes(raw, 8 * a, 8 * (a + block + 1)) + np.uint64(2 * m + side))
-            yield key, at[fits], left[fits], right[fits]
+        if len(at):
+            sig = T.mix(T.hashes(marks, 2 * left, 2 * (right + 1)) + (at - left).astype(np.uint64))
+            yield T.mix(h[at] + np.uint64(m)), sig, at, left, right
 
 
-def _emit(docs: DataFrame, width: int, hashes: int, block: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, h, place in _shingles(b.column(1)):
-                for key, at, _, _ in _keys(h, place, width, hashes, block):
-                    doc = row + np.searchsorted(place, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(key.view(np.int64))], ["doc", "key"])
+def _marks(h: np.ndarray) -> np.ndarray:
+    """16 bits of each shingle's hash; 0 stands for none."""
+    return np.maximum((h >> np.uint64(48)).astype("<u2"), 1)
+
 
-    return docs.mapInArrow(run, "doc long, key long")
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
 
-_WINDOW = "key long, sig long, doc long, at int, first int, marks binary"
+_PLACE = "key long, sig long, doc long, at int, first int, size int"
 
 
-def _emit_again(docs: DataFrame, bits, width: int, hashes: int, block: int) -> DataFrame:
+def _emit(docs: DataFrame, width: int, hashes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             for row, h, place in _shingles(b.column(1)):
-                marks = (h >> np.uint64(48)).astype("<u2")
-                content = marks.view(np.uint8)
-                for key, at, left, right in _keys(h, place, width, hashes, block):
-                    may = bloom.probe(bits.value, key)
-                    key, at, left, right = key[may], at[may], left[may], right[may]
-                    if not len(at):
-                        continue
+                for key, sig, at, left, right in _places(h, place, width, hashes):
                     doc = np.searchsorted(place, at, "right") - 1
-                    size = right + 1 - left
-                    sig = T.mix(T.hashes(content, 2 * left, 2 * (right + 1)) + (at - left).astype(np.uint64))
-                    packed = _binary(marks[T.gather_ragged(left, size)], size)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), b.column(0).take(pa.array(row + doc)), pa.array((at - place[doc]).astype(np.int32)), pa.array((left - place[doc]).astype(np.int32)), packed],
-                        ["key", "sig", "doc", "at", "first", "marks"],
-                    )
+                    begin = place[doc]
+                    yield _batch(_PLACE, key.view(np.int64), sig.view(np.int64), ids[row + doc], (at - begin).astype(np.int32), (left - begin).astype(np.int32), (right + 1 - left).astype(np.int32))
 
-    return docs.mapInArrow(run, _WINDOW)
+    return docs.mapInArrow(run, _PLACE)
 
 
-def _binary(marks: np.ndarray, size: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(2 * size)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(marks, "<u2"))])
+#: kind 0: a link; kind 1: the first of equal windows.
+_STREAMED = "kind int, doc long, other long, a int, b int, size int, size_other int, key long, sig long, at int"
+
 
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and sig: links among equal windows, and one row of each of a key's different ones.
 
-class _Rows:
-    """Windows as arrays, with all their marks in one."""
-
-    NAMES = ("key", "sig", "doc", "at", "first")
-
-    def __init__(self, **columns):
-        self.__dict__ |= columns
-
-    @classmethod
-    def of(cls, b: pa.RecordBatch) -> "_Rows":
-        column = b.column("marks")
-        _, offsets, data = column.buffers()
-        offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        marks = np.frombuffer(data, "<u2") if data is not None and data.size else np.zeros(0, "<u2")
-        return cls(**{n: b.column(n).to_numpy(zero_copy_only=False) for n in cls.NAMES}, start=offs[:-1] // 2, size=(offs[1:] - offs[:-1]) // 2, marks=marks)
-
-    def __len__(self) -> int:
-        return len(self.key)
-
-    def take(self, at: np.ndarray) -> "_Rows":
-        size = self.size[at]
-        return _Rows(**{n: getattr(self, n)[at] for n in self.NAMES}, start=np.cumsum(size) - size, size=size, marks=self.marks[T.gather_ragged(self.start[at], size)])
-
-    def behind(self, other: "_Rows") -> "_Rows":
-        """other's rows, then these."""
-        return _Rows(**{n: np.concatenate([getattr(other, n), getattr(self, n)]) for n in self.NAMES}, start=np.concatenate([other.start, self.start + len(other.marks)]), size=np.concatenate([other.size, self.size]), marks=np.concatenate([other.marks, self.marks]))
-
-
-def _aligned(r: _Rows, x: np.ndarray, y: np.ndarray, width: int, similarity: float):
-    """For pairs of rows: whether they are alike place by place, and the interval (first shingles in both, size) from the first to the last equal mark."""
-    back = np.minimum(r.at[x] - r.first[x], r.at[y] - r.first[y]).astype(np.int64)
-    ahead = np.minimum(r.size[x] - (r.at[x] - r.first[x]), r.size[y] - (r.at[y] - r.first[y])).astype(np.int64)
-    n = back + ahead
-    ok, a, b, size = np.zeros(len(x), bool), r.at[x] - back, r.at[y] - back, n.copy()
-    long = np.flatnonzero(n >= width)
-    if not len(long):
-        return ok, a, b, size
-    k, m = n[long], back[long]
-    sx = r.start[x[long]] + r.at[x[long]] - r.first[x[long]] - m
-    sy = r.start[y[long]] + r.at[y[long]] - r.first[y[long]] - m
-    same = r.marks[T.gather_ragged(sx, k)] == r.marks[T.gather_ragged(sy, k)]
-    begin = np.cumsum(k) - k
-    place = T.gather_ragged(np.zeros(len(k), np.int64), k)
-    low = np.minimum.reduceat(np.where(same, place, 1 << 30), begin)
-    high = np.maximum.reduceat(np.where(same, place, -1), begin) + 1
-    hits = np.add.reduceat(same, begin)
-    span = np.maximum(high - low, 0)
-    # Equal by place in `hits` of `span`: the union has 2 * span - hits members at most.
-    good = (span >= width) & (hits >= similarity * (2 * span - hits))
-    ok[long] = good
-    a[long] += np.where(good, low, 0)
-    b[long] += np.where(good, low, 0)
-    size[long] = np.where(good, span, k)
-    return ok, a, b, size
-
-
-def _chain(at: np.ndarray) -> np.ndarray:
-    """Places of a longest rising part of `at`."""
-    if (at[1:] > at[:-1]).all():
-        return np.arange(len(at))
-    tops: list[int] = []
-    ends: list[int] = []
-    before = []
-    for i, v in enumerate(at.tolist()):
-        k = bisect.bisect_left(tops, v)
-        before.append(ends[k - 1] if k else -1)
-        tops[k : k + 1], ends[k : k + 1] = [v], [i]
-    out, i = [], ends[-1]
-    while i >= 0:
-        out.append(i)
-        i = before[i]
-    return np.array(out[::-1])
-
-
-def _best(x: np.ndarray, y: np.ndarray, width: int, similarity: float):
-    """The longest alike interval of two texts of which place x[i] equals place y[i]: (first x, first y, size in x, size in y), or None.
-
-    x rises. It begins and ends with equal places, and one side of it has `width` places or more.
+    Keys of one window's content are left out, but for the first and the last
+    key, which may go on in other partitions.
     """
-    if not len(x):
-        return None
-    k = _chain(y)
-    x, y = x[k], y[k]
-    both = np.arange(1, len(x) + 1) - np.arange(len(x))[:, None]
-    nx, ny = x - x[:, None] + 1, y - y[:, None] + 1
-    ok = (both > 0) & (np.maximum(nx, ny) >= width) & (both >= similarity * (nx + ny - both))
-    if not ok.any():
-        return None
-    a, b = np.unravel_index(np.argmax(np.where(ok, nx + ny, 0)), ok.shape)
-    return int(x[a]), int(y[a]), int(nx[a, b]), int(ny[a, b])
-
-
-_OUT = "kind int, doc long, other long, a int, b int, size int, size_other int, key long, sig long, at int, first int, marks binary"
-
-
-def _links(doc, other, a, b, size, size_other) -> pa.RecordBatch:
-    n = len(doc)
-    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
-    values = [pa.array(np.zeros(n, np.int32)), pa.array(doc), pa.array(other), *(pa.array(np.asarray(v).astype(np.int32)) for v in (a, b, size, size_other))]
-    return pa.RecordBatch.from_arrays([*values, *none], [x.split()[0] for x in _OUT.split(", ")])
-
-
-def _heads(r: _Rows) -> pa.RecordBatch:
-    n = len(r)
-    none = [pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(4))]
-    values = [pa.array(r.key), pa.array(r.sig), pa.array(r.at.astype(np.int32)), pa.array(r.first.astype(np.int32)), _binary(r.marks[T.gather_ragged(r.start, r.size)], r.size)]
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(r.doc), *none, *values], [x.split()[0] for x in _OUT.split(", ")])
-
-
-def _compare(r: _Rows, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links among different windows, in order of their keys: all pairs of a key but those whose documents are linked already."""
-    n = len(r)
-    group = np.ones(n, bool)
-    group[1:] = r.key[1:] != r.key[:-1]
-    starts = np.flatnonzero(group)
-    of_group = starts[np.cumsum(group) - 1]
-    rest = np.flatnonzero(~group)
-    ok, a, b, size = _aligned(r, of_group[rest], rest, width, similarity)
-    other = r.doc[of_group[rest]] != r.doc[rest]
-    linked = ok & other
-    if linked.any():
-        y = rest[linked]
-        yield _links(r.doc[of_group[y]], r.doc[y], a[linked], b[linked], size[linked], size[linked])
-    joined = group.copy()
-    joined[rest] = ok | ~other
-    ends = np.append(starts[1:], n)
-    # Two alike windows share so many marks at least.
-    need = int(np.ceil(similarity * width - 1e-9))
-    for k in np.flatnonzero(~np.logical_and.reduceat(joined, starts)).tolist() if n else ():
-        yield from _rest(r, int(starts[k]), int(ends[k]), joined, need, width, similarity)
-
-
-def _rest(r: _Rows, begin: int, end: int, joined: np.ndarray, need: int, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links among rows begin to end of one key, of which the joined ones are of the first one's class."""
-    none, n = 1 << 16, end - begin
-    marks = np.full((n, int(r.size[begin:end].max())), none, np.int32)
-    marks[np.arange(marks.shape[1]) < r.size[begin:end, None]] = r.marks[T.gather_ragged(r.start[begin:end], r.size[begin:end])]
-    # Place of the minimum in the row, and of each column from the minimum on.
-    low = (r.at - r.first)[begin:end].astype(np.int64)
-    columns = np.arange(marks.shape[1])
-    # Classes are those of documents.
-    label = np.unique(r.doc[begin:end], return_inverse=True)[1]
-    label[np.isin(label, label[joined[begin:end]])] = label[0]
-    held, place = np.zeros(none + 1, np.uint8), np.full(none + 1, FAR, np.int32)
-    for i in range(n - 1):
-        apart = label[i + 1 :] != label[i]
-        if not apart.any():
-            if (label == label[0]).all():
-                return
-            continue
-        own = marks[i]
-        held[own] = 1
-        held[none] = 0
-        near = i + 1 + np.flatnonzero(apart & (held[marks[i + 1 :]].sum(axis=1, dtype=np.int32) >= need))
-        held[own] = 0
-        if not len(near):
-            continue
-        # For each column of the others the place in this row that is equal: at the same distance from the minimum, or else at any near it.
-        place[own] = columns
-        place[none] = FAR
-        theirs = marks[near]
-        at = place[theirs]
-        place[own] = FAR
-        level = columns + (low[i] - low[near])[:, None]
-        inside = (level >= 0) & (level < r.size[begin + i])
-        at = np.where(inside & (own[np.where(inside, level, 0)] == theirs), level, at)
-        fits = np.abs(at - level) <= width // 2
-        # From the first to the last equal place, in both rows.
-        span = np.where(fits, columns, -1).max(axis=1) - np.where(fits, columns, FAR).min(axis=1)
-        span_own = np.where(fits, at, -1).max(axis=1) - np.where(fits, at, FAR).min(axis=1)
-        out = []
-        for k in np.flatnonzero((np.maximum(span, span_own) + 1 >= width) & (fits.sum(axis=1) >= need)).tolist():
-            j = int(near[k])
-            if label[j] == label[i]:
-                continue
-            x = np.flatnonzero(fits[k])
-            best = _best(x, at[k, x], width, similarity)
-            if best is not None:
-                out.append((r.doc[begin + i], r.doc[begin + j], r.first[begin + i] + best[1], r.first[begin + j] + best[0], best[3], best[2]))
-                label[label == label[j]] = label[i]
-        if out:
-            yield _links(*(np.array(v) for v in zip(*out, strict=True)))
+    names = [x.split()[0] for x in _PLACE.split(", ")]
+    held: dict[str, np.ndarray] | None = None  # the different windows of the last key
+    first_key = None
 
+    def heads(r: dict[str, np.ndarray], which: np.ndarray) -> pa.RecordBatch:
+        n, own = len(which), {k: v[which] for k, v in r.items()}
+        return _batch(_STREAMED, np.ones(n, np.int32), own["doc"], pa.nulls(n, pa.int64()), own["first"], pa.nulls(n, pa.int32()), own["size"], pa.nulls(n, pa.int32()), own["key"], own["sig"], own["at"])
 
-def _stream(batches: Iterator[pa.RecordBatch], width: int, similarity: float, ends: bool) -> Iterator[pa.RecordBatch]:
-    """Links (kind 0) among rows sorted by key and sig; with `ends` also (kind 1) the different windows of the first and the last key."""
-    first_key = None
-    held: _Rows | None = None  # the different windows of the last key
     for batch in batches:
-        r = _Rows.of(batch)
-        if not len(r):
+        if not batch.num_rows:
             continue
+        r = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
         if held is not None:
-            r = r.behind(held)
+            r = {n: np.concatenate([held[n], r[n]]) for n in names}
         if first_key is None:
-            first_key = r.key[0]
-        head = np.ones(len(r), bool)
-        head[1:] = (r.key[1:] != r.key[:-1]) | (r.sig[1:] != r.sig[:-1])
-        of_run = np.maximum.accumulate(np.where(head, np.arange(len(r)), 0))
+            first_key = r["key"][0]
+        n = len(r["key"])
+        new_key, head = np.ones(n, bool), np.ones(n, bool)
+        new_key[1:] = r["key"][1:] != r["key"][:-1]
+        head[1:] = new_key[1:] | (r["sig"][1:] != r["sig"][:-1])
+        of_run = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         copies = np.flatnonzero(~head)
-        copies = copies[r.doc[copies] != r.doc[of_run[copies]]]
+        copies = copies[r["doc"][copies] != r["doc"][of_run[copies]]]
         if len(copies):
-            x = of_run[copies]
-            yield _links(r.doc[x], r.doc[copies], r.first[x], r.first[copies], r.size[copies], r.size[copies])
-        last = head & (r.key == r.key[-1])
-        whole = r.take(np.flatnonzero(head & ~last))
-        yield from _compare(whole, width, similarity)
-        first = np.flatnonzero(whole.key == first_key)
-        if ends and len(first):
-            yield _heads(whole.take(first))
-        held = r.take(np.flatnonzero(last))
+            x, k = of_run[copies], len(copies)
+            size = r["size"][copies]
+            yield _batch(_STREAMED, np.zeros(k, np.int32), r["doc"][x], r["doc"][copies], r["first"][x], r["first"][copies], size, size, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
+        starts = np.flatnonzero(new_key)
+        several = np.add.reduceat(head, starts)[np.cumsum(new_key) - 1] > 1
+        last = r["key"] == r["key"][-1]
+        out = np.flatnonzero(head & ~last & (several | (r["key"] == first_key)))
+        if len(out):
+            yield heads(r, out)
+        left = np.flatnonzero(head & last)
+        held = {k: v[left] for k, v in r.items()}
     if held is not None:
-        yield from _compare(held, width, similarity)
-        if ends:
-            yield _heads(held)
-
-
-def _meetings(compared: DataFrame) -> DataFrame:
-    """The windows of keys that go on in another partition, dealt into buckets; a pair of buckets is one new key."""
-    window = ("sig", "doc", "at", "first", "marks")
-    heads = compared.where("kind = 1").select("key", *window, F.spark_partition_id().alias("part"))
-    keys = heads.groupBy("key").agg((F.min("part") < F.max("part")).alias("more"), F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("buckets")).where("more").drop("more")
-    # A partition sends two keys at most, so this table is small.
-    dealt = heads.join(F.broadcast(keys), "key").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("buckets")).cast("int"))
+        yield heads(held, np.arange(len(held["key"])))
+
+
+_ROW = "key long, sig long, doc long, label long, at int, first int, marks binary"
+_WANTED = "array<struct<key:bigint,sig:bigint,at:int>>"
+
+
+def _emit_again(joined: DataFrame, width: int, hashes: int) -> DataFrame:
+    """Rows with marks, of the windows that each document's list names; joined: (doc, text, wanted)."""
+
+    def name(row: np.ndarray, key: np.ndarray, sig: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return T.mix(T.mix(key ^ T.mix(sig + np.uint64(1))) + (row.astype(np.uint64) << np.uint64(32)) + at.astype(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            flat = lists.flatten()
+            key, sig, at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            count = lists.value_lengths().to_numpy(zero_copy_only=False)
+            wanted = np.unique(name(np.repeat(np.arange(b.num_rows), count), key.view(np.uint64), sig.view(np.uint64), at))
+            for row, h, place in _shingles(b.column(1)):
+                marks = _marks(h)
+                for key, sig, at, left, right in _places(h, place, width, hashes):
+                    doc = np.searchsorted(place, at, "right") - 1
+                    asked = np.isin(name(row + doc, key, sig, at - place[doc]), wanted)
+                    key, sig, at, left, right, doc = (v[asked] for v in (key, sig, at, left, right, doc))
+                    if len(at):
+                        size, begin, own = right + 1 - left, place[doc], ids[row + doc]
+                        packed = _binary(marks[T.gather_ragged(left, size)], size)
+                        yield _batch(_ROW, key.view(np.int64), sig.view(np.int64), own, own, (at - begin).astype(np.int32), (left - begin).astype(np.int32), packed)
+
+    return joined.mapInArrow(run, _ROW)
+
+
+def _binary(marks: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(2 * size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(marks, "<u2"))])
+
+
+def _matrix(b: pa.RecordBatch, width: int) -> np.ndarray:
+    column = b.column("marks")
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    marks = np.frombuffer(data, "<u2", data.size // 2) if data is not None and data.size else np.zeros(0, "<u2")
+    at, first = (b.column(n).to_numpy(zero_copy_only=False) for n in ("at", "first"))
+    return alike.matrix(at, first, (offs[1:] - offs[:-1]) // 2, offs[:-1] // 2, marks, width)
+
+
+#: A link of two windows, and the row of a window that may have more.
+_FOUND = "kind int, doc long, other long, a int, b int, size int, size_other int, key long, sig long, sig_other long, label long, at int, first int, marks binary"
+
+
+def _compare(rows: pa.RecordBatch, width: int, similarity: float, rounds: int | None) -> Iterator[pa.RecordBatch]:
+    r = {n: rows.column(n).to_numpy(zero_copy_only=False) for n in ("key", "sig", "doc", "label", "at", "first")}
+    new = np.ones(len(r["key"]), bool)
+    new[1:] = r["key"][1:] != r["key"][:-1]
+    found, open_rows = alike.links(np.cumsum(new) - 1, r["label"], _matrix(rows, width), width, similarity, rounds)
+    if n := len(found):
+        x, y, a, b, size, size_other = found.T
+        # Column width - 1 is the minimum.
+        a, b = r["at"][x] + a - width + 1, r["at"][y] + b - width + 1
+        no = [pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+        yield _batch(_FOUND, np.zeros(n, np.int32), r["doc"][x], r["doc"][y], *(np.asarray(v).astype(np.int32) for v in (a, b, size, size_other)), r["key"][x], r["sig"][x], r["sig"][y], *no)
+    if n := len(open_rows):
+        own = rows.take(pa.array(open_rows))
+        no = [pa.nulls(n, k) for k in (pa.int64(), *[pa.int32()] * 4)]
+        yield _batch(_FOUND, np.ones(n, np.int32), own.column("doc"), *no, own.column("key"), own.column("sig"), pa.nulls(n, pa.int64()), own.column("label"), own.column("at"), own.column("first"), own.column("marks"))
+
+
+def _compared(rows: DataFrame, width: int, similarity: float, rounds: int | None) -> DataFrame:
+    """rows dealt by key, and the keys of each partition compared, some BATCH rows at once."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [x.split()[0] for x in _ROW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole() -> pa.RecordBatch:
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BATCH:
+                every = whole()
+                key = every.column("key").to_numpy(zero_copy_only=False)
+                n = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if n:
+                    yield from _compare(every.slice(0, n), width, similarity, rounds)
+                held[:] = [every.slice(n)]
+        if held:
+            yield from _compare(whole(), width, similarity, rounds)
+
+    return rows.select(names).repartition(parts, "key").sortWithinPartitions("key", "sig", "doc", "at").mapInArrow(run, _FOUND)
+
+
+_TOKENS = "key long, sig long, token int"
+_DEALT = _ROW + ", pattern long, prefix array<int>"
+
+
+def _refined(rows: DataFrame, width: int, similarity: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of keys with too many windows, dealt anew by rare marks: (rows, links, members).
+
+    Of equal patterns (see `alike`) one row goes on. links: those of patterns
+    that are alike in themselves; members: (key, sig, doc, at, rep): windows of
+    other patterns, for which the row with the sig `rep` stands.
+    """
+    need, names = alike.need_of(width, similarity), [x.split()[0] for x in _ROW.split(", ")]
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                row, _, token = alike.marks_of(_matrix(b, width))
+                yield _batch(_TOKENS, b.column("key").take(pa.array(row)), b.column("sig").take(pa.array(row)), token.astype(np.int32))
+
+    every = rows.mapInArrow(tokens, _TOKENS)
+    held = every.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # At most 2 * width - 1 tokens of each row.
+    known = every.join(held, ["key", "token"]).groupBy("key", "sig").agg(F.collect_list(F.struct("n", "token")).alias("tokens")).where(F.size("tokens") >= need)
+
+    def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks, lists = _matrix(b, width), b.column("tokens")
+            row, column, token = alike.marks_of(marks)
+            flat = lists.flatten()
+            n, shared = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            stays = np.isin((row << 23) + token, (owner << 23) + shared)
+            kept = np.zeros_like(marks)
+            kept[row[stays], column[stays]] = marks[row[stays], column[stays]]
+            order = np.lexsort((shared, n, owner))
+            count = np.bincount(owner, minlength=b.num_rows)
+            place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+            first = place < (count - need + 1)[owner]
+            prefix = shared[order][first].astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.maximum(count - need + 1, 0))]).astype(np.int32)
+            pattern = alike.pattern_hashes(b.column("key").to_numpy(zero_copy_only=False), kept)
+            yield _batch(_DEALT, *(b.column(c) for c in names), pattern.view(np.int64), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)))
+
+    own = cut(rows.join(known, ["key", "sig"]).select(*names, "tokens").mapInArrow(blank, _DEALT))
+    least = own.groupBy("key", "pattern").agg(F.min(F.struct("sig", "doc", "at", "first", "marks")).alias("rep"))
+    others = own.join(least, ["key", "pattern"]).where(F.col("sig") != F.col("rep.sig"))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rep = b.column("rep")
+            lead = pa.RecordBatch.from_arrays([rep.field(i) for i in (2, 3, 4)], ["at", "first", "marks"])
+            ok, low, high = alike.aligned(_matrix(b, width), _matrix(lead, width), width, similarity)
+            at, lead_at = (c.to_numpy(zero_copy_only=False) for c in (b.column("at"), rep.field(2)))
+            size = (high - low).astype(np.int32)
+            yield _batch(_SAME, rep.field(1), b.column("doc"), (lead_at + low - width + 1).astype(np.int32), (at + low - width + 1).astype(np.int32), size, size, b.column("key"), b.column("sig"), rep.field(0), at, lead_at, ok)
+
+    checked = cut(others.mapInArrow(same, _SAME))
+    reps = own.join(least.select("key", "pattern", F.col("rep.sig").alias("rep")), ["key", "pattern"]).where("sig = rep")
+    sub = cut(reps.select(*names, F.explode("prefix").alias("token")).select(F.xxhash64("key", "token").alias("key"), *names[1:]))
+    size = sub.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("buckets", F.when(F.col("n") > most, F.ceil(2 * F.col("n") / most)).otherwise(1).cast("int"))
+    dealt = sub.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("buckets")).cast("int"))
     every = F.sequence(F.lit(0), F.col("buckets") - 1)
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("buckets") == 1, every).otherwise(F.filter(every, lambda b: b != F.col("mine")))))
-    return dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *window)
+    dealt = dealt.withColumn("with", F.explode(F.when(F.col("buckets") == 1, every).otherwise(F.filter(every, lambda b: b != F.col("mine")))))
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with")).alias("key"), *names[1:])
+    alike_links = checked.where(F.col("ok") & (F.col("doc") != F.col("other"))).select(*_LINK)
+    return dealt, alike_links, checked.where(~F.col("ok")).select("sig", F.col("other").alias("doc"), "at", "rep", "rep_at")
 
 
-def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, other, a, b, size, size_other): verified links; `size` words from word a of doc and `size_other` from word b of other are alike."""
-    spark = docs.sparkSession
-    ship(spark)
-    width = min_words - SHINGLE + 1
-    own = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    keys = _emit(own, width, hashes, block).groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-    bits = spark.sparkContext.broadcast(bloom.build(cut(keys.select("key")), "key", MAX_FILTER_BYTES))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ("key", "sig", "doc", "at")
-    dealt = _emit_again(own, bits, width, hashes, block).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+_SAME = "doc long, other long, a int, b int, size int, size_other int, key long, sig long, rep long, at int, rep_at int, ok boolean"
+_LINK = ("doc", "other", "a", "b", "size", "size_other")
+
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _stream(batches, width, similarity, True)
+def _with_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """found, and its links again for the windows that a linked one stands for: what one of them is linked to, all are."""
+    m = members.select(F.col("rep").alias("__rep"), F.col("doc").alias("__doc"), (F.col("at") - F.col("rep_at")).alias("__by"))
+    one = found.join(m, F.col("sig") == F.col("__rep")).select(F.col("__doc").alias("doc"), "other", (F.col("a") + F.col("__by")).alias("a"), "b", "size", "size_other")
+    two = found.join(m, F.col("sig_other") == F.col("__rep")).select("doc", F.col("__doc").alias("other"), "a", (F.col("b") + F.col("__by")).alias("b"), "size", "size_other")
+    return found.select(*_LINK).unionAll(one).unionAll(two).where("doc <> other")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _stream(batches, width, similarity, False)
 
-    compared = cut(dealt.mapInArrow(stream, _OUT))
-    met = _meetings(compared).repartition(parts, "key").sortWithinPartitions(*order)
-    names = ("doc", "other", "a", "b", "size", "size_other")
-    # Windows of one bucket meet once for every other bucket.
-    again = cut(met.mapInArrow(meet, _OUT).select(*names).distinct())
-    return compared.where("kind = 0").select(*names).unionAll(again).select("doc", "other", "a", "b", *[(F.col(c) + SHINGLE - 1).alias(c) for c in ("size", "size_other")])
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, other, a, b, size, size_other): verified links of docs (doc long, text); `size` words from word a of doc and `size_other` from word b of other are alike."""
+    spark = docs.sparkSession
+    ship(spark)
+    width = min_words - SHINGLE + 1
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ("key", "sig", "doc", "at")
+    streamed = cut(_emit(docs, width, hashes).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream, _STREAMED))
+    equal = streamed.where("kind = 0").select(*_LINK)
+    # Equal windows of several partitions: a row of each, so a key's content has no more than there are partitions.
+    heads = streamed.where("kind = 1").groupBy("key", "sig").agg(F.sort_array(F.collect_list(F.struct("doc", "at", "a", "size"))).alias("w"))
+    heads = cut(heads)
+    lead = F.col("w")[0]
+    far = heads.where(F.size("w") > 1).select(lead.alias("l"), F.explode(F.slice("w", 2, F.size("w"))).alias("o")).where("l.doc <> o.doc")
+    equal = equal.unionAll(far.select("l.doc", F.col("o.doc").alias("other"), "l.a", F.col("o.a").alias("b"), "l.size", F.col("o.size").alias("size_other")))
+    different = heads.select("key", "sig", lead["doc"].alias("doc"), lead["at"].alias("at"))
+    keys = different.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("n > 1 and low < high").select("key", "n")
+    lists = different.join(keys.select("key"), "key").groupBy("doc").agg(F.collect_list(F.struct("key", "sig", "at")).alias("wanted"))
+    marked = cut(_emit_again(docs.join(lists, "doc").select("doc", "text", "wanted"), width, hashes))
+    hot = keys.where(F.col("n") > group)
+    found = [equal]
+    rows = marked
+    members = None
+    if hot.limit(1).count():
+        rows, more, members = _refined(marked.join(hot.select("key"), "key"), width, similarity, group)
+        found.append(more)
+        rows = marked.join(hot.select("key"), "key", "left_anti").select(rows.columns).unionAll(rows)
+    first = cut(_compared(rows, width, similarity, rounds))
+
+    def linked(compared: DataFrame) -> DataFrame:
+        own = compared.where("kind = 0")
+        return _with_members(own, members) if members is not None else own.select(*_LINK)
+
+    found.append(linked(first))
+    # The keys whose windows are not of one class of documents by now.
+    classes = components(_edges(_union(found)))
+    rest = first.where("kind = 1").select("key", "sig", "doc", "at", "first", "marks").join(classes, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("root", "doc"))
+    rest = cut(rest.select(*[x.split()[0] for x in _ROW.split(", ")]))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    found.append(linked(cut(_compared(rest.join(mixed, "key"), width, similarity, None))))
+    return _union(found).select(*_LINK[:4], *[(F.col(c) + SHINGLE - 1).alias(c) for c in _LINK[4:]])
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
+
+
+def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans of each document, joined where they touch, and the words in them."""
+    for b in batches:
+        lists = b.column(1)
+        flat, count = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        start, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        owner = np.repeat(np.arange(b.num_rows), count)
+        # Documents one after the other on one line, too far apart to touch.
+        step = int(end.max()) + 2 if len(end) else 1
+        reach = np.maximum.accumulate(end + owner * step)
+        new = np.ones(len(start), bool)
+        new[1:] = (start + owner * step)[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(start)) - 1 if len(at) else at
+        end = reach[last] - owner[at] * step if len(at) else end
+        words = np.bincount(owner[at], end - start[at], minlength=b.num_rows).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=b.num_rows))]).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(start[at].astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.ListArray.from_arrays(pa.array(offsets), spans), b.column(2)], ["doc", "n_repeated", "passages", "n_links"])
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, class_id, n_links, n_repeated, passages): each document that shares a passage with another.
 
     class_id: the smallest id that links reach; n_links: verified links at this
     document; passages: (start, end) in words, end not included, joined where
-    they touch; n_repeated: words in them. A link joins a window to the first
-    one like it, not to all of them.
+    they touch; n_repeated: words in them. A link joins a window to one like it,
+    not to all of them.
 
     Rows with a null id or null text have no part; rows with one id are one
     document's parts and aren't compared with each other. Texts under
-    min_words have no windows. An empty table gives an empty result.
+    min_words have no windows. An empty table gives an empty result. Ids that
+    are not integers are known by their 64-bit hash until the end.
     """
-    found = links(docs, min_words, similarity, hashes, block, doc_id, text)
-    classes = components(found.select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct())
+    number = F.col(doc_id).cast("long") if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(F.col(doc_id))
+    own = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), number.alias("doc"), F.col(text).alias("text"))
+    found = cut(links(own.select("doc", "text"), min_words, similarity, hashes, group))
+    classes = components(_edges(found))
     one = found.select("doc", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("size")).alias("end")).alias("p"))
     two = found.select(F.col("other").alias("doc"), F.struct(F.col("b").alias("start"), (F.col("b") + F.col("size_other")).alias("end")).alias("p"))
     # Equal spans first become one, so that a document at which many links end is small.
     spans = one.unionAll(two).groupBy("doc", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("n").alias("n_links"))
-    start = F.array().cast("array<struct<start:int,end:int>>")
-
-    def join(done, x):
-        touch = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"])
-        longer = F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), F.greatest(F.get(done, F.size(done) - 1)["end"], x["end"]).alias("end"))
-        return F.when(touch, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    spans = spans.withColumn("passages", F.aggregate("p", start, join))
-    size = F.aggregate("passages", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return spans.join(classes, spans["doc"] == classes["node"]).select(F.col("doc").alias("doc_id"), F.col("root").alias("class_id"), "n_links", size.alias("n_repeated"), "passages")
+    spans = spans.mapInArrow(_joined_spans, "doc long, n_repeated long, passages array<struct<start:int,end:int>>, n_links long")
+    named = spans.join(classes, spans["doc"] == classes["node"])
+    if str(own.schema["id"].dataType) == str(own.schema["doc"].dataType):
+        return named.select(F.col("doc").alias("doc_id"), F.col("root").alias("class_id"), "n_links", "n_repeated", "passages")
+    ids = own.select("id", "doc").distinct()
+    rows = named.join(ids, "doc")
+    return with_least(rows, "root", "id", "id", "class_id").select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_repeated", "passages")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, decontaminate, license_scan, line_dedup, mixing, passage_dedup, pretokens, quality, queries, simhash, token_counts, token_files, url_filter
+from lodestone.llm import alike, components, decontaminate, license_scan, line_dedup, mixing, passage_dedup, pretokens, quality, queries, simhash, token_counts, token_files, url_filter
 from lodestone.llm import textscan as T
 
 SMALL = "/root/testdata/sf0.001"
@@ -173,8 +173,7 @@ def test_repeated_passages_are_found_and_others_left(spark):
 
 def keys_of(words):
     _, h, place = next(passage_dedup._shingles(pa.array([" ".join(words)])))
-    found = passage_dedup._keys(h, place, 46, passage_dedup.HASHES, passage_dedup.BLOCK)
-    return set(np.concatenate([k for k, _, _, _ in found] or [np.zeros(0, np.uint64)]).tolist())
+    return set(np.concatenate([found[0] for found in passage_dedup._places(h, place, 46, passage_dedup.HASHES)] or [np.zeros(0, np.uint64)]).tolist())
 
 
 def test_passages_with_edits_share_a_key():
@@ -212,49 +211,146 @@ def test_families_of_edited_copies_are_one_class(spark):
     assert joined >= 0.97 * of, joined / of
 
 
-def window_rows(docs):
-    """A batch of windows of one key, each (document, marks, place of the minimum)."""
-    marks = [np.asarray(m, "<u2") for _, m, _ in docs]
-    n = len(docs)
-    packed = passage_dedup._binary(np.concatenate(marks), np.array([len(m) for m in marks]))
-    columns = [pa.array([7] * n), pa.array(range(n)), pa.array([d for d, _, _ in docs]), pa.array([a for _, _, a in docs], pa.int32()), pa.array([0] * n, pa.int32()), packed]
-    return pa.RecordBatch.from_arrays(columns, ["key", "sig", "doc", "at", "first", "marks"])
+def links_of(*windows, rounds=None):
+    """Links of windows of one key, each (marks, place of the minimum), as (row, other, first, first in the other, size, size in the other) with places in the windows."""
+    marks = [np.asarray(m[: a + 46], "<u2") for m, a in windows]
+    size = np.array([len(m) for m in marks])
+    at = np.array([a for _, a in windows])
+    rows = alike.matrix(at, np.zeros(len(at), int), size, np.cumsum(size) - size, np.concatenate(marks), 46)
+    found, _ = alike.links(np.zeros(len(at), int), np.arange(len(at)), rows, 46, 0.8, rounds)
+    return {(x, y, a + at[x] - 45, b + at[y] - 45, n, m) for x, y, a, b, n, m in found.tolist()}
 
 
 def test_no_pair_of_different_windows_goes_unverified():
     # The first window is like none; the second and the third share no long run around the minimum.
     r = np.random.default_rng(5)
-    one = r.integers(0, 1 << 16, 91)
+    one = r.integers(1, 1 << 16, 91)
     two = one.copy()
-    two[50:55] = r.integers(0, 1 << 16, 5)
-    two[20:25] = r.integers(0, 1 << 16, 5)
-    odd = r.integers(0, 1 << 16, 91)
+    two[50:55] = r.integers(1, 1 << 16, 5)
+    two[20:25] = r.integers(1, 1 << 16, 5)
+    odd = r.integers(1, 1 << 16, 91)
     odd[40:52] = one[40:52]
-    rows = window_rows([(1, odd, 45), (2, one, 45), (3, two, 45)])
-    for batches in ([rows], [rows.slice(0, 1), rows.slice(1, 1), rows.slice(2, 1)]):
-        links = [x for b in passage_dedup._stream(iter(batches), 46, 0.8, False) for x in b.to_pylist()]
-        assert {(x["doc"], x["other"]) for x in links if x["kind"] == 0} == {(2, 3)}
-
-
-def links_of(rows):
-    found = [x for b in passage_dedup._stream(iter([rows]), 46, 0.8, False) for x in b.to_pylist()]
-    return {(x["doc"], x["other"], x["a"], x["b"], x["size"], x["size_other"]) for x in found if x["kind"] == 0}
+    assert {x[:2] for x in links_of((odd, 45), (one, 45), (two, 45))} == {(1, 2)}
 
 
 def test_the_best_common_interval_is_verified():
     r = np.random.default_rng(6)
 
     def other(n):
-        return r.integers(0, 1 << 16, n).tolist()
+        return r.integers(1, 1 << 16, n).tolist()
 
     one = other(91)
     # 46 equal shingles, eight others, one equal one: not alike as a whole.
-    assert links_of(window_rows([(1, one, 20), (2, one[:46] + other(8) + one[54:55] + other(36), 20)])) == {(1, 2, 0, 0, 46, 46)}
+    assert links_of((one, 20), (one[:46] + other(8) + one[54:55] + other(36), 20)) == {(0, 1, 0, 0, 46, 46)}
     # One word deleted: four shingles in place of five, what follows is shifted; unrelated text on both sides.
     two = other(20) + one[20:40] + other(4) + one[45:70] + other(20)
-    assert links_of(window_rows([(1, one, 25), (2, two, 25)])) == {(1, 2, 20, 20, 50, 49)}
-    # 49 equal words are too few.
-    assert not links_of(window_rows([(1, one, 40), (2, other(20) + one[20:65] + other(26), 40)]))
+    assert links_of((one, 25), (two, 25)) == {(0, 1, 20, 20, 50, 49)}
+    # 41 equal shingles of 46 are alike (41 of 51), 40 are not (40 of 52): 50 words of which the last ones were replaced.
+    assert links_of((one, 40), (other(20) + one[20:61] + other(30), 40)) == {(0, 1, 20, 20, 41, 41)}
+    assert not links_of((one, 40), (other(20) + one[20:60] + other(31), 40))
+
+
+def brute_alike(x, y, width=46, similarity=0.8):
+    """Whether some columns a to b, `width` or more, are alike place by place."""
+    for a in range(len(x)):
+        for b in range(a + width, len(x) + 1):
+            same = sum(p == q and p > 0 for p, q in zip(x[a:b], y[a:b], strict=True))
+            if same >= similarity * (2 * (b - a) - same) - 1e-9:
+                return True
+    return False
+
+
+def edited_rows(r, n, edits, base=None):
+    rows = []
+    base = r.integers(1, 1 << 16, 91) if base is None else base
+    for _ in range(n):
+        row = base.copy()
+        for _ in range(r.integers(0, edits + 1)):
+            at = r.integers(0, 91)
+            row[at : at + 5] = r.integers(1, 1 << 16, len(row[at : at + 5]))
+        row[45] = base[45]
+        rows.append(row)
+    return rows
+
+
+@pytest.mark.parametrize("edits", [2, 4, 7, 10])
+def test_classes_of_alike_windows_are_those_of_all_pairs(edits):
+    # Two texts that share a line, copies with many edits of both, and texts that share the line only.
+    r = np.random.default_rng(edits)
+    one, two = r.integers(1, 1 << 16, 91), r.integers(1, 1 << 16, 91)
+    two[30:60] = one[30:60]
+    rows = edited_rows(r, 25, edits, one) + edited_rows(r, 25, edits, two)
+    for _ in range(20):
+        row = r.integers(1, 1 << 16, 91)
+        row[30:60] = one[30:60]
+        rows.append(row)
+    rows = np.array(rows, np.uint16)[r.permutation(len(rows))]
+    want = brute_components(len(rows), lambda i, j: brute_alike(rows[i], rows[j]))
+    group, label = np.zeros(len(rows), int), np.arange(len(rows))
+    found, _ = alike.links(group, label, rows, 46, 0.8)
+    pairs = {(min(x, y), max(x, y)) for x, y in found[:, :2].tolist()}
+    assert brute_components(len(rows), lambda i, j: (min(i, j), max(i, j)) in pairs) == want
+    # The same in two steps, with the classes that the first one found.
+    first, open_rows = alike.links(group, label, rows, 46, 0.8, 1)
+    pairs = {(min(x, y), max(x, y)) for x, y in first[:, :2].tolist()}
+    label = np.array(brute_components(len(rows), lambda i, j: (min(i, j), max(i, j)) in pairs))
+    rest, _ = alike.links(np.zeros(len(open_rows), int), label[open_rows], rows[open_rows], 46, 0.8)
+    pairs |= {(min(x, y), max(x, y)) for x, y in open_rows[rest[:, :2]].tolist()}
+    assert brute_components(len(rows), lambda i, j: (min(i, j), max(i, j)) in pairs) == want
+
+
+def test_copies_with_many_edits_do_not_meet_each_other(monkeypatch):
+    # 1,500 copies with up to 12 edits each: all pairs would be a million comparisons.
+    r, compared = np.random.default_rng(8), []
+    real = alike.aligned
+    monkeypatch.setattr(alike, "aligned", lambda x, y, *rest: compared.append(len(x)) or real(x, y, *rest))
+    rows = np.array(edited_rows(r, 1500, 12), np.uint16)
+    alike.links(np.zeros(1500, int), np.arange(1500), rows, 46, 0.8)
+    assert sum(compared) < 60_000
+
+
+RECALL = ((50, 1), (55, 1), (60, 1), (80, 1), (80, 2), (120, 2), (200, 4), (300, 6))
+
+
+@pytest.mark.parametrize("size,edits", RECALL)
+def test_recall_of_passages_with_edits(spark, size, edits):
+    """Pairs of similarity 0.8 or more with edits at random places, unrelated words on both sides."""
+    r = random.Random(1000 * size + edits)
+    texts, pairs = [], 0
+    while pairs < 100:
+        one = prose(r, size, 1 << 30).split()
+        two = list(one)
+        for at in r.sample(range(size), edits):
+            two[at] = f"x{r.random()}"
+        a, b = ({tuple(x[i : i + 5]) for i in range(size - 4)} for x in (one, two))
+        if len(a & b) >= 0.8 * len(a | b):
+            texts += [" ".join([prose(r, 60, 1 << 30), *w, prose(r, 60, 1 << 30)]) for w in (one, two)]
+            pairs += 1
+    got = {x.doc_id: x.class_id for x in passage_dedup.repeated_passages(docs_of(spark, texts)).collect()}
+    assert all(v // 2 == k // 2 for k, v in got.items())
+    assert len(got) >= 0.95 * 200, len(got) / 200
+
+
+def test_passages_of_odd_tables(spark):
+    """Null and text ids, repeated rows, a clashing column, a very long text, and groups that are dealt anew by their rare marks."""
+    r = random.Random(21)
+    shared, line = prose(r, 70, 1 << 30), prose(r, 30, 1 << 30)
+    long = prose(r, 20_000, 1 << 30)
+    texts = [f"{prose(r, 40)} {line} {prose(r, 40)}" for _ in range(40)]
+    texts += [f"{prose(r, 40)} {shared} {prose(r, 30)}" for _ in range(30)] + [f"{long} {shared}", long + " and more"]
+    for i in range(30):
+        words = shared.split()
+        words[i * 2 + 3] = "other"
+        texts.append(f"{prose(r, 40)} {' '.join(words)} {prose(r, 40)}")
+    rows = docs_of(spark, texts).withColumn("key", F.lit("mine"))
+    rows = rows.unionAll(rows.where("doc_id in (41, 71)")).unionAll(rows.where("doc_id = 42").withColumn("doc_id", F.lit(None).cast("long")))
+    want = {i: 40 for i in range(40, 102)}
+    for group in (passage_dedup.GROUP, 40, 7):
+        got = passage_dedup.repeated_passages(rows.repartition(5), group=group).collect()
+        assert {x.doc_id: x.class_id for x in got} == want, group
+    named = rows.withColumn("doc_id", F.format_string("d%04d", "doc_id"))
+    got = passage_dedup.repeated_passages(named.where("doc_id <> 'dnull'")).collect()
+    assert {x.doc_id: x.class_id for x in got} == {f"d{i:04d}": "d0040" for i in want}
 
 
 def test_passages_with_a_deleted_or_inserted_word_are_linked(spark):

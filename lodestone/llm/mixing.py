@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ MAX_REPEATS = 3
 #: Documents of a block, about; blocks of a source and sources at most.
 BLOCK_ROWS, MAX_BLOCKS, MAX_SOURCES = 512, 1 << 20, 10_000
 SEED = 42
+#: Draws that the library's own hypergeometric distribution takes.
+LIBRARY_RANGE = 1_000_000_000
 
 
 @dataclass
@@ -70,8 +73,30 @@ def set_targets(sources: list[Source], total: float | None = None, most: float =
         free = [s for s in free if s not in over]
 
 
+def _hypergeometric(random, good: int, bad: int, want: int) -> int:
+    """How many of `want` draws from good + bad are good. Beyond the library's range: by the inverse of the distribution, 12 deviations about the mode."""
+    import numpy as np
+
+    if not want or not good:
+        return 0
+    total = good + bad
+    if total < LIBRARY_RANGE:
+        return int(random.hypergeometric(good, bad, want))
+    low, high = max(0, want - bad), min(good, want)
+    share = want / total
+    deviation = (good * share * (1 - share) * bad / max(total - 1, 1)) ** 0.5
+    mode = min(max((want + 1) * (good + 1) // (total + 2), low), high)
+    reach = int(12 * deviation) + 30
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(want - k) - np.log(k + 1) - np.log(bad - want + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(min(np.searchsorted(p, random.random() * p[-1], "right"), high - low))
+
+
 def split_quotas(quotas: Sequence[int], shards: int, seed: int = SEED) -> list[list[int]]:
-    """For each shard its exact number of draws from each source, by the splitting tree."""
+    """For each shard its exact number of draws from each source, by the splitting tree. Quotas may be of any size."""
     import numpy as np
 
     random = np.random.Generator(np.random.PCG64(seed))
@@ -86,7 +111,7 @@ def split_quotas(quotas: Sequence[int], shards: int, seed: int = SEED) -> list[l
         left, others = [], total
         for n in counts:  # one source after the other: hypergeometric given those before
             others -= n
-            x = int(random.hypergeometric(n, others, want)) if want and n else 0
+            x = _hypergeometric(random, n, others, want)
             left.append(x)
             want -= x
         split(left, a, middle)
@@ -191,14 +216,9 @@ class Mix:
         counts = {r.no: r.n for r in draws.groupBy("no").agg(F.count(F.lit(1)).alias("n")).collect()}
         numbers = sorted(counts)
         quotas = split_quotas([counts[n] for n in numbers], shards)
-        ends = []
-        for i, n in enumerate(numbers):
-            at = 0
-            for k in range(shards):
-                at += quotas[k][i]
-                ends.append((n, k, at))
-        arrays = ", ".join(f"({n}L, array({', '.join(str(e) + 'L' for m, _, e in ends if m == n)}))" for n in numbers)
-        bounds = spark.sql(f"select * from values {arrays or '(0L, array(0L))'} as t(no, ends)")
+        # Where each shard's draws of a source end: one text for each source, so that the plan stays small.
+        ends = [(n, ",".join(map(str, accumulate(own)))) for n, own in zip(numbers, zip(*quotas, strict=True), strict=True)]
+        bounds = _table(spark, ends or [(0, "0")], "no, ends").select("no", F.split("ends", ",").cast("array<bigint>").alias("ends"))
         place = F.row_number().over(Window.partitionBy("no").orderBy(_order(F.lit(3), F.col("no"), F.col("block"), F.col("draw")), "block", "draw"))
         dealt = draws.withColumn("place", place).join(F.broadcast(bounds), "no")
         dealt = dealt.select("no", "block", "part", "draw", F.size(F.filter("ends", lambda e: e < F.col("place"))).alias("shard"))

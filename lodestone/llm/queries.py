@@ -13,11 +13,9 @@ TOKENIZER, VOCABULARY = "byte_bpe_50k.json", 50257
 LINE_DOCS = 10
 #: Host and path rules.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: The listed URLs are those of these hosts, languages and page numbers.
+#: The list has these hosts of these domains, with all their pages.
 LISTED_HOSTS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED_DOMAINS = ("example.com", "example.net", "example.org")
-LISTED_LANGS = ("de", "en", "es", "fr")
-LISTED_PAGES = 1000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -79,10 +77,8 @@ from docs d left join hit_words h on h.doc_id = d.doc_id left join hit_items i o
 
 
 def listed_urls(spark: SparkSession) -> DataFrame:
-    """The canonical URLs on the list: host/lang/number for the listed hosts."""
-    hosts = F.explode(F.array(*[F.lit(f"{h}.{d}") for h in LISTED_HOSTS for d in LISTED_DOMAINS]))
-    pages = spark.range(LISTED_PAGES).select("id", hosts.alias("host")).select("id", "host", F.explode(F.array(*map(F.lit, LISTED_LANGS))).alias("lang"))
-    return pages.select(F.concat_ws("/", "host", "lang", F.col("id").cast("string")).alias("url"))
+    """The canonical URLs on the list: whole hosts."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(f"{h}.{d}/") for h in LISTED_HOSTS for d in LISTED_DOMAINS])).alias("url"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +87,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RULES4 = ", ".join(f"('{v}', '{r}', '{r.split('/')[0]}', '{r[r.index('/'):]}')" for v, r in URL_RULES)
-_LISTED4 = "'^(" + "|".join(LISTED_HOSTS) + ")[.](" + "|".join(d.replace(".", "[.]") for d in LISTED_DOMAINS) + ")/(" + "|".join(LISTED_LANGS) + ")/(0|[1-9][0-9]?[0-9]?)$'"
+_LISTED4 = "'^(" + "|".join(LISTED_HOSTS) + ")[.](" + "|".join(d.replace(".", "[.]") for d in LISTED_DOMAINS) + ")$'"
 OP4_SQL = f"""
 with parsed as (
   select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
@@ -103,7 +99,7 @@ ruled as (
   from parts p join (values {_RULES4}) x(verdict, rule, host, path)
     on (p.host = x.host or ends_with(p.host, '.' || x.host)) and starts_with(p.path, x.path) group by p.page_id)
 select p.page_id, p.host, p.path, u.rule,
-       coalesce(u.verdict, case when regexp_matches(regexp_replace(p.host, '^(www|m|blog)[.]', '') || regexp_replace(p.path, '([.]html|/)$', ''), {_LISTED4}) then 'block' else 'allow' end) as verdict
+       coalesce(u.verdict, case when regexp_matches(regexp_replace(p.host, '^(www|m|blog)[.]', ''), {_LISTED4}) then 'block' else 'allow' end) as verdict
 from parts p left join ruled u on u.page_id = p.page_id
 """
 

@@ -1,9 +1,10 @@
 """URL filters: rules by host and path, and a list of canonical URLs behind a blocked Bloom filter.
 
 Hosts, paths and rules are plain expressions. URLs that no rule decides are
-canonicalised and probed in Arrow batches against a Bloom filter of the list;
-only possible hits go to the exact hash join with the list, which removes the
-false positives. All other rows never move.
+canonicalised and probed in Arrow batches against a Bloom filter of the list,
+each with its whole URL and with its host; only possible hits go to the exact
+hash join with the list, which removes the false positives. All other rows never
+move. Pages are read and probed once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import ascii_lower, ship
+from .shared import ascii_lower, cut, ship
 
 #: Rules that one expression holds at most.
 MAX_RULES = 1000
@@ -64,34 +65,40 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", listed_url: str = "url", max_bytes: int = bloom.MAX_BYTES) -> DataFrame:
-    """pages with host, path, rule, canonical and verdict: the rule's, else block if the list has the canonical URL, else allow.
+    """pages with host, path, rule, canonical and verdict: the rule's, else block if the list has the canonical URL or its host, else allow.
 
-    listed: a table of canonical URLs; null and repeated ones don't matter.
-    Null URLs and URLs without :// have an empty host and path, fit no rule and
-    are allowed. Input columns of the added names are replaced.
+    listed: a table of canonical URLs; one of a host and a slash, such as
+    `example.com/`, lists all URLs of that host. Null and repeated ones don't
+    matter. Null URLs and URLs without :// have an empty host and path, fit no
+    rule and are allowed. Input columns of the added names are replaced.
     """
     spark = pages.sparkSession
     ship(spark)
-    pages = pages.drop("host", "path", "rule", "canonical", "verdict", "__h", "__may")
+    pages = pages.drop("host", "path", "rule", "canonical", "verdict", "__site", "__h", "__s", "__may")
     own = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
     named, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = own.withColumns({"rule": named, "verdict": verdict, "canonical": canonical(F.col("host"), F.col("path"))})
-    exact = listed.where(F.col(listed_url).isNotNull()).select(F.col(listed_url).alias("canonical")).distinct()
-    bits = bloom.build(exact.select(F.xxhash64("canonical").alias("h")), "h", max_bytes)
+    own = own.withColumns({"rule": named, "verdict": verdict, "canonical": canonical(F.col("host"), F.col("path")), "__site": F.concat(canonical(F.col("host"), F.lit("")), F.lit("/"))})
+    exact = listed.where(F.col(listed_url).isNotNull()).select(F.col(listed_url).alias("listed")).distinct()
+    bits = bloom.build(exact.select(F.xxhash64("listed").alias("h")), "h", max_bytes)
     sent = spark.sparkContext.broadcast(bits)
-    own = own.withColumn("__h", F.when(F.col("rule").isNull() & F.col("canonical").isNotNull(), F.xxhash64("canonical")))
+    open_ = F.col("rule").isNull() & F.col("canonical").isNotNull()
+    own = own.withColumns({"__h": F.when(open_, F.xxhash64("canonical")), "__s": F.when(open_, F.xxhash64("__site"))})
     names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = names.index("__h")
+        places = names.index("__h"), names.index("__s")
         for b in batches:
-            h = b.column(place)
-            asked = h.is_valid().to_numpy(zero_copy_only=False)
-            may = bloom.probe(sent.value, h.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & asked
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(may)], [*names, "__may"])
-
-    probed = own.mapInArrow(run, own.withColumn("__may", F.lit(False)).schema)
-    out = [c for c in names if c != "__h"]
+            asked = b.column(places[0]).is_valid().to_numpy(zero_copy_only=False)
+            may = np.zeros(b.num_rows, bool)
+            for place in places:
+                may |= bloom.probe(sent.value, b.column(place).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(may & asked)], [*names, "__may"])
+
+    probed = cut(own.mapInArrow(run, own.withColumn("__may", F.lit(False)).schema))
+    out = [c for c in names if c not in ("__site", "__h", "__s")]
     rest = probed.where(~F.col("__may")).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    hits = probed.where("__may").join(exact.withColumn("__listed", F.lit(True)), "canonical", "left").withColumn("verdict", F.when(F.col("__listed"), "block").otherwise("allow"))
+    hits = probed.where("__may")
+    for key, found in (("canonical", "__url"), ("__site", "__host")):
+        hits = hits.join(exact.select(F.col("listed").alias(key), F.lit(True).alias(found)), key, "left")
+    hits = hits.withColumn("verdict", F.when(F.coalesce("__url", "__host"), "block").otherwise("allow"))
     return rest.select(out).unionByName(hits.select(out))

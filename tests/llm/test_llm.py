@@ -439,6 +439,16 @@ def test_url_rules_list_and_gaps(spark):
         assert [got[i].verdict for i in range(len(urls))] == ["allow", "allow", "allow", "block", "allow", "block", "allow", "block", "block", "allow", "allow", "allow"]
         assert got[4].rule == "example.net/en/" and got[3].rule == "net/" and got[0].host == "" and got[3].host == "a.net" and got[8].path == "/a.html"
     assert url_filter.judge(pages, listed.where("false"), ()).where("verdict = 'block'").count() == 0
+    assert url_filter.judge(pages.where("false"), listed, queries.URL_RULES).count() == 0
+
+
+def test_a_listed_host_has_all_its_pages(spark):
+    hosts = ["evil.test", "www.evil.test", "m.EVIL.test", "not-evil.test", "evil.test.org", "sub.evil.test"]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, h in enumerate(hosts) for p in ("", "/", "/de/99999.html", "/a/b?q#f")], "page_id long, url string")
+    listed = spark.createDataFrame([("evil.test/",)], "url string")
+    for most in (64, 1 << 20):
+        got = url_filter.judge(pages, listed, (), max_bytes=most).groupBy("page_id").agg(F.collect_set("verdict").alias("v")).collect()
+        assert {r.page_id: r.v for r in got} == {i: ["block" if i < 3 else "allow"] for i in range(len(hosts))}
 
 
 # --- 5 ------------------------------------------------------------------------
@@ -664,6 +674,63 @@ def test_quotas_are_split_exactly():
     assert out == mixing.split_quotas(quotas, 7)
 
 
+@pytest.mark.parametrize("good,bad,want", [(600, 400, 300), (10**10, 3 * 10**10, 10**9), (5, 4 * 10**9, 2 * 10**9), (2 * 10**9, 0, 10**9), (10**9, 10**9, 2 * 10**9)])
+def test_draws_of_any_size_are_hypergeometric(monkeypatch, good, bad, want):
+    monkeypatch.setattr(mixing, "LIBRARY_RANGE", 0)
+    random = np.random.Generator(np.random.PCG64(1))
+    got = np.array([mixing._hypergeometric(random, good, bad, want) for _ in range(400)])
+    total = good + bad
+    mean, deviation = want * good / total, (want * good / total * bad / total * (total - want) / (total - 1)) ** 0.5
+    assert got.min() >= max(0, want - bad) and got.max() <= min(good, want)
+    assert abs(got.mean() - mean) <= 5 * deviation / 20 + 1e-9 and abs(got.std() - deviation) <= 0.2 * deviation + 1e-9
+
+
+def test_quotas_of_any_size_and_number_are_split():
+    quotas = [3 * 10**9, 10**10, 7, 0]
+    out = mixing.split_quotas(quotas, 9)
+    assert [sum(x) for x in zip(*out, strict=True)] == quotas and max(map(sum, out)) - min(map(sum, out)) <= 4
+
+
+def test_the_mix_is_the_one_drawn_by_brute_force(spark):
+    """Every block whole in each pass and in the rest's permuted order, then documents of the last block: the same draws, row by row."""
+    docs = mixed_docs(spark)
+    mix = mixing.Mix(docs)
+    placed = mix._placed(mix.sized, mix.sized["source"], F.col("doc"), F.col("tk"))
+    placed = placed.withColumns({"by_block": mixing._order(F.col("no"), F.col("block")), "by_doc": mixing._order(F.lit(1), F.col("doc"), F.col("tk")), "by_size": mixing._order(F.lit(2), F.col("doc"), F.col("tk"))})
+    want = Counter()
+    rows = placed.collect()
+    for no in {r.no for r in rows}:
+        own = [r for r in rows if r.no == no]
+        blocks = defaultdict(list)
+        for r in own:
+            blocks[r.by_block, r.block].append(r)
+        room = own[0].rest
+        for _, block in sorted(blocks.items()):
+            size = sum(r["size"] for r in block)
+            times = own[0].passes + (size <= room)
+            for r in block:
+                want[r.doc, r.tk] += times
+            if 0 < room < size:
+                left = room
+                late = []
+                alive = True
+                for r in sorted((r for r in block if r["size"]), key=lambda r: (r.by_doc, r.doc)):
+                    if alive and r["size"] <= left:
+                        left -= r["size"]
+                        want[r.doc, r.tk] += 1
+                    else:
+                        alive = False
+                        late.append(r)
+                for r in sorted(late, key=lambda r: (r["size"], r.by_size, r.doc)):
+                    if r["size"] > left:
+                        break
+                    left -= r["size"]
+                    want[r.doc, r.tk] += 1
+            room -= size
+    got = Counter((r.doc_id, r.tk) for r in mix.rows(5).select("doc_id", F.xxhash64("text").alias("tk")).collect())
+    assert got == Counter({k: n for k, n in want.items() if n})
+
+
 def mixed_docs(spark):
     r = random.Random(3)
     rows = [(i, prose(r, r.choice((0, 1, 5, 20, 60))), "en", r.choice(["a", "a", "a", "b", "c", None, "é"]), 0) for i in range(1500)]
@@ -696,6 +763,39 @@ def test_op10_counts_what_the_mixed_shards_hold(spark, monkeypatch):
     assert queries.op10_mixing(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count() and asked
 
 
+# --- keeping one of each group ------------------------------------------------
+
+
+def test_one_row_of_each_component_stays(spark):
+    r = random.Random(4)
+    one, two, three = (prose(r, 200, 1 << 30) for _ in range(3))
+    rows = [(5, one), (5, two), (7, one), (None, one), (None, three), (None, three), (2, two), (9, None), (8, ""), (5, one), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], DOCS).withColumn("fp", F.lit("mine"))
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    found = sorted(((x.doc_id, x.text) for x in got.collect()), key=str)
+    assert found == sorted([(5, one), (2, two), (None, three), (8, "")], key=str)
+    assert sorted(map(str, got.collect())) == sorted(map(str, simhash.keep_one(docs.repartition(7)).collect()))
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from lodestone.llm import shared
+
+    class Unset:
+        def get(self, key, default=None):
+            return None
+
+    class Context:
+        master, getConf, getCheckpointDir = "spark://host:7077", lambda self: Unset(), lambda self: None
+
+    class Session:
+        conf, sparkContext = Unset(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session())
+
+
 # --- queries and pipeline -----------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, quality, queries, simhash
-from lodestone.llm.shared import cut, fresh_path, read
+from lodestone.llm.shared import fresh_path, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id go only as copies."""
-    found = simhash.near_duplicates(docs)
-    kept = cut(found.where("doc = component").select(F.col("doc").alias("__doc")).distinct())
-    nobody = docs.where("doc_id is null")
-    return docs.join(kept, docs["doc_id"] == kept["__doc"], "left_semi").dropDuplicates(["doc_id"]).unionAll(nobody.dropDuplicates(["text"])).select(docs.columns)
+    """One row of each group of near-duplicates: the one with the smallest id, null ids last. Ids may repeat."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

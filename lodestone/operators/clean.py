@@ -176,28 +176,47 @@ def drop_rare(df: DataFrame, label: str, least: int = 25) -> DataFrame:
     return df.join(common, df[label] == common["__l"], "left_semi")
 
 
+def _rank_in_class(df: DataFrame, key: str, stratify: str, seed: int) -> DataFrame:
+    """df with __rank (from 0, by the seeded hash) and __n of each row's class.
+
+    The hash's first digits cut a class into ranges; a running sum over the few
+    ranges' counts gives each range's first rank. So no task sorts a whole class.
+    """
+    h = S.seeded(key, seed)
+    own = df.withColumns({"__h": h, "__range": F.substring(h, 1, 3)})
+    counts = own.groupBy(stratify, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    over = Window.partitionBy(stratify).orderBy("__range")
+    firsts = counts.select(
+        F.col(stratify).alias("__k"), F.col("__range").alias("__r"),
+        (F.sum("__c").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__first"), F.sum("__c").over(Window.partitionBy(stratify)).alias("__n"),
+    )
+    inner = F.row_number().over(Window.partitionBy(stratify, "__range").orderBy("__h", key)) - 1
+    joined = own.withColumn("__inner", inner).join(firsts, own[stratify].eqNullSafe(firsts["__k"]) & (own["__range"] == firsts["__r"]))
+    return joined.withColumn("__rank", F.col("__first") + F.col("__inner"))
+
+
 def split(df: DataFrame, key: str, test: float = 0.2, validation: float = 0.25, stratify: str | None = None, seed: int = 42) -> DataFrame:
     """df with `split`: test, validation (of the rest) or train, by the rank of a seeded hash, within each class if named.
 
-    The rank is a window by class; without a class the hash itself is cut at
-    its quantile, so that no global sort is needed.
+    Without a class the hash itself is cut at its quantile, so that nothing is
+    ranked.
     """
-    h = S.seeded(key, seed)
+    names = df.columns
     if stratify:
-        w = Window.partitionBy(stratify).orderBy(h, key)
-        rank, n = F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy(stratify))
-        place = rank / n
+        df = _rank_in_class(df, key, stratify, seed)
+        place = F.col("__rank") / F.col("__n")
     else:
-        place = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return df.withColumn("split", F.when(place < test, "test").when(place < test + (1 - test) * validation, "validation").otherwise("train"))
+        place = F.conv(F.substring(S.seeded(key, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    part = F.when(place < test, "test").when(place < test + (1 - test) * validation, "validation").otherwise("train")
+    return df.withColumn("split", part).select(*[c for c in names if c != "split"], "split")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, stratify: str | None = None, seed: int = 42) -> DataFrame:
     """df with `fold` 0 to k - 1: stratified by rank in the class, else by the hash."""
-    h = S.seeded(key, seed)
+    names = [c for c in df.columns if c != "fold"]
     if stratify:
-        return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(stratify).orderBy(h, key)) - 1) % k).cast("int"))
-    return df.withColumn("fold", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % k).cast("int"))
+        return _rank_in_class(df, key, stratify, seed).withColumn("fold", (F.col("__rank") % k).cast("int")).select(*names, "fold")
+    return df.withColumn("fold", (F.conv(F.substring(S.seeded(key, seed), 1, 8), 16, 10).cast("long") % k).cast("int"))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

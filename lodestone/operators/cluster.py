@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import scalar as S
 
 SILHOUETTE_SAMPLE, WARD_SAMPLE, WARD_MOST = 5000, 1200, 2000
+#: Rows of the sample that one task compares with all.
+SILHOUETTE_BLOCK = 500
 
 
 def matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -84,13 +87,44 @@ def davies_bouldin(df: DataFrame, x: str = "x", cluster: str = "cluster") -> Dat
 
 
 def silhouette(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", most: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """One row (score): the mean Euclidean silhouette of a sample of at most `most` rows; 0 for a cluster of one."""
-    own = df.orderBy(S.seeded(key), key).limit(most).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(cluster).alias("c"))
-    pairs = own.alias("a").join(F.broadcast(own.alias("b")), F.col("a.k") != F.col("b.k"))  # a bounded sample
-    by = pairs.groupBy(F.col("a.k").alias("k"), F.col("a.c").alias("own"), F.col("b.c").alias("other")).agg(F.avg(F.sqrt(squared(F.col("a.x"), F.col("b.x")))).alias("d"))
-    two = by.groupBy("k").agg(F.min(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return two.agg(F.round(F.avg(s), 6).alias("score"))
+    """One row (score): the mean Euclidean silhouette of a sample of at most `most` rows; 0 for a cluster of one.
+
+    The sample's vectors are sent to the executors, and blocks of it are compared
+    with all of it by array operations.
+    """
+    own = df.orderBy(S.seeded(key), key).limit(most).select(F.col(x).alias("x"), F.col(cluster).cast("string").alias("c"))
+    rows = own.collect()  # a bounded sample
+    spark = df.sparkSession
+    if not rows:
+        return spark.range(0).agg(F.avg("id").alias("score"))
+    names, codes = np.unique(np.array([r.c for r in rows]), return_inverse=True)
+    points = np.array([r.x for r in rows], float)
+    sent, n, k = spark.sparkContext.broadcast((points, codes, np.bincount(codes))), len(points), len(names)
+
+    def run(batches):
+        points, codes, sizes = sent.value
+        for b in batches:
+            for start in b.column(0).to_pylist():
+                at = np.arange(start, min(start + SILHOUETTE_BLOCK, n))
+                squares = np.zeros((len(at), n))
+                for dim in points.T:
+                    gap = dim[at, None] - dim[None, :]
+                    squares += gap * gap
+                distance = np.sqrt(squares)
+                sums = np.stack([distance[:, codes == c].sum(axis=1) for c in range(k)], axis=1)
+                mine = codes[at]
+                alone = sizes[mine] < 2
+                inner = sums[np.arange(len(at)), mine] / np.maximum(sizes[mine] - 1, 1)
+                means = sums / sizes
+                means[np.arange(len(at)), mine] = np.inf
+                outer = means.min(axis=1)
+                most_ = np.maximum(inner, outer)
+                none = alone | ~np.isfinite(outer) | (most_ == 0)
+                score = np.where(none, 0.0, (outer - inner) / np.where(none, 1.0, most_))
+                yield pa.RecordBatch.from_arrays([pa.array([float(score.sum())])], ["s"])
+
+    starts = spark.range(0, n, SILHOUETTE_BLOCK, -(-n // SILHOUETTE_BLOCK))
+    return starts.mapInArrow(run, "s double").agg(F.round(F.sum("s") / n, 6).alias("score"))
 
 
 def elbow(curve: DataFrame) -> DataFrame:
@@ -114,9 +148,9 @@ def k_selection(df: DataFrame, key: str, ks: Sequence[int] = range(2, 9), x: str
     own = df.orderBy(S.seeded(key), key).limit(rows).select(key, x).cache()
     out = []
     for k in ks:
-        model, cost = kmeans(own, k, inits=3, x=x)
+        model, cost = kmeans(own, k, x=x)
         labelled = assign(own, [c.tolist() for c in model.clusterCenters()], x)
-        out.append({"k": k, "inertia": cost, "silhouette": silhouette(labelled, key, x, most=1000).first().score, "calinski_harabasz": calinski_harabasz(labelled, x).first().score, "davies_bouldin": davies_bouldin(labelled, x).first().score})
+        out.append({"k": k, "inertia": cost, "silhouette": silhouette(labelled, key, x).first().score, "calinski_harabasz": calinski_harabasz(labelled, x).first().score, "davies_bouldin": davies_bouldin(labelled, x).first().score})
     a, b = out[0], out[-1]
     for r in out:
         r["distance"] = abs((b["k"] - a["k"]) * (r["inertia"] - a["inertia"]) - (b["inertia"] - a["inertia"]) * (r["k"] - a["k"]))

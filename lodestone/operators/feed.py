@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,32 @@ def sync_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def fetch_all(ids: Sequence[int], fetch: Callable[[int], str]) -> tuple[list[tuple[int, str]], dict[int, str]]:
+    """The payload texts of ids, and for those that failed the error's text: one failure does not end the others."""
+    got, failed = [], {}
+    for i in ids:
+        try:
+            got.append((i, fetch(i)))
+        except Exception as e:  # whatever a source raises is that id's failure
+            failed[i] = f"{type(e).__name__}: {e}"[:200]
+    return got, failed
+
+
+def sync(titles: DataFrame, payloads: DataFrame, types: Sequence[str], allow_new: bool = False) -> tuple[DataFrame, dict]:
+    """titles after an upsert of JSON payloads (json), and the report: fetched, failed, changed rows, changes by field.
+
+    A payload that isn't JSON, or has no id, is counted as failed and left out;
+    of several of one id the last text in order counts.
+    """
+    rows = normalise(payloads)
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count("item_id").alias("ok")).first()
+    good = rows.where("item_id is not null").groupBy("item_id").agg(F.max(F.struct(*[F.col(c) for c in rows.columns if c != "item_id"])).alias("r")).select("item_id", "r.*")
+    diff = changes(titles, good, types)
+    fields = {r.field: r.n for r in sync_counts(diff).collect()}
+    changed = diff.select("item_id").distinct().count()
+    return upsert(titles, good, types, allow_new), {"fetched": counts.ok, "failed": counts.n - counts.ok, "changed": changed, "fields": fields}
+
+
 def latest(state: DataFrame, new: DataFrame, key: str = "item_id", at: str = "fetched_at") -> DataFrame:
     """(key, at): the last writer wins, by partial aggregation."""
     return state.select(key, at).unionByName(new.select(key, at)).groupBy(key).agg(F.max(at).alias(at))

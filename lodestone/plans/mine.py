@@ -14,6 +14,7 @@ from lodestone.operators import feed as L
 from lodestone.operators import ratings as R
 from lodestone.operators import recommend as B
 from lodestone.operators import regress as G
+from lodestone.operators import stages as ST
 from lodestone.operators import tables as TB
 from lodestone.plans.prepare import cleaned, r6, segments
 from lodestone.plans.registry import query, with_
@@ -96,14 +97,39 @@ query("p18_rule_filter", with_("taglines", "select antecedent, consequent, round
     lambda s, d: (lambda n: AS.rules(AS.level_wise(tag_lines(s, d), n, TAG_SUPPORT, 2), n, 0.12, 1.2, 2).select(_joined("antecedent").alias("antecedent"), _joined("consequent").alias("consequent"), *r6("lift")))(cleaned(s, d).count()))
 
 
-@query("m8_miners", with_("", "select 0.2 as min_support, count(*) as itemsets, true as same from itemsets", **_TYPES, **ITEMSETS))
+#: Supports at which the two miners are compared.
+SUPPORTS = (0.2, 0.22, 0.25, 0.3)
+_SUPPORTS = " union all ".join(f"select cast({x} as double) as ms" for x in SUPPORTS)
+
+
+@query("m8_miners", with_("", f"select ms as min_support, (select count(*) from itemsets where freq >= ms * (select n from need)) as itemsets, true as same from ({_SUPPORTS}) s", **_TYPES, **ITEMSETS))
 def m8(s, d):
     lines = A.order_lines(s, d)
     n = lines.select("basket").distinct().count()
-    rows = AS.compare_miners(lines, n, (TYPE_SUPPORT,))
+    rows = AS.compare_miners(lines, n, SUPPORTS)
     return s.createDataFrame([(r["min_support"], r["fp_growth_itemsets"], r["fp_growth_itemsets"] == r["level_wise_itemsets"]) for r in rows], "min_support double, itemsets long, same boolean")
 
 
+_NAMED = f"select antecedent, consequent, round(s / sa / sc, 6) as lift from rules where s / sa / sc >= {AS.TAG_DEFAULTS['min_lift']} and s / sa >= {AS.TAG_DEFAULTS['min_confidence']}"
+_LOW = {"lines": "select basket, item from taglines", "need": "select 0.012 * count(*) as m, count(*) as n from clean"}
+query("m9_tag_rules", with_("taglines", _NAMED, **_LOW, **ITEMSETS, sides=_SIDES, rules=_RULES))(
+    lambda s, d: AS.mine_tags(cleaned(s, d), min_support=0.012).select(_joined("antecedent").alias("antecedent"), _joined("consequent").alias("consequent"), *r6("lift")))
+
+
+@query("p14_m9_user_rules", "select true as enough, '10000000 are needed' as needed")
+def p14(s, d):
+    """The rules of users' favourites, and the error where there are too few baskets."""
+    favourites = R.favourites(A.ratings(s, d), cleaned(s, d))
+    baskets = favourites.groupBy("user_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    enough = AS.mine_users(baskets, min_baskets=3).count() >= 0
+    try:
+        AS.mine_users(baskets, min_baskets=10_000_000)
+        needed = ""
+    except ValueError as e:
+        needed = str(e).split("; ")[1]
+    return s.createDataFrame([(enough, needed)], "enough boolean, needed string")
+
+
 # --- classification -----------------------------------------------------------
 
 ATTRIBUTES = ("lang", "source", "length")
@@ -138,6 +164,32 @@ def c4(s, d):
     return _tree(s, d, prune=True).predict(labelled(s, d)).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+def c5_shares(s, d):
+    """Shares of the classes in the leaf of each row, by the tree."""
+    return _tree(s, d).predict_proba(labelled(s, d)).select("id", "actual", F.round(F.col("probability")["0"], 6).alias("p0"), F.round(F.col("probability")["1"], 6).alias("p1"))
+
+
+#: The first split: the attribute with the best gain ratio, if all of its branches have five rows or more; the first named of ties.
+_FIRST = """select a as attribute, case when least_n >= 5 and ratio > 0 then true else false end as split from (
+    select attribute as a, (select min(nb) from bins b where b.attribute = g.attribute) as least_n, gain_ratio as ratio from gains g where (select count(*) from bins b where b.attribute = g.attribute) > 1
+    order by gain_ratio desc, case attribute when 'lang' then 0 when 'source' then 1 else 2 end limit 1) z"""
+_STUMP = dict(lab=_OUT, long=_LONG, cells=_CELLS, bins="select distinct attribute, bin, nb, nt from cells", gains=_GAIN)
+
+
+@query("c3_first_split", with_("outcome", _FIRST, **_STUMP))
+def c3_first(s, d):
+    lab = labelled(s, d)
+    best = CL.gain_ratios(lab, ATTRIBUTES, "actual").withColumn("order", F.expr("case attribute when 'lang' then 0 when 'source' then 1 else 2 end"))
+    name = best.orderBy(F.desc("gain_ratio"), "order").first().attribute
+    tree = CL.GainRatioTree(max_depth=1, min_split=2, min_leaf=5).fit(lab, ATTRIBUTES, "actual")
+    return s.createDataFrame([(tree.root.attribute or name, bool(tree.root.children))], "attribute string, split boolean")
+
+
+query("c5_leaf_shares")(c5_shares)
+query("c5_c16_tree_auc")(lambda s, d: CL.auc_one_vs_rest(c5_shares(s, d), "actual", {"0": "p0", "1": "p1"}))
+_MEANS = "select n_chars, actual, case when n_chars <= e1 then 0 else 1 end as bin from outcome, (select round(median(n_chars), 6) as e1 from outcome) e"
+query("c3_numeric_bins", with_("outcome", "select cast(bin as varchar) as bin, cast(actual as varchar) as actual, count(*) as n from halves group by 1, 2", halves=_MEANS))(
+    lambda s, d: (lambda o, t: (t._choose(o, ["n_chars"]), o.select(t._bin("n_chars").alias("bin"), F.col("actual").cast("string").alias("actual")).groupBy("bin", "actual").agg(F.count(F.lit(1)).alias("n")))[1])(A.outcome(s, d), CL.GainRatioTree(bins=2)))
 query("c6_tree_rules")(lambda s, d: s.createDataFrame(_tree(s, d).rules(0.0)))
 query("c7_tree_text")(lambda s, d: (lambda t: s.createDataFrame([(k, str(v)) for k, v in t.stats().items()] + [("text", t.text())], "metric string, value string"))(_tree(s, d)))
 query("c8_tree_importance")(lambda s, d: s.createDataFrame(_tree(s, d).importance()))
@@ -148,19 +200,17 @@ def _model_frame(s, d):
     return C.split(CL.assemble(c, ["members_log", "episodes_log", "genre_count"], "label"), "item_id")
 
 
-def _fitted(name, **small):
+def _fitted(name):
     def run(s, d):
         df = _model_frame(s, d)
-        m = CL.models()[name]
-        m = m.copy({m.getParam(k): v for k, v in small.items()})
-        out = m.fit(df.where("split <> 'test'")).transform(df.where("split = 'test'"))
+        out = CL.models()[name].fit(df.where("split <> 'test'")).transform(df.where("split = 'test'"))
         return CL.macro_metrics(out.select(F.col("label").cast("int").alias("a"), F.col("prediction").cast("int").alias("p")), "a", "p")
 
     return run
 
 
 query("c9_entropy_tree")(_fitted("entropy_tree"))
-query("c10_random_forest")(_fitted("random_forest", numTrees=20, maxDepth=6))
+query("c10_random_forest")(_fitted("random_forest"))
 query("c11_gaussian_nb")(_fitted("gaussian_nb"))
 query("c11_gaussian_moments", with_("clean", " union all ".join(f"select type as y, '{f}' as feature, count({f}) as n, round(avg({f}), 6) as mean, round(var_pop({f}), 6) as variance from clean group by type" for f in ("rating", "members_log"))))(
     lambda s, d: CL.gaussian_moments(cleaned(s, d), ["rating", "members_log"], "type"))
@@ -198,10 +248,15 @@ query("c16_auc", with_("outcome", """select '1' as class, round((sum(case when a
     lambda s, d: CL.auc_one_vs_rest(A.outcome(s, d), "actual", {"1": "n_chars"}))
 
 
-@query("c17_cross_validation")
+@query("c17_model_table")
 def c17(s, d):
-    df = C.folds(_model_frame(s, d), "item_id")
-    return s.createDataFrame([("gaussian_nb", CL.cross_validate(df, CL.models()["gaussian_nb"]))], "model string, cv_accuracy double")
+    """All models: metrics on the test part, accuracy over five folds of the rest, and the area under the curve."""
+    df = _model_frame(s, d).cache()
+    train, test = C.folds(df.where("split <> 'test'"), "item_id", stratify="label"), df.where("split = 'test'")
+    tree = CL.TreeModel(["type", "members_band", "episodes_band", "genre_count"], max_depth=6)
+    rows = CL.compare_models(train, test, {"majority": CL.Majority(), "gain_ratio_tree": tree, **CL.models()}, 5)
+    df.unpersist()
+    return s.createDataFrame(rows, "model string, accuracy double, macro_precision double, macro_recall double, macro_f1 double, cv_accuracy double, auc double")
 
 
 # --- regression ---------------------------------------------------------------
@@ -237,24 +292,86 @@ query("r12_w4_importance", with_("", "select name, importance, cast(row_number()
     lambda s, d: G.ranked(A.table(s, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.round(F.sum("p_retailprice"), 4).alias("importance"))))
 
 
+FEATURES = ["members_log", "episodes_log", "genre_count"]
+
+
+def _regression(s, d) -> DataFrame:
+    return C.split(CL.assemble(cleaned(s, d), FEATURES).withColumn("label", F.col("rating")), "item_id")
+
+
 def _regressor(name):
     def run(s, d):
-        df = C.split(CL.assemble(cleaned(s, d), ["members_log", "episodes_log", "genre_count"]).withColumn("label", F.col("rating")), "item_id")
+        df = _regression(s, d).cache()
         train = df.where("split <> 'test'")
-        return G.metrics(G.models(train, small=True)[name].fit(train).transform(df.where("split = 'test'")), "label", "prediction")
+        out = G.metrics(G.models(train)[name].fit(train).transform(df.where("split = 'test'")), "label", "prediction")
+        rows = s.createDataFrame(out.collect(), out.schema)
+        df.unpersist()
+        return rows
 
     return run
 
 
 for _name, _id in (("ols", "r2_ols"), ("ridge", "r3_ridge"), ("tree", "r4_tree"), ("random_forest", "r5_random_forest"), ("gbt", "r6_gbt")):
     query(_id)(_regressor(_name))
+#: A ridge line of one feature in closed form: slope = cov / (var + 1 / n), and the mean is met.
+_RIDGE = "select round(b, 6) as slope, round(my - b * mx, 6) as intercept from (select covar_pop(rating, members_log) / (var_pop(members_log) + 1.0 / count(*)) as b, avg(rating) as my, avg(members_log) as mx from clean) z"
+
+
+@query("r3_ridge_line", with_("clean", _RIDGE))
+def r3(s, d):
+    df = CL.assemble(cleaned(s, d), ["members_log"]).withColumn("label", F.col("rating"))
+    m = G.ridge(df, "label").fit(df)
+    return s.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))], "slope double, intercept double")
+
+
+_FOLD = "cast(concat('0x', substr(md5('42:' || item_id), 1, 8)) as bigint) % 5"
+_CV = f"select round(avg(e), 6) as cv_rmse from (select t.fold, sqrt(avg(power(t.y - (l.a + l.b * t.x), 2))) as e from points t join lines l on l.fold = t.fold group by t.fold) z"
+_FOLD_LINES = "select f.fold, regr_slope(y, x) as b, regr_intercept(y, x) as a from points p join (select distinct fold from points) f on p.fold <> f.fold group by f.fold"
+
+
+@query("r8_cv_rmse", with_("clean", _CV, points=f"select {_FOLD} as fold, rating as y, members_log as x from clean", lines=_FOLD_LINES))
+def r8(s, d):
+    df = C.folds(CL.assemble(cleaned(s, d), ["members_log"]).withColumn("label", F.col("rating")), "item_id")
+    return s.createDataFrame([(round(G.cross_validated_rmse(df, G.models(df)["ols"]), 6),)], "cv_rmse double")
+
+
+@query("r8_model_table")
+def r8_table(s, d):
+    """Least squares, ridge, tree and forest: metrics on the test part, and RMSE over five folds of the rest."""
+    df = _regression(s, d).cache()
+    train = C.folds(df.where("split <> 'test'"), "item_id")
+    which = {k: m for k, m in G.models(train).items() if k != "gbt"}
+    rows = G.compare(train, df.where("split = 'test'"), which, k=5)
+    df.unpersist()
+    return s.createDataFrame([(r["model"], r["rmse"], r["mae"], r["r2"], r["cv_rmse"]) for r in rows], "model string, rmse double, mae double, r2 double, cv_rmse double")
+
+
+@query("r12_model_importance")
+def r12(s, d):
+    """The forest's impurity importances, ranked, with the cumulative share."""
+    train = _regression(s, d).where("split <> 'test'")
+    found = G.importances(G.models(train)["random_forest"].fit(train), FEATURES)
+    return G.ranked(s.createDataFrame(found, "name string, importance double"))
+
+
+@query("r13_tree_text")
+def r13(s, d):
+    """The regression tree as text, one row a line."""
+    train = _regression(s, d).where("split <> 'test'")
+    text = G.models(train)["tree"].fit(train).toDebugString.rstrip("\n")
+    return s.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
 
 
 @query("r11_learning_curve")
 def r11(s, d):
-    df = C.split(CL.assemble(cleaned(s, d), ["members_log", "episodes_log"]).withColumn("label", F.col("rating")), "item_id")
+    """Boosting on the first 1,000 rows and on, in steps of a fourth of the rest, at least 1,000."""
+    df = _regression(s, d).cache()
     train = df.where("split <> 'test'")
-    return s.createDataFrame(G.learning_curve(train, df.where("split = 'test'"), G.models(train)["ols"], "item_id", (200, 800)))
+    n = train.count()
+    sizes = sorted({min(x, n) for x in range(min(1000, n), n + 1, max(1000, n // 4))} | {n})
+    rows = G.learning_curve(train, df.where("split = 'test'"), G.boosting(), "item_id", sizes)
+    df.unpersist()
+    return s.createDataFrame(rows)
 
 
 # --- clustering ---------------------------------------------------------------
@@ -283,7 +400,7 @@ def k2(s, d):
 @query("k2_kmeans")
 def k2_kmeans(s, d):
     m = K.matrix(cleaned(s, d), "item_id", ["rating", "members_log", "episodes_log"])
-    model, _ = K.kmeans(m, 4, inits=3)
+    model, _ = K.kmeans(m, 4)
     out = K.assign(m, [c.tolist() for c in model.clusterCenters()])
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d2"), 4).alias("inertia"))
 
@@ -301,7 +418,14 @@ query("k5_davies_bouldin", with_("dims", _DB, **_CENT, spread="select label, avg
 _CURVE = "select p_size as k, sum(p_retailprice) / p_size as inertia from part where p_size between 2 and 8 group by 1"
 query("k6_k7_w8_elbow", with_("", "select k, round(inertia, 6) as inertia, round(abs((x1 - x0) * (inertia - y0) - (y1 - y0) * (k - x0)), 6) as distance from curve, (select min(k) as x0, max(k) as x1, arg_min(inertia, k) as y0, arg_max(inertia, k) as y1 from curve) e", curve=_CURVE))(
     lambda s, d: K.elbow(A.table(s, d, "part").where("p_size between 2 and 8").groupBy(F.col("p_size").alias("k")).agg((F.sum("p_retailprice") / F.first("p_size")).alias("inertia"))))
-query("k6_k_sweep")(lambda s, d: s.createDataFrame(K.k_selection(_points(s, d), "id", range(2, 6))))
+query("k6_k_sweep")(lambda s, d: s.createDataFrame(K.k_selection(_points(s, d), "id")))
+
+
+@query("k7_best_k", with_("", "select arg_max(k, (distance, -k)) as k, 'elbow' as why from (select k, round(abs((x1 - x0) * (inertia - y0) - (y1 - y0) * (k - x0)), 6) as distance from curve, (select min(k) as x0, max(k) as x1, arg_min(inertia, k) as y0, arg_max(inertia, k) as y1 from curve) e) z", curve=_CURVE))
+def k7(s, d):
+    curve = A.table(s, d, "part").where("p_size between 2 and 8").groupBy(F.col("p_size").alias("k")).agg((F.sum("p_retailprice") / F.first("p_size")).alias("inertia"))
+    k, why = K.best_k([r.asDict() for r in K.elbow(curve).collect()])  # one row for each k
+    return s.createDataFrame([(k, why.split(";")[0])], "k int, why string")
 query("k8_ward")(lambda s, d: K.ward(_points(s, d), "id", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -371,27 +495,40 @@ query("b4_form_rows", with_("clean", "select item_id, type, round(episodes, 4) a
     lambda s, d: cleaned(s, d).select("item_id", "type", F.round("episodes", 4).alias("episodes"), "members_band", "episodes_band"))
 
 
+_blends: dict[tuple[str, str], tuple] = {}
+
+
+def _blend(s, d) -> tuple[G.Blend, DataFrame]:
+    """The blended predictor of a table's titles, fitted once in a session, and the titles."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _blends:
+        df = _regression(s, d).cache()
+        parts = (df.where(f"split = '{k}'") for k in ("train", "validation", "test"))
+        _blends.clear()
+        _blends[key] = G.Blend.fit(*parts, "item_id"), df
+    return _blends[key]
+
+
 @query("b1_b3_blended_predictor")
 def b1(s, d):
-    df = C.split(CL.assemble(cleaned(s, d), ["members_log", "episodes_log", "genre_count"]).withColumn("label", F.col("rating")), "item_id")
-    fit, val, test = (df.where(f"split = '{k}'") for k in ("train", "validation", "test"))
-    m = G.models(fit, small=True)
+    """Metrics of the blend and of its models, with the weight, the test part's spread and R2 on all rows."""
+    model, _ = _blend(s, d)
+    rows = [(r["split"], r["model"], r["n"], r["rmse"], r["mae"], r["r2"], model.weight, model.sigma, model.r2_full) for r in model.table]
+    return s.createDataFrame(rows, "split string, model string, n long, rmse double, mae double, r2 double, weight double, sigma double, r2_full double")
 
-    def both(a, b, on):
-        pa, pb = a.transform(on).select("item_id", "label", F.col("prediction").alias("pa")), b.transform(on).select("item_id", F.col("prediction").alias("pb"))
-        return pa.join(pb, "item_id")
 
-    w = G.blend(both(m["random_forest"].fit(fit), m["gbt"].fit(fit), val), "pa", "pb", "label").first().weight
-    train = fit.unionByName(val)
-    out = both(m["random_forest"].fit(train), m["gbt"].fit(train), test).withColumn("p", w * F.col("pa") + (1 - w) * F.col("pb"))
-    return G.metrics(out, "label", "p").withColumn("weight", F.lit(w))
+@query("b5_blended_scores")
+def b5(s, d):
+    """Score, tier and 95 % interval of each title of the test part, by the blend's own spread."""
+    model, df = _blend(s, d)
+    return model.predict(df.where("split = 'test'"), "item_id").select("item_id", "score", "tier", "low", "high")
 
 
 @query("b6_user_segments")
 def b6(s, d):
     users = R.user_profile(A.ratings(s, d)).where("n_ratings >= 20")
     m = K.matrix(users, "user_id", ["n_ratings", "mean_rating", "std_rating", "like_ratio"])
-    model, _ = K.kmeans(m, 5, inits=2)
+    model, _ = K.kmeans(m, 5)
     return K.assign(m, [c.tolist() for c in model.clusterCenters()]).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -424,6 +561,92 @@ query("j5_l1_stale", with_("titles", "select item_id from titles where item_id n
     lambda s, d: L.select_ids(A.titles(s, d), A.table(s, d, "events").select(F.col("user_id").alias("item_id"), F.col("ts").alias("fetched_at")), cutoff="2024-01-29 00:00:00", limit=500))
 
 
+_STATE = "select user_id as item_id, max(ts) as fetched_at from events group by 1"
+
+
+def _state(s, d):
+    return A.table(s, d, "events").select(F.col("user_id").alias("item_id"), F.col("ts").alias("fetched_at"))
+
+
+_MODES = """select 'ids' as mode, item_id from titles where item_id in (3, 1, 7) union all select 'all', item_id from (select item_id from titles order by item_id limit 40) a
+    union all select 'top', item_id from (select item_id from titles order by members desc, item_id limit 20) b
+    union all select 'stale', item_id from (select item_id from titles where item_id not in (select user_id from events where ts >= timestamp '2024-01-29') order by item_id limit 30) c"""
+
+
+@query("l1_select_ids", with_("titles", _MODES))
+def l1(s, d):
+    t, e = A.titles(s, d), _state(s, d)
+    modes = {"ids": dict(ids=[3, 1, 7, -5]), "all": dict(limit=40), "top": dict(top=20), "stale": dict(cutoff="2024-01-29 00:00:00", limit=30)}
+    out = None
+    for name, how in modes.items():
+        rows = L.select_ids(t, e, **how).select(F.lit(name).alias("mode"), "item_id")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _payloads(s, d) -> DataFrame:
+    """Payloads of the feed; every tenth text is cut short."""
+    u = updates(s, d)
+    text = F.to_json(F.struct(F.col("item_id").alias("mal_id"), F.col("rating").alias("score"), "members", F.col("episodes").cast("long").alias("episodes"), "type", F.array(F.struct(F.col("genre").alias("name"))).alias("genres")))
+    return u.select(F.when(F.col("item_id") % 10 == 0, F.substring(text, 1, 15)).otherwise(text).alias("json"))
+
+
+@query("l4_sync", f"select count(*) filter (where item_id % 10 <> 0) as fetched, count(*) filter (where item_id % 10 = 0) as failed from ({_STATE}) s")
+def l4(s, d):
+    """A sync in which broken payloads fail alone."""
+    _, report = L.sync(A.titles(s, d), _payloads(s, d), KINDS)
+    return s.createDataFrame([(report["fetched"], report["failed"])], "fetched long, failed long")
+
+
+def _stages(d) -> dict[int, ST.Stage]:
+    def association(s):
+        rules = AS.mine_tags(cleaned(s, d), min_support=0.012)
+        return {"genre_rules": rules.count(), "best_genre_lift": rules.agg(F.max(F.round("lift", 6))).first()[0]}
+
+    def classification(s):
+        return {"j48": _tree(s, d).stats(), "majority": CL.majority(A.outcome(s, d), "actual").first().asDict()}
+
+    def regression(s):
+        return {"mean": G.metrics(predictions(s, d), "y", "p").first().asDict()}
+
+    def broken(s):
+        raise KeyError("no such table")
+
+    return {2: association, 3: classification, 4: regression, 5: broken}
+
+
+@query("l6_stage_runner", "select * from (values (2, true), (3, true), (4, true), (5, false)) t(stage, ok)")
+def l6(s, d):
+    """Stages run one by one: a failing one does not stop the others, and a stage that runs again replaces only its own metrics."""
+    runner = ST.Runner(s, files.Versioned(s, files.scratch(s, "summary")), _stages(d))
+    info = runner.run()
+    before = {r.metric: r.value for r in runner.read().collect()}
+    runner.stages[3] = lambda s: {"leaves": 1}
+    runner.run([3])
+    after = {r.metric: r.value for r in runner.read().collect()}
+    kept = all(after[k] == v for k, v in before.items() if not k.startswith("stage3.")) and [k for k in after if k.startswith("stage3.")] == ["stage3.leaves"]
+    return s.createDataFrame([(n, x.startswith("ok") and kept) for n, x in info.items()], "stage int, ok boolean")
+
+
+@query("l7_retrain", "select * from (values ('forced', false, '2 4'), ('too few', true, ''), ('no sync', false, '4')) t(run, skipped, stages_ok)")
+def l7(s, d):
+    """Three retrainings: one forced, one skipped for too few changes, one without a sync; the log has a row for each."""
+    runner, log = ST.Runner(s, files.Versioned(s, files.scratch(s, "summary")), _stages(d)), files.scratch(s, "log")
+
+    def sync():
+        _, report = L.sync(A.titles(s, d), _payloads(s, d).limit(0), KINDS)
+        return report | {"selected": 0}
+
+    runs = {
+        "forced": ST.retrain(runner, log, sync, only=[2, 4, 5], force=True),
+        "too few": ST.retrain(runner, log, sync, only=[2]),
+        "no sync": ST.retrain(runner, log, only=[4]),
+    }
+    if s.read.parquet(log).count() != len(runs):
+        raise RuntimeError("the log has not a row for each run")
+    return s.createDataFrame([(k, r["skipped"], r["stages_ok"]) for k, r in runs.items()], "run string, skipped boolean, stages_ok string")
+
+
 @query("f23_l2_normalise", "select event_id as item_id, 'Live, ' || event_type as genre, event_type as type, case when k > 0 then cast(k as varchar) end as episodes, case when round(value, 2) > 0 then round(value, 2) end as rating, k as members from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) e")
 def f23(s, d):
     e = A.feed(s, d).withColumn("k", F.from_json("props", "k bigint")["k"])
@@ -481,7 +704,7 @@ def s10(s, d):
 
     df = CL.assemble(cleaned(s, d), ["members_log"]).withColumn("label", F.col("rating"))
     at = files.scratch(s, "model")
-    files.save_model(G.models(df, small=True)["ols"].fit(df), at)
+    files.save_model(G.models(df)["ols"].fit(df), at)
     return LinearRegressionModel.load(at).transform(df).select("item_id", F.round("prediction", 4).alias("p"))
 
 
@@ -490,20 +713,34 @@ query("s13_seed_view", "select n_nationkey, n_name from nation where n_regionkey
     lambda s, d: (A.table(s, d, "nation").createOrReplaceTempView("lodestone_nation"), s.sql("select n_nationkey, n_name from lodestone_nation where n_regionkey = 1"))[1])
 query("s14_memo", "select count(*) as n from part")(lambda s, d: files.Memo(s).read(f"{d}/part.parquet").agg(F.count(F.lit(1)).alias("n")))
 
+
+@query("s8_json_cache", "select * from (values (1, cast(8.75 as double), 2, 1)) t(id, score, fetches, hits)")
+def s8_cache(s, d):
+    """A payload fetched once, found, and fetched again after its file broke."""
+    calls = []
+    cache = files.JsonCache(s, files.scratch(s, "cache"), lambda key: calls.append(key) or '{"mal_id": 1, "score": 8.75}')
+    cache.get(1)
+    cache.get(1)
+    fs, at = files._fs(s, f"{cache.path}/1.json")
+    out = fs.create(at, True)
+    out.write(bytearray(b'{"mal_id": 1, "sc'))
+    out.close()
+    got = cache.get(1)
+    return s.createDataFrame([(got["mal_id"], got["score"], len(calls), cache.hits)], "id int, score double, fetches int, hits int")
+
 # --- extensions ---------------------------------------------------------------
 
 
 @query("ext_event_stream", "select date_trunc('hour', ts) as start, event_type as kind, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def ext_stream(s, d):
-    """The events as a stream in one micro-batch, with late data never later than the watermark allows."""
+    """The events as a stream: windows are appended to files as the watermark passes them, and a last row far ahead closes the last ones."""
     events = A.table(s, d, "events")
     at = files.scratch(s, "stream")
-    if "://" in d or not d.startswith("/"):
-        stream = events
-        return live.event_windows(stream).select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
-    stream = s.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"events_{abs(hash(at))}"
-    q = live.event_windows(stream, late="60 days").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
+    end = events.agg(F.max("ts").alias("ts")).select(*[(F.col("ts") + F.expr("interval 400 days")).alias(c) if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    events.write.parquet(f"{at}/in/part=0")
+    end.write.parquet(f"{at}/in/part=1")
+    # One file after the other, so that the row that closes the windows comes in a batch of its own.
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/in")
+    q = live.event_windows(stream, late="60 days").writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
-
+    return s.read.parquet(f"{at}/out").where("kind is not null").select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import time
 import uuid
@@ -12,11 +13,21 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_table(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its plan ends there, and lost executors lose nothing."""
+    at = scratch(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV file with a header; a column that can't be read as its type is null. columns prunes the scan."""
     df = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE")
@@ -88,6 +99,33 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+class JsonCache:
+    """Payloads by id, one file for each: what is there and parses is not fetched again; a corrupt one is.
+
+    fetch: a function from an id to its JSON text. For the few ids of one run;
+    tables of payloads are read by `read_json`.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fetch):
+        self.spark, self.path, self.fetch, self.hits = spark, path.rstrip("/"), fetch, 0
+
+    def get(self, key, use_cache: bool = True) -> dict:
+        fs, at = _fs(self.spark, f"{self.path}/{key}.json")
+        if use_cache and fs.exists(at):
+            try:
+                found = json.loads("\n".join(r.value for r in self.spark.read.text(str(at.toString())).collect()))
+                self.hits += 1
+                return found
+            except ValueError:
+                pass  # corrupt: fetched again
+        text = self.fetch(key)
+        got = json.loads(text)
+        out = fs.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return got
+
+
 class Memo:
     """Cached reads by path and the time of the last change, with the least recent dropped and unpersisted."""
 

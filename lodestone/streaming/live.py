@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import feed
-from lodestone.sources.files import Versioned, append_history
+from lodestone.sources.files import Versioned
 
 
 def profiles(ratings: DataFrame) -> DataFrame:
@@ -24,16 +24,18 @@ def event_windows(events: DataFrame, every: str = "1 hour", late: str = "10 minu
 
 
 def upsert_batches(table: Versioned, history: str, types: Sequence[str]):
-    """A function for foreachBatch: the last payload of each item updates the table, and all are appended to the history.
+    """A function for foreachBatch: the last payload of each item updates the table, and all are kept in the history.
 
-    A batch that is given again makes the same changes to the table.
+    The history's files of a batch lie under the batch's number and replace
+    those of an earlier attempt, and the same payloads change the table only once:
+    a batch that is given again changes nothing.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         rows = batch.persist()
         last = rows.groupBy("item_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("item_id",)]), "fetched_at").alias("r")).select("item_id", "r.*")
-        append_history(rows, history)
         table.replace(feed.upsert(table.read(), last, types))
+        rows.write.mode("overwrite").parquet(f"{history.rstrip('/')}/batch={number}")
         rows.unpersist()
 
     return run

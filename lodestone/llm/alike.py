@@ -131,13 +131,17 @@ def shifted(x: np.ndarray, y: np.ndarray, width: int, similarity: float):
 def marks_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, token) of all marks; the k-th equal mark of a row is a token of its own."""
     row, column = np.nonzero(rows)
-    mark = rows[row, column].astype(np.int64)
-    order = np.argsort((row << 16) + mark, kind="stable")
-    row, column, mark = row[order], column[order], mark[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
-    at = np.arange(len(row))
-    return row, column, (mark << 7) + at - np.maximum.accumulate(np.where(new, at, 0))
+    token = rows[row, column].astype(np.int64) << 7
+    ordered = np.sort(rows, axis=1)
+    twice = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(axis=1)
+    at = np.flatnonzero(twice[row])  # marks of the few rows in which one occurs again
+    if len(at):
+        at = at[np.argsort((row[at] << 23) + token[at], kind="stable")]
+        new = np.ones(len(at), bool)
+        new[1:] = (row[at][1:] != row[at][:-1]) | (token[at][1:] != token[at][:-1])
+        place = np.arange(len(at))
+        token[at] += place - np.maximum.accumulate(np.where(new, place, 0))
+    return row, column, token
 
 
 def _tokens(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +183,9 @@ class _Classes:
 def blank(group: np.ndarray, rows: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows that share `need` marks or more with others of their group, and their marks without those that no other has."""
     alive, kept = np.arange(len(rows)), rows.copy()
-    while len(alive):
+    for _ in range(2):
+        if not len(alive):
+            break
         row, column, _, held = _tokens(group[alive], kept)
         lone = held == 1
         kept[row[lone], column[lone]] = 0

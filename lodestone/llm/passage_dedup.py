@@ -10,12 +10,13 @@ with probability s, and then lie in windows of one key, which is the function
 and the min-hash: at 0.8 one of three functions finds them with probability 0.992.
 
 1. Each window emits (key, content hash, document, place), without its marks.
-   These small rows are range-partitioned by all four, so that a key that a third
-   of all documents hold is spread over many partitions, and stream by: equal
-   windows are links to the first one, and of the others one row each is left.
+   Keys are hashes, so these small rows are partitioned by even ranges of keys;
+   keys that a third of all documents may hold, which a sample of documents shows,
+   are spread over all partitions instead. Sorted rows stream by: equal windows
+   are links to the first one, and of the others one row each is left.
 2. Only windows of a key with different ones of other documents need their
-   16-bit marks: they are listed by document, joined with the texts and emitted
-   again. No list of keys is sent to the executors.
+   16-bit marks: they are listed by document and cut from the document's marks
+   by a join. No list of keys is sent to the executors.
 3. A key's different windows meet in one task, if they are GROUP at most, and
    interval joins find those alike (see `alike`): first a few rounds, which link
    almost all; then, with the classes of documents known, the rest, for keys whose
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import alike
 from . import textscan as T
 from .components import components, with_least
-from .shared import cut, ship
+from .shared import cut, release, ship
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -47,6 +48,8 @@ SIMILARITY = 0.8
 HASHES = 3
 #: Different windows of one key that one task compares at most.
 GROUP = 5000
+#: One document of so many is asked for hot keys: those of at least HOT of a partition's rows.
+SAMPLED, HOT = 64, 0.5
 #: Windows that are compared in one go, about.
 BATCH = 20_000
 #: Rounds of the first comparison.
@@ -65,20 +68,25 @@ def _windows(h: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray,
     empty = np.zeros(0, np.int64)
     if n < width:
         return empty, empty, empty
-    # Minimum of each run of `width` with its place, by doubling; ranks keep hash and place in one number.
-    rank = np.empty(n, np.int64)
-    rank[np.argsort(h, kind="stable")] = np.arange(n)
-    low, size = rank, 1
-    while size < width:
-        step = min(size, width - size)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        size += step
+    # Minimum of each run of `width` with its place, by doubling: 40 bits of the hash, and the place, in one number.
+    if n <= 1 << 24:
+        low, size = (h >> np.uint64(24) << np.uint64(24)) | np.arange(n, dtype=np.uint64), 1
+        while size < width:
+            step = min(size, width - size)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            size += step
+        least = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+    else:  # a very long text
+        low, least, size = h >> np.uint64(24), np.arange(n), 1
+        while size < width:
+            step = min(size, width - size)
+            later = low[step:] < low[: len(low) - step]
+            low, least = np.where(later, low[step:], low[: len(low) - step]), np.where(later, least[step:], least[: len(least) - step])
+            size += step
     # Runs within one document only.
     ends = np.repeat(place[1:], place[1:] - place[:-1])
-    inside = np.arange(len(low)) + width <= ends[: len(low)]
-    where = np.empty(n, np.int64)
-    where[rank] = np.arange(n)
-    at = np.where(inside, where[low], -1)
+    inside = np.arange(len(least)) + width <= ends[: len(least)]
+    at = np.where(inside, least, -1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], len(at)) - 1
     keep = at[first] >= 0
@@ -110,8 +118,7 @@ def _places(h: np.ndarray, place: np.ndarray, width: int, hashes: int):
     for m in range(hashes):
         left, at, right = _windows(T.mix(h ^ _SEEDS[m]), place, width)
         if len(at):
-            sig = T.mix(T.hashes(marks, 2 * left, 2 * (right + 1)) + (at - left).astype(np.uint64))
-            yield T.mix(h[at] + np.uint64(m)), sig, at, left, right
+            yield T.mix(h[at] + np.uint64(m)), _content(marks, 2 * left, 2 * (right + 1), at - left), at, left, right
 
 
 def _marks(h: np.ndarray) -> np.ndarray:
@@ -123,7 +130,8 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
 
-_PLACE = "key long, sig long, doc long, at int, first int, size int"
+#: place: the minimum's shingle, and how many shingles the window has before and after it, in 7 bits each.
+_PLACE = "key long, sig long, doc long, place long"
 
 
 def _emit(docs: DataFrame, width: int, hashes: int) -> DataFrame:
@@ -133,29 +141,55 @@ def _emit(docs: DataFrame, width: int, hashes: int) -> DataFrame:
             for row, h, place in _shingles(b.column(1)):
                 for key, sig, at, left, right in _places(h, place, width, hashes):
                     doc = np.searchsorted(place, at, "right") - 1
-                    begin = place[doc]
-                    yield _batch(_PLACE, key.view(np.int64), sig.view(np.int64), ids[row + doc], (at - begin).astype(np.int32), (left - begin).astype(np.int32), (right + 1 - left).astype(np.int32))
+                    yield _batch(_PLACE, key.view(np.int64), sig.view(np.int64), ids[row + doc], (at - place[doc]) << 14 | (at - left) << 7 | right - at)
 
     return docs.mapInArrow(run, _PLACE)
 
 
-#: kind 0: a link; kind 1: the first of equal windows.
-_STREAMED = "kind int, doc long, other long, a int, b int, size int, size_other int, key long, sig long, at int"
+def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the minimum, first shingle, and shingles of a window."""
+    at, back, ahead = place >> 14, place >> 7 & 127, place & 127
+    return at, at - back, back + ahead + 1
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and sig: links among equal windows, and one row of each of a key's different ones.
+def _hot(docs: DataFrame, width: int, hashes: int, parts: int) -> list[int]:
+    """Keys that have HOT of an even partition's rows or more, as far as a sample of documents shows: some parts / HOT at most."""
+    sample = _emit(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0), width, hashes).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # A key of a few rows in the sample may be there by chance.
+    sample = cut(sample.withColumn("of", F.lit(0)))
+    every = sample.agg(F.sum("n")).first()[0] or 0
+    least = max(16, HOT * every / parts)
+    return [r.key for r in sample.where(F.col("n") >= least).select("key").collect()]
 
-    Keys of one window's content are left out, but for the first and the last
-    key, which may go on in other partitions.
+
+#: kind 0: a link; kind 1: a different window of a key, of `n`; kind 2: the first of equal windows of a hot key's part.
+_STREAMED = "kind int, doc long, other long, a int, b int, size int, key long, sig long, place long, n int"
+
+
+def _stream(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and sig: links among equal windows, and a row of each of a key's different ones.
+
+    Keys of one document, or of one content, are left out, but for hot keys,
+    which have rows in other partitions.
     """
     names = [x.split()[0] for x in _PLACE.split(", ")]
     held: dict[str, np.ndarray] | None = None  # the different windows of the last key
-    first_key = None
 
-    def heads(r: dict[str, np.ndarray], which: np.ndarray) -> pa.RecordBatch:
-        n, own = len(which), {k: v[which] for k, v in r.items()}
-        return _batch(_STREAMED, np.ones(n, np.int32), own["doc"], pa.nulls(n, pa.int64()), own["first"], pa.nulls(n, pa.int32()), own["size"], pa.nulls(n, pa.int32()), own["key"], own["sig"], own["at"])
+    def heads(r: dict[str, np.ndarray], which: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """which: the different windows, in order of their keys, of whole keys."""
+        if not len(which):
+            return
+        own = {k: v[which] for k, v in r.items()}
+        new = np.ones(len(which), bool)
+        new[1:] = own["key"][1:] != own["key"][:-1]
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        n = np.bincount(of)
+        several = (np.minimum.reduceat(own["doc"], starts) < np.maximum.reduceat(own["doc"], starts))[of]
+        is_hot = np.isin(own["key"], hot)
+        out = np.flatnonzero(is_hot | several)
+        k, no = len(out), pa.nulls(len(out), pa.int32())
+        if k:
+            yield _batch(_STREAMED, np.where(is_hot[out], 2, 1).astype(np.int32), own["doc"][out], pa.nulls(k, pa.int64()), no, no, no, own["key"][out], own["sig"][out], own["place"][out], n[of][out].astype(np.int32))
 
     for batch in batches:
         if not batch.num_rows:
@@ -163,60 +197,71 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
         if held is not None:
             r = {n: np.concatenate([held[n], r[n]]) for n in names}
-        if first_key is None:
-            first_key = r["key"][0]
         n = len(r["key"])
-        new_key, head = np.ones(n, bool), np.ones(n, bool)
-        new_key[1:] = r["key"][1:] != r["key"][:-1]
-        head[1:] = new_key[1:] | (r["sig"][1:] != r["sig"][:-1])
+        head = np.ones(n, bool)
+        head[1:] = (r["key"][1:] != r["key"][:-1]) | (r["sig"][1:] != r["sig"][:-1])
         of_run = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         copies = np.flatnonzero(~head)
         copies = copies[r["doc"][copies] != r["doc"][of_run[copies]]]
         if len(copies):
             x, k = of_run[copies], len(copies)
-            size = r["size"][copies]
-            yield _batch(_STREAMED, np.zeros(k, np.int32), r["doc"][x], r["doc"][copies], r["first"][x], r["first"][copies], size, size, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
-        starts = np.flatnonzero(new_key)
-        several = np.add.reduceat(head, starts)[np.cumsum(new_key) - 1] > 1
+            (_, a, size), (_, b, _) = _parts(r["place"][x]), _parts(r["place"][copies])
+            no = pa.nulls(k, pa.int64())
+            yield _batch(_STREAMED, np.zeros(k, np.int32), r["doc"][x], r["doc"][copies], a.astype(np.int32), b.astype(np.int32), size.astype(np.int32), no, no, no, pa.nulls(k, pa.int32()))
         last = r["key"] == r["key"][-1]
-        out = np.flatnonzero(head & ~last & (several | (r["key"] == first_key)))
-        if len(out):
-            yield heads(r, out)
+        yield from heads(r, np.flatnonzero(head & ~last))
         left = np.flatnonzero(head & last)
         held = {k: v[left] for k, v in r.items()}
     if held is not None:
-        yield heads(held, np.arange(len(held["key"])))
-
-
-_ROW = "key long, sig long, doc long, label long, at int, first int, marks binary"
-_WANTED = "array<struct<key:bigint,sig:bigint,at:int>>"
+        yield from heads(held, np.arange(len(held["key"])))
 
 
-def _emit_again(joined: DataFrame, width: int, hashes: int) -> DataFrame:
-    """Rows with marks, of the windows that each document's list names; joined: (doc, text, wanted)."""
+def _marked(docs: DataFrame, different: DataFrame, width: int) -> DataFrame:
+    """The windows of `different` (key, sig, doc, place) with their marks, cut from the marks of their documents."""
 
-    def name(row: np.ndarray, key: np.ndarray, sig: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return T.mix(T.mix(key ^ T.mix(sig + np.uint64(1))) + (row.astype(np.uint64) << np.uint64(32)) + at.astype(np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
-            flat = lists.flatten()
-            key, sig, at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            count = lists.value_lengths().to_numpy(zero_copy_only=False)
-            wanted = np.unique(name(np.repeat(np.arange(b.num_rows), count), key.view(np.uint64), sig.view(np.uint64), at))
             for row, h, place in _shingles(b.column(1)):
-                marks = _marks(h)
-                for key, sig, at, left, right in _places(h, place, width, hashes):
-                    doc = np.searchsorted(place, at, "right") - 1
-                    asked = np.isin(name(row + doc, key, sig, at - place[doc]), wanted)
-                    key, sig, at, left, right, doc = (v[asked] for v in (key, sig, at, left, right, doc))
-                    if len(at):
-                        size, begin, own = right + 1 - left, place[doc], ids[row + doc]
-                        packed = _binary(marks[T.gather_ragged(left, size)], size)
-                        yield _batch(_ROW, key.view(np.int64), sig.view(np.int64), own, own, (at - begin).astype(np.int32), (left - begin).astype(np.int32), packed)
+                size = place[1:] - place[:-1]
+                long = np.flatnonzero(size >= width)
+                if len(long):
+                    own = _marks(h)[T.gather_ragged(place[:-1][long], size[long])]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + long)), _binary(own, size[long])], ["doc", "own"])
 
-    return joined.mapInArrow(run, _ROW)
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            flat, count = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(flat):
+                continue
+            key, sig, place = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            start, length, every = _slices(b.column(1))
+            row = np.repeat(np.arange(b.num_rows), count)
+            at, first, size = _parts(place)
+            # Of several rows with one id the right one has this content.
+            inside = np.flatnonzero((first + size) <= length[row] // 2)
+            row, key, sig, at, first, size = (v[inside] for v in (row, key, sig, at, first, size))
+            begin = start[row] + 2 * first
+            right = _content(every, begin, begin + 2 * size, at - first) == sig.view(np.uint64)
+            row, key, sig, at, first, size, begin = (v[right] for v in (row, key, sig, at, first, size, begin))
+            doc = b.column(0).to_numpy(zero_copy_only=False)[row]
+            packed = _binary(every[T.gather_ragged(begin, 2 * size)].view("<u2"), size)
+            yield _batch(_ROW, key, sig, doc, doc, at.astype(np.int32), first.astype(np.int32), packed)
+
+    lists = different.groupBy("doc").agg(F.collect_list(F.struct("key", "sig", "place")).alias("wanted"))
+    return docs.mapInArrow(marks, "doc long, own binary").join(lists, "doc").select("doc", "own", "wanted").mapInArrow(windows, _ROW)
+
+
+def _content(marks: np.ndarray, start: np.ndarray, end: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The content hash of windows in an array of marks' bytes."""
+    return T.mix(T.hashes(marks, start, end) + back.astype(np.uint64))
+
+
+def _slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each binary value begins and its length, and the bytes of all."""
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return offs[:-1], offs[1:] - offs[:-1], np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
 def _binary(marks: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -224,13 +269,13 @@ def _binary(marks: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(marks, "<u2"))])
 
 
+_ROW = "key long, sig long, doc long, label long, at int, first int, marks binary"
+
+
 def _matrix(b: pa.RecordBatch, width: int) -> np.ndarray:
-    column = b.column("marks")
-    _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    marks = np.frombuffer(data, "<u2", data.size // 2) if data is not None and data.size else np.zeros(0, "<u2")
+    start, length, every = _slices(b.column("marks"))
     at, first = (b.column(n).to_numpy(zero_copy_only=False) for n in ("at", "first"))
-    return alike.matrix(at, first, (offs[1:] - offs[:-1]) // 2, offs[:-1] // 2, marks, width)
+    return alike.matrix(at, first, length // 2, start // 2, every[: len(every) // 2 * 2].view("<u2"), width)
 
 
 #: A link of two windows, and the row of a window that may have more.
@@ -370,47 +415,80 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def links(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """(doc, other, a, b, size, size_other): verified links of docs (doc long, text); `size` words from word a of doc and `size_other` from word b of other are alike."""
+def linked(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, group: int = GROUP, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Verified links and the classes that they make of docs (doc long, text).
+
+    (doc, other, a, b, size, size_other): `size` words from word a of doc and
+    `size_other` from word b of other are alike; (node, root): every document
+    with a link, and the smallest one that it reaches.
+    """
     spark = docs.sparkSession
     ship(spark)
     width = min_words - SHINGLE + 1
+    if not SHINGLE <= width <= 128:
+        raise ValueError("a passage must have 9 to 132 words at least")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ("key", "sig", "doc", "at")
-    streamed = cut(_emit(docs, width, hashes).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream, _STREAMED))
-    equal = streamed.where("kind = 0").select(*_LINK)
-    # Equal windows of several partitions: a row of each, so a key's content has no more than there are partitions.
-    heads = streamed.where("kind = 1").groupBy("key", "sig").agg(F.sort_array(F.collect_list(F.struct("doc", "at", "a", "size"))).alias("w"))
-    heads = cut(heads)
-    lead = F.col("w")[0]
-    far = heads.where(F.size("w") > 1).select(lead.alias("l"), F.explode(F.slice("w", 2, F.size("w"))).alias("o")).where("l.doc <> o.doc")
-    equal = equal.unionAll(far.select("l.doc", F.col("o.doc").alias("other"), "l.a", F.col("o.a").alias("b"), "l.size", F.col("o.size").alias("size_other")))
-    different = heads.select("key", "sig", lead["doc"].alias("doc"), lead["at"].alias("at"))
-    keys = different.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("n > 1 and low < high").select("key", "n")
-    lists = different.join(keys.select("key"), "key").groupBy("doc").agg(F.collect_list(F.struct("key", "sig", "at")).alias("wanted"))
-    marked = cut(_emit_again(docs.join(lists, "doc").select("doc", "text", "wanted"), width, hashes))
-    hot = keys.where(F.col("n") > group)
+    hot = _hot(docs, width, hashes, parts)
+    known = np.array(hot, np.int64)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _stream(batches, known)
+
+    even = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(parts), 32).cast("int")
+    to = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("key", "doc"), F.lit(parts)).cast("int")).otherwise(even) if hot else even
+    streamed = cut(_emit(docs, width, hashes).repartitionById(parts, to).sortWithinPartitions("key", "sig", "doc", "place").mapInArrow(stream, _STREAMED))
+    release(spark)
+    equal = streamed.where("kind = 0").select(*_LINK[:5], F.col("size").alias("size_other"))
+    different = streamed.where("kind = 1").select("key", "sig", "doc", "place", "n")
     found = [equal]
-    rows = marked
-    members = None
-    if hot.limit(1).count():
-        rows, more, members = _refined(marked.join(hot.select("key"), "key"), width, similarity, group)
+    if hot:
+        # Equal windows of several partitions: a row of each, so a content has no more than there are partitions.
+        heads = cut(streamed.where("kind = 2").groupBy("key", "sig").agg(F.sort_array(F.collect_list(F.struct("doc", "place"))).alias("w")))
+        far = heads.select(F.col("w")[0].alias("l"), F.explode(F.slice("w", 2, F.size("w"))).alias("o")).where("l.doc <> o.doc")
+        first, size = (F.expr(f"cast({e} as int)") for e in ("(l.place >> 14) - (l.place >> 7 & 127)", "(l.place >> 7 & 127) + (l.place & 127) + 1"))
+        found.append(far.select(F.col("l.doc").alias("doc"), F.col("o.doc").alias("other"), first.alias("a"), F.expr("cast((o.place >> 14) - (o.place >> 7 & 127) as int)").alias("b"), size.alias("size"), size.alias("size_other")))
+        keys = heads.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(F.col("w")[0]["doc"]).alias("low"), F.max(F.col("w")[0]["doc"]).alias("high")).where("low < high").select("key", "n")
+        # At most as many rows as there are hot keys.
+        different = different.unionAll(heads.select("key", "sig", F.col("w")[0]["doc"].alias("doc"), F.col("w")[0]["place"].alias("place")).join(F.broadcast(keys), "key"))
+    rows, members = _marked(docs, different, width), None
+    large = different.where(F.col("n") > group).select("key").distinct()
+    if not large.isEmpty():
+        large, marked = cut(large), cut(rows)
+        rows, more, members = _refined(marked.join(large, "key"), width, similarity, group)
         found.append(more)
-        rows = marked.join(hot.select("key"), "key", "left_anti").select(rows.columns).unionAll(rows)
+        rows = marked.join(large, "key", "left_anti").select(rows.columns).unionAll(rows)
     first = cut(_compared(rows, width, similarity, rounds))
+    release(spark)
 
-    def linked(compared: DataFrame) -> DataFrame:
+    def of(compared: DataFrame) -> DataFrame:
         own = compared.where("kind = 0")
         return _with_members(own, members) if members is not None else own.select(*_LINK)
 
-    found.append(linked(first))
+    found = cut(_union([*found, of(first)]))
+    classes = cut(components(_edges(found)))
     # The keys whose windows are not of one class of documents by now.
-    classes = components(_edges(_union(found)))
     rest = first.where("kind = 1").select("key", "sig", "doc", "at", "first", "marks").join(classes, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("root", "doc"))
     rest = cut(rest.select(*[x.split()[0] for x in _ROW.split(", ")]))
     mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    found.append(linked(cut(_compared(rest.join(mixed, "key"), width, similarity, None))))
-    return _union(found).select(*_LINK[:4], *[(F.col(c) + SHINGLE - 1).alias(c) for c in _LINK[4:]])
+    late = cut(of(_compared(rest.join(mixed, "key"), width, similarity, None)))
+    release(spark)
+    if not late.isEmpty():
+        found, classes = found.unionAll(late), _joined_classes(classes, late)
+    return found.select(*_LINK[:4], *[(F.col(c) + SHINGLE - 1).alias(c) for c in _LINK[4:]]), classes
+
+
+def _joined_classes(classes: DataFrame, late: DataFrame) -> DataFrame:
+    """classes after further links: the components of their roots."""
+
+    def root(column: str) -> DataFrame:
+        return classes.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+
+    ends = _edges(late).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
+    above = components(cut(ends).select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("root", "top")
+    moved = classes.join(above.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = above.join(classes, "node", "left_anti").select("node", F.col("top").alias("root"))
+    return cut(moved.unionAll(new))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -456,8 +534,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     """
     number = F.col(doc_id).cast("long") if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(F.col(doc_id))
     own = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), number.alias("doc"), F.col(text).alias("text"))
-    found = cut(links(own.select("doc", "text"), min_words, similarity, hashes, group))
-    classes = components(_edges(found))
+    found, classes = linked(own.select("doc", "text"), min_words, similarity, hashes, group)
     one = found.select("doc", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("size")).alias("end")).alias("p"))
     two = found.select(F.col("other").alias("doc"), F.struct(F.col("b").alias("start"), (F.col("b") + F.col("size_other")).alias("end")).alias("p"))
     # Equal spans first become one, so that a document at which many links end is small.

@@ -331,7 +331,7 @@ def test_recall_of_passages_with_edits(spark, size, edits):
     assert len(got) >= 0.95 * 200, len(got) / 200
 
 
-def test_passages_of_odd_tables(spark):
+def test_passages_of_odd_tables(spark, monkeypatch):
     """Null and text ids, repeated rows, a clashing column, a very long text, and groups that are dealt anew by their rare marks."""
     r = random.Random(21)
     shared, line = prose(r, 70, 1 << 30), prose(r, 30, 1 << 30)
@@ -348,6 +348,12 @@ def test_passages_of_odd_tables(spark):
     for group in (passage_dedup.GROUP, 40, 7):
         got = passage_dedup.repeated_passages(rows.repartition(5), group=group).collect()
         assert {x.doc_id: x.class_id for x in got} == want, group
+    monkeypatch.setattr(passage_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(passage_dedup, "HOT", 0)
+    assert passage_dedup._hot(rows.select(F.col("doc_id").alias("doc"), "text").where("doc is not null"), 46, 3, 4)
+    for group in (passage_dedup.GROUP, 7):
+        got = passage_dedup.repeated_passages(rows.repartition(5), group=group).collect()
+        assert {x.doc_id: x.class_id for x in got} == want, group
     named = rows.withColumn("doc_id", F.format_string("d%04d", "doc_id"))
     got = passage_dedup.repeated_passages(named.where("doc_id <> 'dnull'")).collect()
     assert {x.doc_id: x.class_id for x in got} == {f"d{i:04d}": "d0040" for i in want}

@@ -160,20 +160,37 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model
     if held.any():
         a, x, p = matrix(held)
         score = np.bincount(np.repeat(np.arange(len(p) - 1), p[1:] - p[:-1]), x * weights[a], minlength=len(p) - 1) + bias
-        t, positive = labels[held].astype(float), labels[held].sum()
-        t = np.where(t > 0, (positive + 1) / (positive + 2), 1 / (len(t) - positive + 2))
-        for _ in range(50):  # Newton, with a small ridge
-            q = 1 / (1 + np.exp(-np.clip(slope * score + shift, -40, 40)))
-            r = q * (1 - q)
-            grad = np.array([((q - t) * score).sum(), (q - t).sum()])
-            hess = np.array([[(r * score * score).sum(), (r * score).sum()], [(r * score).sum(), r.sum()]]) + 1e-3 * np.eye(2)
-            step = np.linalg.solve(hess, grad)
-            slope, shift = slope - float(step[0]), shift - float(step[1])
-            if abs(step).max() < 1e-6:
-                break
+        slope, shift = calibrate(score, labels[held].astype(float))
     return Model(weights, bias, slope, shift)
 
 
+def calibrate(score: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) by Platt's method: a logistic curve through smoothed labels, by Newton's steps, halved until the loss falls."""
+    positive = labels.sum()
+    t = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (len(labels) - positive + 2))
+    # Scores are scaled first, so that no step begins where the curve is flat.
+    middle, scale = score.mean(), max(score.std(), 1e-9)
+    x = (score - middle) / scale
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((np.logaddexp(0, z) - t * z).sum() + 5e-4 * (a * a + b * b))
+
+    a, b = 0.0, float(np.log((positive + 1) / (len(labels) - positive + 1)))
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
+        r = q * (1 - q)
+        grad = np.array([((q - t) * x).sum() + 1e-3 * a, (q - t).sum() + 1e-3 * b])
+        hess = np.array([[(r * x * x).sum(), (r * x).sum()], [(r * x).sum(), r.sum()]]) + 1e-3 * np.eye(2)
+        step, now, size = np.linalg.solve(hess, grad), loss(a, b), 1.0
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * float(step[0]), b - size * float(step[1])
+        if abs(step).max() < 1e-8:
+            break
+    return a / scale, b - a * middle / scale
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
     """The model of labelled rows (label 0 or 1; others are left out), at most `sample` of them. None for too few."""
     ship(docs.sparkSession)

@@ -47,7 +47,7 @@ MIN_WORDS = 50
 SIMILARITY = 0.8
 HASHES = 3
 #: Different windows of one key that one task compares at most.
-GROUP = 5000
+GROUP = 20_000
 #: One document of so many is asked for hot keys: those of at least HOT of a partition's rows.
 SAMPLED, HOT = 64, 0.5
 #: Windows that are compared in one go, about.

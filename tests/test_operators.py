@@ -221,3 +221,191 @@ def test_splits_are_partitions(spark):
     n = {r.split: r["count"] for r in df.groupBy("split").count().collect()}
     assert sum(n.values()) == 500 and 60 < n["test"] < 140
     assert C.folds(spark.range(100), "id").select("fold").distinct().count() == 5
+
+
+# --- ranks, trees, stages, feeds ----------------------------------------------
+
+
+def test_a_split_with_a_small_branch_is_rejected_as_a_whole(spark):
+    # `a` has the best ratio, but a branch of two rows; `b` would do, and isn't taken.
+    rows = [("x" if i < 2 else "y", "p" if i < 10 else "q", 0 if i < 9 else 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "a string, b string, y int")
+    ratios = {r.attribute: r.gain_ratio for r in CL.gain_ratios(df, ["a", "b"], "y").collect()}
+    only = CL.GainRatioTree(min_split=2, min_leaf=5).fit(df, ["b"], "y")
+    assert only.root.attribute == "b"
+    best = max(ratios, key=ratios.get)
+    tree = CL.GainRatioTree(min_split=2, min_leaf=5).fit(df, ["a", "b"], "y")
+    assert tree.root.attribute == (None if best == "a" else "b")
+    rows = [("x" if i < 2 else "y", "p" if i < 10 else "q", 0 if i < 2 else 1) for i in range(20)]
+    tree = CL.GainRatioTree(min_split=2, min_leaf=5).fit(spark.createDataFrame(rows, "a string, b string, y int"), ["a", "b"], "y")
+    assert tree.root.attribute is None and not tree.root.children
+
+
+def test_tree_bins_numbers_leaves_out_keys_and_gives_shares(spark):
+    df = spark.range(3000).select(F.col("id").alias("n"), F.concat(F.lit("k"), "id").alias("key"), (F.col("id") >= 1500).cast("int").alias("y"))
+    tree = CL.GainRatioTree(min_split=2, min_leaf=5).fit(df, ["n", "key"], "y")
+    assert tree.attributes == ["n"] and len(tree.edges["n"]) == 9 and tree.root.attribute == "n"
+    got = tree.predict_proba(tree.predict(df)).select("y", "predicted", F.col("probability")["0"].alias("p0"), F.col("probability")["1"].alias("p1")).collect()
+    assert all(str(r.y) == r.predicted and r.p0 + r.p1 == 1.0 and r.p1 == r.y for r in got)
+    wide = spark.range(3000).select(F.concat(F.lit("k"), F.col("id") % 1500).alias("key"), (F.col("id") % 2).alias("y"))
+    with pytest.raises(ValueError, match="values"):
+        CL.GainRatioTree().fit(wide, ["key"], "y")
+
+
+@pytest.mark.parametrize("scores", ["rand(3)", "floor(rand(3) * 4)", "cast(1 as double)", "pow(rand(3), 30) * 1e9"])
+def test_auc_is_that_of_all_pairs(spark, scores):
+    df = spark.range(300).select((F.rand(1) < 0.4).cast("int").alias("a"), F.expr(scores).alias("s")).cache()
+    rows = [(r.a, r.s) for r in df.collect()]
+    pos, neg = [s for a, s in rows if a], [s for a, s in rows if not a]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    got = CL.auc_one_vs_rest(df, "a", {"1": "s"}).collect()
+    assert len(got) == 1 and abs(got[0].auc - want) < 1e-6
+    df.unpersist()
+
+
+def test_ranks_in_a_hot_class_are_those_of_one_sort(spark):
+    df = spark.range(2000).select("id", F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 3 > 0, "hot").otherwise("rare").alias("c"))
+    got = C.folds(df, "id", 5, "c")
+    assert got.columns == ["id", "c", "fold"]
+    by = {}
+    for r in df.select("id", "c", S.seeded("id").alias("h")).collect():
+        by.setdefault(r.c, []).append((r.h, r.id))
+    want = {i: k % 5 for rows in by.values() for k, (_, i) in enumerate(sorted(rows))}
+    assert {r.id: r.fold for r in got.collect()} == want
+    parts = C.split(df, "id", stratify="c").groupBy("c").agg(F.count_if(F.col("split") == "test").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(abs(r.t - 0.2 * r.n) <= 1 for r in parts)
+
+
+def test_model_table_and_fold_errors(spark):
+    df = spark.range(400).select("id", (F.rand(2) * 10).alias("x"), F.lit(1.0).alias("z")).withColumn("label", (F.col("x") > 5).cast("double"))
+    df = C.folds(CL.assemble(df, ["x", "z"]), "id")
+    rows = CL.compare_models(df, df, {"majority": CL.Majority(), "tree": CL.models()["entropy_tree"]}, 5)
+    assert rows[0]["model"] == "tree" and rows[0]["accuracy"] > 0.98 and rows[0]["cv_accuracy"] > 0.95 and rows[0]["auc"] > 0.98
+    assert rows[1]["auc"] is None and 0.3 < rows[1]["cv_accuracy"] < 0.7
+    line = df.withColumn("label", 3 * F.col("x") + 1)
+    table = G.compare(line, line, {"ols": G.models(line)["ols"], "tree": G.models(line)["tree"]}, k=5)
+    assert table[0]["model"] == "ols" and table[0]["cv_rmse"] < 1e-6 < table[1]["cv_rmse"]
+
+
+def test_blend_learns_its_weight_on_validation_and_its_spread_on_test(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+
+    df = spark.range(900).select("id", (F.rand(4) * 10).alias("x")).withColumn("label", F.col("x") * 0.9 + F.randn(5) * 0.1)
+    df = C.split(CL.assemble(df, ["x"]), "id").cache()
+    parts = [df.where(f"split = '{k}'") for k in ("train", "validation", "test")]
+    model = G.Blend.fit(*parts, "id", which={"random_forest": LinearRegression(), "gbt": DecisionTreeRegressor(maxDepth=1)})
+    assert model.weight > 0.9 and 0.05 < model.sigma < 0.2 and model.r2_full > 0.98
+    assert [(r["split"], r["model"]) for r in model.table if r["split"] == "validation"] == [("validation", "blend")] and len(model.table) == 4
+    got = model.predict(parts[2], "id").collect()
+    assert all(1.0 <= r.low <= r.score <= r.high <= 10.0 for r in got)
+    df.unpersist()
+
+
+def test_silhouette_is_that_of_all_pairs(spark):
+    r = np.random.default_rng(3)
+    x, c = r.normal(size=(700, 3)), r.integers(0, 3, 700)
+    x[c == 1] += 2
+    c[0] = 9  # a cluster of one
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for i in range(700):
+        mine = c == c[i]
+        if mine.sum() < 2:
+            want.append(0.0)
+            continue
+        a, b = d[i, mine].sum() / (mine.sum() - 1), min(d[i, c == k].mean() for k in set(c.tolist()) - {c[i]})
+        want.append((b - a) / max(a, b))
+    df = spark.createDataFrame([(i, x[i].tolist(), int(c[i])) for i in range(700)], "id long, x array<double>, cluster int")
+    assert abs(K.silhouette(df, "id").first().score - np.mean(want)) < 1e-5
+    assert K.silhouette(df.where("false"), "id").first().score is None
+    assert K.silhouette(df.where("cluster = 1"), "id").first().score == 0.0
+
+
+def test_too_few_baskets_are_an_error_and_defaults_hold(spark):
+    baskets = spark.createDataFrame([(["a", "b", "c"],)] * 8 + [(["a"],)], "items array<string>")
+    with pytest.raises(ValueError, match="8 baskets; 100"):
+        AS.mine_users(baskets)
+    assert AS.mine_users(baskets, min_baskets=8, min_lift=1.0).count() == 6
+    assert AS.mine_tags(baskets.withColumnRenamed("items", "tags"), min_lift=1.0).where("confidence < 0.2").count() == 0
+
+
+def test_fetches_fail_alone_and_a_sync_counts_them(spark):
+    def fetch(i):
+        if i % 2:
+            raise KeyError(i)
+        return '{"mal_id": %d, "score": 8.5, "type": "TV"}' % i
+
+    got, failed = L.fetch_all([1, 2, 3, 4], fetch)
+    assert [i for i, _ in got] == [2, 4] and failed == {1: "KeyError: 1", 3: "KeyError: 3"}
+    titles = spark.createDataFrame([(2, "b", None, "TV", None, 7.0, 10), (4, "d", None, "TV", None, 8.5, 10)], "item_id long, name string, genre string, type string, episodes string, rating double, members long")
+    payloads = spark.createDataFrame([(t,) for _, t in got] + [("{broken",), ("{}",), (None,)], "json string")
+    out, report = L.sync(titles, payloads, ["TV"])
+    assert report == {"fetched": 2, "failed": 3, "changed": 1, "fields": {"rating": 1}} and {r.item_id: r.rating for r in out.collect()} == {2: 8.5, 4: 8.5}
+
+
+def test_ids_are_selected_by_each_mode(spark):
+    titles = spark.createDataFrame([(i, i * 7 % 10) for i in range(10)], "item_id long, members long")
+    state = spark.createDataFrame([(1, "2024-05-01"), (2, "2024-05-09")], "item_id long, at string").select("item_id", F.to_timestamp("at").cast("timestamp_ntz").alias("fetched_at"))
+
+    def ids(**how):
+        return [r.item_id for r in L.select_ids(titles, state, **how).orderBy("item_id").collect()]
+
+    assert ids(ids=[3, 99]) == [3] and ids() == list(range(10)) and ids(limit=2) == [0, 1]
+    assert ids(top=3) == [1, 4, 7] and ids(cutoff="2024-05-05") == [0, 1, 3, 4, 5, 6, 7, 8, 9] and ids(cutoff="2024-05-05", limit=3) == [0, 1, 3]
+
+
+def test_json_cache_fetches_once_and_again_when_broken(spark, tmp_path):
+    calls = []
+    cache = files.JsonCache(spark, f"file://{tmp_path}", lambda k: calls.append(k) or '{"id": %d}' % k)
+    assert cache.get(1) == cache.get(1) == {"id": 1} and calls == [1] and cache.hits == 1
+    (tmp_path / "1.json").write_text('{"id": ')
+    (tmp_path / ".1.json.crc").unlink(missing_ok=True)
+    assert cache.get(1) == {"id": 1} and calls == [1, 1]
+    assert cache.get(1, use_cache=False) == {"id": 1} and calls == [1, 1, 1]
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    from lodestone.streaming import live
+
+    table = files.Versioned(spark, f"file://{tmp_path}/t")
+    table.replace(spark.createDataFrame([(1, "a", "G", "TV", "1", 5.0, 10)], "item_id long, name string, genre string, type string, episodes string, rating double, members long"))
+    run = live.upsert_batches(table, f"file://{tmp_path}/h", ["TV"])
+    batch = spark.createDataFrame([(1, "2024-01-01", 6.0), (1, "2024-01-02", 7.0)], "item_id long, fetched_at string, rating double")
+    for number in (0, 0, 1, 1):
+        run(batch, number)
+    assert [r.rating for r in table.read().collect()] == [7.0]
+    assert {r.batch: r["count"] for r in spark.read.parquet(f"file://{tmp_path}/h").groupBy("batch").count().collect()} == {0: 2, 1: 2}
+
+
+def test_running_profiles_of_a_stream(spark, tmp_path):
+    from lodestone.streaming import live
+
+    rows = spark.createDataFrame([(1, 8), (1, -1), (2, 4), (1, 6)], "user_id long, rating int")
+    rows.repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = live.profiles(stream).writeStream.outputMode("complete").format("memory").queryName("profiles_test").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.user_id, r.n_ratings, r.mean_rating) for r in spark.table("profiles_test").collect()} == {(1, 2, 7.0), (2, 1, 4.0)}
+
+
+def test_stages_fail_alone_and_keep_the_metrics_of_others(spark, tmp_path):
+    from lodestone.operators import stages as ST
+
+    def broken(s):
+        raise RuntimeError("x" * 500)
+
+    runner = ST.Runner(spark, files.Versioned(spark, f"file://{tmp_path}/s"), {2: lambda s: {"a": 1, "old": {"b": 2}}, 3: broken, 4: lambda s: {"ok": True}})
+    info = runner.run()
+    assert info[2].startswith("ok (") and info[4].startswith("ok (") and info[3].startswith("FAILED: RuntimeError: xxx") and len(info[3]) == 200
+    runner.stages[2] = lambda s: {"a": 5}
+    runner.run([2])
+    assert {r.metric: r.value for r in runner.read().collect()} == {"stage2.a": "5", "stage4.ok": "True"}
+    with pytest.raises(ValueError, match="9"):
+        runner.run([9])
+    log, built = f"file://{tmp_path}/log", []
+    sync = lambda: {"selected": 4, "fetched": 3, "failed": 1, "changed": 1}
+    assert ST.retrain(runner, log, sync, lambda: built.append(1), min_changed=2)["skipped"] and not built
+    row = ST.retrain(runner, log, sync, lambda: built.append(1), [3, 4], min_changed=2, force=True)
+    assert not row["skipped"] and built and row["stages"] == "3 4" and row["stages_ok"] == "4" and row["failed"] == 1
+    assert ST.retrain(runner, log, only=[4])["mode"].startswith("retrain-only")
+    assert spark.read.parquet(log).count() == 3

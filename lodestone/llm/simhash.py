@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .components import components, with_least
+from .components import SALTS, components, with_least
 from .shared import cut, ship
 
 SEED = 42
@@ -56,20 +56,22 @@ def _fingerprints(texts: pa.Array, size: int, seed: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc, fp long): each row's 64-bit SimHash over shingles of `size` words, lower-cased A-Z.
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, keys.., fp long): each row's 64-bit SimHash over shingles of `size` words, lower-cased A-Z.
 
     A text with fewer words is one shingle of all of them; null, empty and
     blank texts have fingerprint 0. Rows stay rows: repeated ones are repeated.
+    keys: further columns that go with the id.
     """
     ship(docs.sparkSession)
+    own = docs.select(F.col(doc_id).alias("doc"), *keys, F.col(text).alias("__text"))
+    names = ["doc", *keys, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_fingerprints(b.column(1), size, seed).view(np.int64))], ["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_fingerprints(b.columns[-1], size, seed).view(np.int64))], names)
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, fp long")
+    return own.mapInArrow(run, own.withColumn("fp", F.lit(0).cast("long")).drop("__text").schema)
 
 
 def ball(radius: int) -> list[int]:
@@ -81,7 +83,10 @@ def ball(radius: int) -> list[int]:
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) at most `radius` bits apart, enough to connect all that are."""
     half = radius // 2
-    distinct = fps.select("fp").distinct()
+    # Each fingerprint becomes some 65 rows: so few that adaptive execution would leave them to one task are dealt to all.
+    parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # By a hash of it: dealt by the column itself, the distinct rows' own exchange would be taken instead, and made smaller.
+    distinct = fps.select("fp").distinct().repartition(parts, F.xxhash64("fp"))
     if radius % 2:
         raise ValueError("the radius must be even, so that half of it is whole")
     masks = F.array(*[F.lit(m) for m in ball(half)])
@@ -91,6 +96,22 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _salted(fps: DataFrame, by: str) -> DataFrame:
+    return fps.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _least(fps: DataFrame, value, by: str, radius: int) -> DataFrame:
+    """(fp, root, least, salts): each fingerprint with its component, the least value of its rows, and the salts that they have.
+
+    Rows of one fingerprint are dealt to salts by the hash of column `by`, so
+    that no task gathers the rows of a hot one.
+    """
+    members = cut(components(links(fps, radius)))  # (node, root)
+    parts = _salted(fps, by).groupBy("fp", "__salt").agg(F.min(value).alias("least"))
+    least = parts.groupBy("fp").agg(F.min("least").alias("least"), F.collect_set("__salt").alias("salts"))
+    return least.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """(doc, fp long, component): for each row the smallest id that links of fingerprints reach.
 
@@ -99,8 +120,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids only has a null component. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, doc_id, text, size, seed))
-    members = cut(components(links(fps, radius)))  # (node, root)
-    least = fps.groupBy("fp").agg(F.min("doc").alias("least"))
-    named = least.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labels = with_least(named, "root", "least", "fp", "component").select("fp", "component")
-    return fps.join(labels, "fp").select("doc", "fp", "component")
+    named = _least(fps, F.col("doc"), "doc", radius)
+    labels = with_least(named, "root", "least", "fp", "component").select("fp", "component", F.explode("salts").alias("__salt"))
+    return _salted(fps, "doc").join(labels, ["fp", "__salt"]).select("doc", "fp", "component")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One row of each component, with the columns of docs: the one with the smallest id, of one id the one with the smallest hash of its text.
+
+    Ids may repeat: rows with one id and unlike texts are rows of their own.
+    Null ids come last. Of rows alike in id and text the one with the smallest
+    hash of all its columns stays. An empty table gives an empty result.
+    """
+    names = docs.columns
+    own = docs.select(F.struct(*[F.col(c) for c in names]).alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    # 128 bits tell rows apart by id and text.
+    own = own.withColumns({"__rk": F.xxhash64("__id", F.lit(seed), "__text"), "__tk": F.xxhash64("__text")})
+    fps = cut(fingerprints(own, "__id", "__text", size, seed, ("__rk", "__tk")))
+    row = F.struct(F.col("doc").isNull().alias("late"), "doc", "__tk", "__rk")
+    named = _least(fps, row, "__rk", radius)
+    kept = _salted(named, "fp").groupBy("root", "__salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("least"))
+    kept = kept.select("least.__rk", "least.__tk")
+    stay = own.select("__rk", "__tk", "__row").join(kept, ["__rk", "__tk"], "left_semi")
+    return stay.groupBy("__rk", "__tk").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar as S
+from lodestone.sources.files import scratch_table
 
 TYPES = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE")
 
@@ -155,9 +156,17 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Dat
 
 
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the distinct values in order, numbered from 0."""
+    """(value, code): the distinct values in order, numbered from 0.
+
+    Values are dealt by range; each range is numbered by itself, from the sum of
+    the counts of those before it on. So no task sorts all values.
+    """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    dealt = scratch_table(values.repartitionByRange("value").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # one row for each range
+    firsts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", (F.sum("n").over(before) - F.col("n")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1
+    return dealt.withColumn("place", place).join(F.broadcast(firsts), "range").select("value", (F.col("first") + F.col("place")).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, to: str, unseen: int = -1) -> DataFrame:

@@ -115,7 +115,7 @@ def cut_pieces(buf: np.ndarray, offs: np.ndarray, kinds: Kinds) -> Pieces:
     size, of = ends - at, example[inverse]
     unlike = size != size[of]
     equal = np.flatnonzero(~unlike)
-    unlike[equal] = ~T.same(buf, at[equal], buf, at[of[equal]], size[equal])
+    unlike[equal] = ~T.same_hashed(buf, at[equal], buf, at[of[equal]], size[equal])
     return Pieces(keys, inverse, at[example], ends[example], np.searchsorted(at, offs), unlike)
 
 
@@ -134,38 +134,49 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """The cache: a table, and for its places where their ids begin among all ids."""
-        self.cache, self.first, self.ids = T.NO_TABLE, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """The cache: two tables of entries' numbers, of which the second one is small and takes new ones; each entry's count, where its ids begin, and all ids."""
+        self.tables = [T.NO_TABLE, T.NO_TABLE]
+        self.sizes, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Encode pre-tokens whose hashes are new, and add them to the cache."""
-        ids, old = self.encode([p.decode() for p in pieces]), self.cache
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.ids) + np.cumsum(counts) - counts
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        begin = len(old.text) + np.cumsum(size) - size
-        keys = np.concatenate([old.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        own = (np.concatenate([a, b])[order] for a, b in ((old.begin, begin), (old.size, size), (old.values, counts)))
-        self.cache = T.Table(keys[order], *own, np.concatenate([old.text, np.frombuffer(b"".join(pieces), np.uint8)]))
-        self.first = np.concatenate([self.first, first])[order]
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
+        ids = self.encode([p.decode() for p in pieces])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        entries = np.arange(len(self.sizes), len(self.sizes) + len(ids))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        large, small = self.tables[0], self.tables[1].joined(T.Table.of(pieces, entries))
+        if len(small.keys) > max(1 << 14, len(large.keys) // 8):
+            large, small = large.joined(small), T.NO_TABLE
+        self.tables = [large, small]
 
     def _cached(self, keys: np.ndarray, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each key in the cache, after learning what is missing, and whether the bytes there are its own."""
-        at, there, equal = self.cache.find(keys, buf, begin, end)
+        """The entry of each key in the cache, after learning what is missing, and whether the bytes there are its own."""
+
+        def found() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            entry, right, there = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+            for table in self.tables:
+                rest = np.flatnonzero(~there)
+                at, known, equal = table.find(keys[rest], buf, begin[rest], end[rest])
+                rest, at, equal = rest[known], at[known], equal[known]
+                if len(rest):
+                    entry[rest], right[rest], there[rest] = table.values[at], equal, True
+            return entry, right, there
+
+        entry, right, there = found()
         if not there.all():
             new = np.flatnonzero(~there)
-            if len(self.cache.keys) + len(new) > self.entries:
+            if len(self.sizes) + len(new) > self.entries:
                 self.clear()
                 new = np.arange(len(keys))
             text = buf.tobytes()
-            self.learn(keys[new], [text[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
-            at, there, equal = self.cache.find(keys, buf, begin, end)
-        return at, equal
+            self.learn([text[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            entry, right, there = found()
+        return entry, right
 
     def _special(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Documents that hold a special string."""
@@ -194,7 +205,7 @@ class Encoder:
             miss = np.flatnonzero(~equal)
             if len(miss):
                 own, right = self._cached(p.keys[miss], buf, p.begin[miss], p.end[miss])
-                sizes[miss], wrong[miss] = self.cache.values[own], ~right
+                sizes[miss], wrong[miss] = self.sizes[own], ~right
             got = T.per_doc(sizes[p.inverse], p.place)
             for d, ids in self._whole(buf, offs, p, wrong).items():
                 got[d] = len(ids)
@@ -207,7 +218,7 @@ class Encoder:
             p = cut_pieces(buf, offs, self.kinds)
             own, right = self._cached(p.keys, buf, p.begin, p.end) if len(p.keys) else (p.inverse, np.zeros(0, bool))
             at = own[p.inverse]
-            size = self.cache.values[at]
+            size = self.sizes[at]
             ids = self.ids[T.gather_ragged(self.first[at], size)]
             got = np.concatenate([[0], np.cumsum(T.per_doc(size, p.place))])
             whole = self._whole(buf, offs, p, ~right)

@@ -21,7 +21,7 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 LONG_SLICE = 256
 
 #: Bytes of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def byte_class(pattern_bytes) -> np.ndarray:
@@ -59,9 +59,10 @@ def _eights(buf: np.ndarray) -> np.ndarray:
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each slice of bytes, the same wherever it stands.
 
-    Every eight bytes are mixed in one after the other. Slices over LONG_SLICE
-    bytes, which would take a round of their own for each eight, are hashed by
-    XXH3.
+    Every eight bytes are mixed in one after the other, so slices of one size
+    and up to eight bytes have the same hash only if they are equal. Slices over
+    LONG_SLICE bytes, which would take a round of their own for each eight, are
+    hashed by XXH3.
     """
     size = end - start
     out = mix(size.astype(U64) * _SIZE + _SEED)
@@ -86,6 +87,72 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         where, left = where + 8, left - 8
 
 
+#: The multipliers of XXH64.
+_XXH = [U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << U64(bits) | x >> U64(64 - bits)
+
+
+def _lane(x: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return _turn(x + value * _XXH[1], 31) * _XXH[0]
+
+
+def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each slice of bytes, a round of all of them at once; those over LONG_SLICE bytes by the library."""
+    p1, p2, p3, p4, p5 = _XXH
+    first, size, eights = U64(seed), end - start, _eights(buf)
+    with np.errstate(over="ignore"):
+        out = np.full(len(size), first + p5, U64)
+        at = start.astype(np.int64)
+        wide = np.flatnonzero((size >= 32) & (size <= LONG_SLICE))
+        if len(wide):
+            lanes = [np.full(len(wide), x, U64) for x in (first + p1 + p2, first + p2, first, first - p1)]
+            go = np.arange(len(wide))
+            while len(go):
+                place = at[wide[go]]
+                for i, v in enumerate(lanes):
+                    v[go] = _lane(v[go], eights[place + 8 * i])
+                at[wide[go]] += 32
+                go = go[end[wide[go]] - at[wide[go]] >= 32]
+            mixed = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
+            for v in lanes:
+                mixed = (mixed ^ _lane(U64(0), v)) * p1 + p4
+            out[wide] = mixed
+        out += size.astype(U64)
+        go = np.flatnonzero((size >= 8) & (size <= LONG_SLICE))
+        while len(go := go[end[go] - at[go] >= 8]):
+            out[go] = _turn(out[go] ^ _lane(U64(0), eights[at[go]]), 27) * p1 + p4
+            at[go] += 8
+        go = np.flatnonzero((end - at >= 4) & (size <= LONG_SLICE))
+        out[go] = _turn(out[go] ^ (eights[at[go]] & _MASKS[4]) * p1, 23) * p2 + p3
+        at[go] += 4
+        go = np.flatnonzero((end > at) & (size <= LONG_SLICE))
+        while len(go):
+            out[go] = _turn(out[go] ^ (eights[at[go]] & _MASKS[1]) * p5, 11) * p1
+            at[go] += 1
+            go = go[end[go] > at[go]]
+        out = (out ^ out >> U64(33)) * p2
+        out = (out ^ out >> U64(29)) * p3
+        out ^= out >> U64(32)
+    long = np.flatnonzero(size > LONG_SLICE)
+    if len(long):
+        import xxhash
+
+        raw = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
+def same_hashed(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """`same` for slices of which the hashes and sizes are known to be equal: up to eight bytes they are."""
+    out = np.ones(len(size), bool)
+    long = np.flatnonzero(size > 8)
+    out[long] = same(a, a_start[long], b, b_start[long], size[long])
+    return out
+
+
 def same(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether slices of two arrays of bytes are equal, byte by byte."""
     out = np.ones(len(size), bool)
@@ -133,9 +200,16 @@ class Table:
         there = self.keys[at] == keys
         equal = there & (self.size[at] == end - begin)
         some = np.flatnonzero(equal)
-        equal[some] = same(buf, begin[some], self.text, self.begin[at[some]], self.size[at[some]])
+        equal[some] = same_hashed(buf, begin[some], self.text, self.begin[at[some]], self.size[at[some]])
         return at, there, equal
 
+    def joined(self, other: "Table") -> "Table":
+        """Both; no hash is in both."""
+        keys = np.concatenate([self.keys, other.keys])
+        order = np.argsort(keys, kind="stable")
+        own = (np.concatenate(x)[order] for x in ((self.begin, other.begin + len(self.text)), (self.size, other.size), (self.values, other.values)))
+        return Table(keys[order], *own, np.concatenate([self.text, other.text]))
+
 
 NO_TABLE = Table(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint8))
 

@@ -110,10 +110,10 @@ def m8(s, d):
     return s.createDataFrame([(r["min_support"], r["fp_growth_itemsets"], r["fp_growth_itemsets"] == r["level_wise_itemsets"]) for r in rows], "min_support double, itemsets long, same boolean")
 
 
-_NAMED = f"select antecedent, consequent, round(s / sa / sc, 6) as lift from rules where s / sa / sc >= {AS.TAG_DEFAULTS['min_lift']} and s / sa >= {AS.TAG_DEFAULTS['min_confidence']}"
+_NAMED = f"select antecedent, consequent, round(s / sa / sc, 6) as lift from rules where s / sa / sc >= {AS.TAG_DEFAULTS['min_lift']} and s / sa >= 0.1"
 _LOW = {"lines": "select basket, item from taglines", "need": "select 0.012 * count(*) as m, count(*) as n from clean"}
 query("m9_tag_rules", with_("taglines", _NAMED, **_LOW, **ITEMSETS, sides=_SIDES, rules=_RULES))(
-    lambda s, d: AS.mine_tags(cleaned(s, d), min_support=0.012).select(_joined("antecedent").alias("antecedent"), _joined("consequent").alias("consequent"), *r6("lift")))
+    lambda s, d: AS.mine_tags(cleaned(s, d), min_support=0.012, min_confidence=0.1).select(_joined("antecedent").alias("antecedent"), _joined("consequent").alias("consequent"), *r6("lift")))
 
 
 @query("p14_m9_user_rules", "select true as enough, '10000000 are needed' as needed")

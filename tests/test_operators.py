@@ -409,3 +409,55 @@ def test_stages_fail_alone_and_keep_the_metrics_of_others(spark, tmp_path):
     assert not row["skipped"] and built and row["stages"] == "3 4" and row["stages_ok"] == "4" and row["failed"] == 1
     assert ST.retrain(runner, log, only=[4])["mode"].startswith("retrain-only")
     assert spark.read.parquet(log).count() == 3
+
+
+@pytest.fixture
+def server():
+    """A server on the loopback interface: what it answers, one after the other for each path, and what was asked."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            script = answers.get(self.path, [404])
+            code = script.pop(0) if len(script) > 1 else script[0]
+            body = f'{{"mal_id": {self.path[1:]}}}'.encode() if code == 200 else b""
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    answers, asked = {}, []
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{httpd.server_port}", answers, asked
+    httpd.shutdown()
+
+
+def test_http_source_waits_retries_and_gives_up(spark, server):
+    import time
+
+    from lodestone.sources.http import HttpSource
+
+    base, answers, asked = server
+    answers |= {"/1": [200], "/2": [429, 503, 200], "/3": [500], "/4": [403]}
+    source = HttpSource(base, interval=0.05, retries=2, wait=0.01)
+    began = time.monotonic()
+    assert source.get(1) == '{"mal_id": 1}' and source.get(2) == '{"mal_id": 2}' and source.calls == 4
+    assert time.monotonic() - began >= 0.15  # three intervals between four calls
+    with pytest.raises(KeyError):
+        source.get(99)
+    with pytest.raises(RuntimeError, match="3 calls.*500"):
+        source.get(3)
+    with pytest.raises(Exception, match="403"):
+        source.get(4)
+    assert [asked.count(p) for p in ("/1", "/2", "/99", "/3", "/4")] == [1, 3, 1, 3, 1]
+    with pytest.raises(RuntimeError):
+        HttpSource("http://127.0.0.1:9", interval=0, retries=1, wait=0).get(1)
+    ids = spark.createDataFrame([(1,), (2,), (2,), (3,), (99,), (None,)], "id long")
+    got = {r.id: (r.json, r.error) for r in HttpSource(base, interval=0, retries=1, wait=0).table(ids, "id", 2).collect()}
+    assert got[1] == ('{"mal_id": 1}', None) and got[2][1] is None and got[3][1].startswith("RuntimeError") and got[99] == (None, "KeyError: 99") and len(got) == 4

@@ -28,31 +28,42 @@ SHINGLE = 3
 RADIUS = 2
 
 
+def _bit_counts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each text, n one after the other, have each of the 64 bits."""
+    out = np.zeros((len(n), 64), np.int64)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    # Runs of at most 255 hashes: the counts of eight bits, each in a byte of its own, are one sum.
+    runs = -(-n[full] // 255)
+    of = np.cumsum(runs) - runs
+    begin = (np.cumsum(n) - n)[full]
+    first = np.repeat(begin, runs) + (np.arange(runs.sum()) - np.repeat(of, runs)) * 255
+    for k in range(8):
+        sums = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), first)
+        out[full, k::8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), of, axis=0)
+    return out
+
+
 def _fingerprints(texts: pa.Array, size: int, seed: int) -> np.ndarray:
     """Fingerprints of whole texts as uint64."""
-    import xxhash
-
-    digest, out = xxhash.xxh64_intdigest, [np.zeros(0, np.uint64)]
+    out = [np.zeros(0, np.uint64)]
     for _, _, buf, offs in T.chunks(texts):
         low = T.LOWER[buf]
         starts, ends, place = T.words(low, offs, T.PLAIN_WORDS)
         # All words of the chunk again, with one space after each: a shingle is a slice of these bytes.
         sizes = ends - starts
-        at = np.cumsum(sizes + 1) - sizes - 1
+        begin = np.cumsum(sizes + 1) - sizes - 1
         flat = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
-        flat[T.gather_ragged(at, sizes)] = low[T.gather_ragged(starts, sizes)]
-        joined, begin, end = flat.tobytes(), at, at + sizes
+        flat[T.gather_ragged(begin, sizes)] = low[T.gather_ragged(starts, sizes)]
         n = place[1:] - place[:-1]
-        got = np.zeros(len(n), np.uint64)
-        for d in np.flatnonzero(n):
-            a, b = place[d], place[d + 1]
-            w = min(size, b - a)
-            h = np.array([digest(joined[s:e], seed) for s, e in zip(begin[a : b - w + 1].tolist(), end[a + w - 1 : b].tolist(), strict=True)], np.uint64)
-            ones = np.zeros(64, np.int64)
-            for i in range(0, len(h), 1 << 16):
-                ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            got[d] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-        out.append(got)
+        width = np.minimum(size, n)
+        shingles = np.where(n > 0, n - width + 1, 0)
+        first = T.gather_ragged(place[:-1], shingles)
+        last = first + np.repeat(width, shingles) - 1
+        h = T.xxh64(flat, begin[first], begin[last] + sizes[last], seed)
+        ones = _bit_counts(h, shingles)
+        out.append(np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0])
     return np.concatenate(out)
 
 

@@ -135,7 +135,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read(spark, sf_dir, "documents"), notices=license_scan.NOTICES).withColumnRenamed("doc", "doc_id")
+    return license_scan.scan(read(spark, sf_dir, "documents"), notices=license_scan.NOTICES, whole=license_scan.TEXTS).withColumnRenamed("doc", "doc_id")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

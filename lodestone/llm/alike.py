@@ -217,8 +217,8 @@ def links(group: np.ndarray, label: np.ndarray, rows: np.ndarray, width: int, si
         return np.zeros((0, 6), np.int64), nothing
     group = group[alive]
     _, lead, pattern = np.unique(pattern_hashes(group, kept), return_index=True, return_inverse=True)
-    _, label = np.unique(np.stack([group, np.unique(label[alive], return_inverse=True)[1]]), axis=1, return_inverse=True)
-    classes = _Classes(label.ravel())
+    _, label = np.unique(label[alive], return_inverse=True)
+    classes = _Classes(np.unique(group.astype(np.int64) * (int(label.max()) + 1) + label, return_inverse=True)[1])
     # Rows of a pattern: if it is alike in itself, they are linked to the first one.
     rest = np.flatnonzero(lead[pattern] != np.arange(len(alive)))
     first = lead[pattern[rest]]

@@ -34,6 +34,11 @@ def models(df: DataFrame, label: str = "label") -> dict:
     }
 
 
+def sized(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
+    """df in partitions of about `rows` rows: each round of boosting runs some jobs, and a small table would pay for empty tasks in all of them."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def boosting(label: str = "label", rounds: int = 300, share: float = 1.0) -> GBTRegressor:
     """Gradient boosting with trees of depth 4 at a rate of 0.05; the lineage of its residuals is cut every ten rounds."""
     return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=4, subsamplingRate=share, seed=42, cacheNodeIds=True, checkpointInterval=10)

@@ -251,10 +251,11 @@ query("c16_auc", with_("outcome", """select '1' as class, round((sum(case when a
 @query("c17_model_table")
 def c17(s, d):
     """All models: metrics on the test part, accuracy over five folds of the rest, and the area under the curve."""
-    df = _model_frame(s, d).cache()
-    train, test = C.folds(df.where("split <> 'test'"), "item_id", stratify="label"), df.where("split = 'test'")
+    df = G.sized(_model_frame(s, d), "item_id").cache()
+    train, test = C.folds(df.where("split <> 'test'"), "item_id", stratify="label").cache(), df.where("split = 'test'")
     tree = CL.TreeModel(["type", "members_band", "episodes_band", "genre_count"], max_depth=6)
     rows = CL.compare_models(train, test, {"majority": CL.Majority(), "gain_ratio_tree": tree, **CL.models()}, 5)
+    train.unpersist()
     df.unpersist()
     return s.createDataFrame(rows, "model string, accuracy double, macro_precision double, macro_recall double, macro_f1 double, cv_accuracy double, auc double")
 
@@ -296,7 +297,7 @@ FEATURES = ["members_log", "episodes_log", "genre_count"]
 
 
 def _regression(s, d) -> DataFrame:
-    return C.split(CL.assemble(cleaned(s, d), FEATURES).withColumn("label", F.col("rating")), "item_id")
+    return G.sized(C.split(CL.assemble(cleaned(s, d), FEATURES).withColumn("label", F.col("rating")), "item_id"), "item_id")
 
 
 def _regressor(name):

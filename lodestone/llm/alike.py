@@ -128,6 +128,45 @@ def shifted(x: np.ndarray, y: np.ndarray, width: int, similarity: float):
     return int(px[a]), int(py[a]), int(nx[a, b]), int(ny[a, b])
 
 
+def may_shift(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """For pairs of rows of marks: False where `shifted` finds nothing. All pairs at once; only those left need `shifted` itself.
+
+    Rows whose matches rise are judged exactly; of others only the matches in x are counted.
+    """
+    n, need = len(x), need_of(width, similarity)
+    ok = np.zeros(n, bool)
+    of, i = np.nonzero(x)
+    row_y, j = np.nonzero(y)
+    # (row, mark, column) in one number; the nearest equal mark of y is beside that of x, the left one of ties.
+    own = (of << 23) + (x[of, i].astype(np.int64) << 7) + i
+    there = np.sort((row_y << 23) + (y[row_y, j].astype(np.int64) << 7) + j)
+    if not len(own) or not len(there):
+        return ok
+    at = np.searchsorted(there, own)
+    right, left = there[np.minimum(at, len(there) - 1)], there[np.maximum(at - 1, 0)]
+    has_right, has_left = (at < len(there)) & (right >> 7 == own >> 7), (at > 0) & (left >> 7 == own >> 7)
+    take = has_left & (~has_right | (own - left <= right - own))
+    matched = has_left | has_right
+    of, px, py = of[matched], i[matched], (np.where(take, left, right) & 127)[matched]
+    count = np.bincount(of, minlength=n)
+    place = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+    most = int(count.max(initial=0))
+    if most < need:
+        return ok
+    falls = np.zeros(n, bool)
+    falls[of[1:][(of[1:] == of[:-1]) & (py[1:] <= py[:-1])]] = True
+    wide_x, wide_y = np.full((n, most), -1, np.int64), np.full((n, most), -1, np.int64)
+    wide_x[of, place], wide_y[of, place] = px, py
+    for a in range(most - need + 1):
+        left, right = slice(a, a + 1), slice(a + need - 1, None)
+        both = np.arange(need, most - a + 1)
+        nx, ny = wide_x[:, right] - wide_x[:, left] + 1, wide_y[:, right] - wide_y[:, left] + 1
+        more = np.maximum(width - np.maximum(nx, ny), 0)
+        fits = np.where(falls[:, None], both >= similarity * nx - 1e-9, both >= similarity * (nx + ny + 2 * more - both) - 1e-9)
+        ok |= (fits & (wide_x[:, right] >= 0)).any(axis=1)
+    return ok
+
+
 def marks_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, token) of all marks; the k-th equal mark of a row is a token of its own."""
     row, column = np.nonzero(rows)
@@ -296,8 +335,14 @@ def _between(group: np.ndarray, rows: np.ndarray, own: np.ndarray, classes: _Cla
         row, token, head, root, of = row[go], token[go], head[go], root[go], of[go]
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
         pair = np.flatnonzero(~head & (root != root[first]))
-        code = np.setdiff1d((row[first[pair]].astype(np.int64) << 32) + row[pair], done)
-        done = np.union1d(done, code)
+        # Sorts, as the sets of numpy hash and then sort as well.
+        code = np.sort((row[first[pair]].astype(np.int64) << 32) + row[pair])
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        if len(done):
+            new &= done[np.minimum(np.searchsorted(done, code), len(done) - 1)] != code
+        code = code[new]
+        done = np.sort(np.concatenate([done, code]), kind="stable")
         for i in range(0, len(code), PAIRS):
             yield from _verify(code[i : i + PAIRS] >> 32, code[i : i + PAIRS] & 0xFFFFFFFF, rows, own, classes, need, width, similarity)
         row, token = row[~head], token[~head]
@@ -318,7 +363,8 @@ def _verify(x: np.ndarray, y: np.ndarray, rows: np.ndarray, own: np.ndarray, cla
     rest = np.flatnonzero(roots[own[x]] != roots[own[y]])
     every = np.sort(np.concatenate([left[rest], right[rest]], axis=1), axis=1)
     shared = ((every[:, 1:] == every[:, :-1]) & (every[:, 1:] > 0)).sum(axis=1)
-    for i in rest[(shared >= need) & (shared > equal[rest])].tolist():
+    rest = rest[(shared >= need) & (shared > equal[rest])]
+    for i in rest[may_shift(left[rest], right[rest], width, similarity)].tolist():
         u, v = int(own[x[i]]), int(own[y[i]])
         if classes.root(int(classes.label[u])) == classes.root(int(classes.label[v])):
             continue

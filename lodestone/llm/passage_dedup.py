@@ -300,7 +300,12 @@ def _compare(rows: pa.RecordBatch, width: int, similarity: float, rounds: int |
 
 
 def _compared(rows: DataFrame, width: int, similarity: float, rounds: int | None) -> DataFrame:
-    """rows dealt by key, and the keys of each partition compared, some BATCH rows at once."""
+    """rows dealt by key, and the keys of each partition compared, some BATCH rows at once.
+
+    Rows that a join has dealt by `key` already would not be dealt again, and the
+    join's small partitions are put together to a few: almost all the work, which
+    is large for few bytes, then is one task's. So they are dealt by a hash of it.
+    """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [x.split()[0] for x in _ROW.split(", ")]
 
@@ -324,7 +329,7 @@ def _compared(rows: DataFrame, width: int, similarity: float, rounds: int | None
         if held:
             yield from _compare(whole(), width, similarity, rounds)
 
-    return rows.select(names).repartition(parts, "key").sortWithinPartitions("key", "sig", "doc", "at").mapInArrow(run, _FOUND)
+    return rows.select(names).repartition(parts, F.xxhash64("key", F.lit("compared"))).sortWithinPartitions("key", "sig", "doc", "at").mapInArrow(run, _FOUND)
 
 
 _TOKENS = "key long, sig long, token int"

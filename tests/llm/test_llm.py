@@ -996,3 +996,40 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     final = rows["token_files"](spark, mixed, SMALL).collect()
     assert Counter(r.doc_id for r in final) == copies
     assert hashlib.sha256(str(sorted(map(str, P.run(spark, SMALL).collect()))).encode()).hexdigest() == hashlib.sha256(str(sorted(map(str, final))).encode()).hexdigest()
+
+
+def test_late_comparison_is_dealt_to_all_partitions(spark):
+    """Rows that a join has dealt by key are dealt again: else adaptive execution puts the join's small partitions together to one task."""
+    rows = spark.range(400).select(F.col("id").alias("key"), *[F.lit("" if t == "binary" else 0).cast(t).alias(n) for n, t in (x.split() for x in passage_dedup._ROW.split(", ")[1:])])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = rows.join(spark.range(400).select(F.col("id").alias("key")), "key")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert passage_dedup._compared(joined, 46, 0.8, None).rdd.getNumPartitions() == parts > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_may_shift_keeps_all_pairs_that_shifted_links():
+    rng, width, left, right = np.random.default_rng(5), 20, [], []
+    for _ in range(600):
+        x = rng.integers(1, 60_000, 2 * width - 1).astype(np.uint16)
+        y, n = x.copy(), int(rng.integers(0, 4))
+        for _ in range(n):
+            at = int(rng.integers(0, len(y)))
+            y = np.insert(y, at, 7)[: len(y)] if rng.random() < 0.5 else np.append(np.delete(y, at), 9).astype(np.uint16)
+        if rng.random() < 0.6:  # unlike beyond some place
+            y[int(rng.integers(10, len(y))) :] = 3
+        if rng.random() < 0.2:  # two parts in another order
+            y = np.roll(y, 5)
+        if rng.random() < 0.3:  # marks that occur again
+            x[::5] = 11
+        left.append(x)
+        right.append(y)
+    left, right = np.array(left), np.array(right)
+    may = alike.may_shift(left, right, width, 0.8)
+    links = np.array([alike.shifted(x, y, width, 0.8) is not None for x, y in zip(left, right, strict=True)])
+    assert 50 < links.sum() < 550 and not (links & ~may).any() and (may & ~links).sum() < 0.2 * (~links).sum()

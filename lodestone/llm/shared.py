@@ -6,34 +6,17 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import ship  # noqa: F401
+
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word of the contracts: anything but that white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, wherever the driver was started."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), f"{root.name}_{app}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local (tests)."""
     sc = spark.sparkContext

@@ -461,3 +461,38 @@ def test_http_source_waits_retries_and_gives_up(spark, server):
     ids = spark.createDataFrame([(1,), (2,), (2,), (3,), (99,), (None,)], "id long")
     got = {r.id: (r.json, r.error) for r in HttpSource(base, interval=0, retries=1, wait=0).table(ids, "id", 2).collect()}
     assert got[1] == ('{"mal_id": 1}', None) and got[2][1] is None and got[3][1].startswith("RuntimeError") and got[99] == (None, "KeyError: 99") and len(got) == 4
+
+
+def test_binned_trees_are_those_of_rows(spark):
+    """Sums of cells grow the trees that the rows themselves do; few jobs, whatever the rounds."""
+    from lodestone.operators import binned
+
+    df = spark.range(3000).select("id", F.floor(F.rand(1) * 20).cast("double").alias("a"), F.rand(2).alias("b"))
+    df = df.withColumn("label", F.when(F.col("a") > 7, 3.0).otherwise(1.0) + F.col("b") + 0.01 * F.randn(3))
+    df = CL.assemble(df, ["a", "b"]).cache()
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("boosting", "")
+    fitted = G.boosting(rounds=60).fit(df)
+    assert len(tracker.getJobIdsForGroup("boosting")) <= 12
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    rows = df.select("a", "b", "label").collect()
+    x, y = np.array([r[:2] for r in rows]), np.array([r.label for r in rows])
+    bins = np.array([np.searchsorted(np.array(e), x[:, i], "left") for i, e in enumerate(fitted.edges)])
+    width, at = [len(e) + 1 for e in fitted.edges], np.zeros(len(y))
+    for i in range(60):
+        tree = binned.grow(bins, width, np.ones(len(y)), y if i == 0 else 2 * (y - at), 4)
+        at += (1.0 if i == 0 else 0.05) * tree.apply(bins)
+    got = np.array([r.prediction for r in fitted.transform(df).select("prediction").collect()])
+    assert np.allclose(got, at) and np.sqrt(np.mean((got - y) ** 2)) < 0.1
+    # A first split by hand: that of all which leaves the least squared error.
+    one = binned.grow(bins, width, np.ones(len(y)), y, 1)
+    errors = {(f, c): sum(((v - v.mean()) ** 2).sum() for v in (y[bins[f] <= c], y[bins[f] > c])) for f in range(2) for c in range(width[f] - 1)}
+    assert (one.feature[0], one.bin[0]) == min(errors, key=errors.get)
+    forest = G.blend_models(key="id")["random_forest"]
+    a, b = (np.array([r.prediction for r in forest.fit(part).transform(df).orderBy("id").select("prediction").collect()]) for part in (df, df.repartition(7)))
+    assert np.allclose(a, b) and np.corrcoef(a, np.array([r.label for r in df.orderBy("id").select("label").collect()]))[0, 1] > 0.9
+    n = np.concatenate([np.frombuffer(r.n) for r in binned._sums(binned._rows(df, "id", 42, "features", "label"), fitted.edges, 8, 0.9).collect()])
+    assert abs(n.sum() / (8 * 3000) - 0.9) < 0.01
+    two = CL.models(key="id")["random_forest"].fit(df.withColumn("label", (F.col("a") > 7).cast("double"))).transform(df)
+    assert two.where((F.col("prediction") == 1) != (F.col("a") > 7)).count() == 0
+    df.unpersist()

@@ -26,6 +26,8 @@ from . import textscan as T
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Entries of a worker's cache; when it is full it begins anew.
 CACHE_ENTRIES = 600_000
+#: Pre-tokens that the library gets as one sequence.
+SEQUENCE = 2000
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
@@ -126,10 +128,19 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library, self.entries = Tokenizer.from_file(path), entries
-        self.kinds = Kinds(self.library.pre_tokenizer)
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.cutter = self.plain = self.library.pre_tokenizer
+        self.kinds = Kinds(self.cutter)
+        if isinstance(self.cutter, ByteLevel) and not self.cutter.add_prefix_space:
+            self.plain = ByteLevel(add_prefix_space=False, use_regex=False)  # for what is cut already
+        added = {i: t.content.encode() for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = list(added.values())
+        # A byte-level token has a character for each of its bytes.
+        held = {i: len(t) for t, i in self.library.get_vocab().items()} | {i: len(t) for i, t in added.items()}
+        self.held = np.zeros(max(held, default=0) + 1, np.int64)
+        self.held[list(held)] = list(held.values())
         self.fixed = fixed
         self.clear()
 
@@ -141,14 +152,34 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after the other, and how many each has.
+
+        They are given to the library as the words of a few long sequences,
+        and not cut again. A piece's ids are those that stand for its bytes; if
+        the bytes of the ids don't end with each piece, every piece is encoded alone.
+        """
+        words = [p.decode() for p in pieces]
+        self.library.pre_tokenizer = self.plain
+        try:
+            runs = self.library.encode_batch_fast([words[i : i + SEQUENCE] for i in range(0, len(words), SEQUENCE)], is_pretokenized=True, add_special_tokens=False)
+        finally:
+            self.library.pre_tokenizer = self.cutter
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(r.ids, np.uint32) for r in runs)])
+        ends, wanted = np.cumsum(self.held[ids]), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(ends, wanted)
+        if len(ends) and ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+            return ids, np.diff(last, prepend=-1)
+        alone = self.encode(words)
+        return np.array([i for x in alone for i in x], np.uint32), np.fromiter(map(len, alone), np.int64, len(alone))
+
     def learn(self, pieces: list[bytes]) -> None:
         """Encode pre-tokens whose hashes are new, and add them to the cache."""
-        ids = self.encode([p.decode() for p in pieces])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        entries = np.arange(len(self.sizes), len(self.sizes) + len(ids))
+        ids, sizes = self.encode_pieces(pieces)
+        entries = np.arange(len(self.sizes), len(self.sizes) + len(sizes))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         large, small = self.tables[0], self.tables[1].joined(T.Table.of(pieces, entries))
         if len(small.keys) > max(1 << 14, len(large.keys) // 8):
             large, small = large.joined(small), T.NO_TABLE

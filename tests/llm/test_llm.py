@@ -595,6 +595,40 @@ def test_pretokens_are_those_of_the_library():
     assert got == want
 
 
+def test_new_pretokens_go_to_the_library_in_long_sequences():
+    own, enc = library(), pretokens.Encoder(queries.tokenizer_path())
+    r = random.Random(4)
+    pieces = list(dict.fromkeys([*(" " + "".join(r.choices("abcdeé鯨😀", k=r.randint(1, 9))) for _ in range(3000)), "  ", "'s", "\n\n", " 12", "!?"]))
+    want = [e.ids for e in own.encode_batch(pieces, add_special_tokens=False)]
+    asked = []
+
+    class Asked:
+        """The library, with a note of how many encodings it makes."""
+
+        def __init__(self):
+            self.pre_tokenizer = None
+
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return own.encode_batch_fast(texts, **more)
+
+        def encode_batch(self, texts, **more):
+            asked.append(len(texts))
+            return own.encode_batch(texts, **more)
+
+    enc.library = Asked()
+    enc.learn([p.encode() for p in pieces])
+    assert sum(asked) == -(-len(pieces) // pretokens.SEQUENCE)
+    assert enc.library.pre_tokenizer is enc.cutter
+    assert [enc.ids[a : a + n].tolist() for a, n in zip(enc.first, enc.sizes, strict=True)] == want
+    # Where the bytes of the ids don't fit the pieces, each is encoded alone.
+    enc.clear()
+    enc.held[want[0][0]] += 1
+    enc.learn([p.encode() for p in pieces])
+    assert asked[-1] == len(pieces)
+    assert [enc.ids[a : a + n].tolist() for a, n in zip(enc.first, enc.sizes, strict=True)] == want
+
+
 def test_all_kinds_of_code_points_are_split_as_by_the_library():
     own, enc, r = library(), pretokens.Encoder(queries.tokenizer_path()), random.Random(1)
     points = [*range(1, 0x600), *(c for c in r.sample(range(0x600, 0x110000), 4000) if not 0xD800 <= c < 0xE000)]

@@ -36,6 +36,10 @@ from . import textscan as T
 
 #: Pairs that are compared at once.
 PAIRS = 1 << 14
+#: Of them, pairs whose sums by column are held at once.
+PIECE = 1 << 11
+#: Pairs that are remembered as compared; beyond that some are compared again.
+KNOWN = 1 << 21
 
 
 def need_of(width: int, similarity: float) -> int:
@@ -55,6 +59,9 @@ def matrix(at: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarra
 def aligned(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of rows of marks: whether some interval of columns is alike, and the longest such one, cut to its equal ends."""
     n, m = x.shape
+    if n > PIECE:
+        parts = [aligned(x[i : i + PIECE], y[i : i + PIECE], width, similarity) for i in range(0, n, PIECE)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
     ok, low, high = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not n:
         return ok, low, high
@@ -134,6 +141,8 @@ def may_shift(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> np
     Rows whose matches rise are judged exactly; of others only the matches in x are counted.
     """
     n, need = len(x), need_of(width, similarity)
+    if n > PIECE:
+        return np.concatenate([may_shift(x[i : i + PIECE], y[i : i + PIECE], width, similarity) for i in range(0, n, PIECE)])
     ok = np.zeros(n, bool)
     of, i = np.nonzero(x)
     row_y, j = np.nonzero(y)
@@ -186,8 +195,11 @@ def marks_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _tokens(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, token, rows of the group that have it) of all marks; tokens are numbered by group."""
     row, column, token = marks_of(rows)
-    _, inverse, counts = np.unique((group[row] << 23) + token, return_inverse=True, return_counts=True)
-    return row, column, inverse, counts[inverse]
+    token += group[row] << 23
+    row, column = row.astype(np.int32), column.astype(np.int32)
+    _, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
+    inverse = inverse.astype(np.int32)
+    return row, column, inverse, counts.astype(np.int32)[inverse]
 
 
 class _Classes:
@@ -291,13 +303,16 @@ def links(group: np.ndarray, label: np.ndarray, rows: np.ndarray, width: int, si
     return out, alive[(low < high)[group]]
 
 
-def _between(group: np.ndarray, rows: np.ndarray, own: np.ndarray, classes: _Classes, need: int, width: int, similarity: float, rounds: int | None):
-    """Links between patterns, numbered by `own`; classes are joined."""
+def _prefixes(group: np.ndarray, rows: np.ndarray, need: int, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of the patterns' prefixes, by token, those nearest to the consensus first.
+
+    A large key has millions of marks: what is known of each goes on return, before pairs are compared.
+    """
     row, column, token, held = _tokens(group, rows)
     both = held > 1
     row, column, token, held = row[both], column[both], token[both], held[both]
     if not len(row):
-        return
+        return row, token
     # Where is the consensus: the most frequent mark of each column of a group.
     mark, cell = rows[row, column].astype(np.int64), group[row] * rows.shape[1] + column
     kind, count = np.unique((cell << 16) + mark, return_counts=True)
@@ -319,7 +334,12 @@ def _between(group: np.ndarray, rows: np.ndarray, own: np.ndarray, classes: _Cla
     prefix = (place < (count - need + 1)[row]) & (like[row] | ~common)
     row, token = row[prefix], token[prefix]
     order = np.lexsort((row, -near[row], token))
-    row, token = row[order], token[order]
+    return row[order], token[order]
+
+
+def _between(group: np.ndarray, rows: np.ndarray, own: np.ndarray, classes: _Classes, need: int, width: int, similarity: float, rounds: int | None):
+    """Links between patterns, numbered by `own`; classes are joined."""
+    row, token = _prefixes(group, rows, need, width, similarity)
     done, turn = np.zeros(0, np.int64), 0
     while len(row) and (rounds is None or turn < rounds):
         turn += 1
@@ -342,7 +362,7 @@ def _between(group: np.ndarray, rows: np.ndarray, own: np.ndarray, classes: _Cla
         if len(done):
             new &= done[np.minimum(np.searchsorted(done, code), len(done) - 1)] != code
         code = code[new]
-        done = np.sort(np.concatenate([done, code]), kind="stable")
+        done = np.sort(np.concatenate([done, code]), kind="stable") if len(done) + len(code) <= KNOWN else code
         for i in range(0, len(code), PAIRS):
             yield from _verify(code[i : i + PAIRS] >> 32, code[i : i + PAIRS] & 0xFFFFFFFF, rows, own, classes, need, width, similarity)
         row, token = row[~head], token[~head]

@@ -1067,3 +1067,24 @@ def test_may_shift_keeps_all_pairs_that_shifted_links():
     may = alike.may_shift(left, right, width, 0.8)
     links = np.array([alike.shifted(x, y, width, 0.8) is not None for x, y in zip(left, right, strict=True)])
     assert 50 < links.sum() < 550 and not (links & ~may).any() and (may & ~links).sum() < 0.2 * (~links).sum()
+
+
+def test_large_keys_are_compared_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 65536, (1 << 14, 91)).astype(np.uint16)
+    y = np.where(rng.random(x.shape) < rng.random((len(x), 1)) * 0.1, rng.integers(1, 65536, x.shape), x).astype(np.uint16)
+    tracemalloc.start()
+    got = alike.aligned(x, y, 46, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    few = [alike.aligned(x[i : i + 1], y[i : i + 1], 46, 0.8) for i in range(0, len(x), 997)]
+    assert [tuple(int(v[i]) for v in got) for i in range(0, len(x), 997)] == [tuple(int(v[0]) for v in f) for f in few]
+    # Pairs that are forgotten are compared again, with the same links.
+    group, rows = np.zeros(40, np.int64), y[:1].repeat(40, 0)
+    rows[rng.random(rows.shape) < 0.1] = 7
+    want = alike.links(group, np.arange(40), rows, 46, 0.8)[0]
+    monkeypatch.setattr(alike, "KNOWN", 10)
+    assert np.array_equal(alike.links(group, np.arange(40), rows, 46, 0.8)[0], want) and len(want)
